@@ -10,9 +10,12 @@ def group_ordinal(
     df: DataFrame, keys: list[str], out: str,
     *, limits: Limits = DEFAULT, row_bound: int | None = None,
 ) -> DataFrame:
-    """One row per distinct key with its 0-based rank in key order; null keys get none."""
+    """One row per distinct key with its 0-based rank in key order; null keys get none.
+
+    Few enough keys (by ``row_bound``) to broadcast are ranked in one task.
+    """
     named = df.select(*keys).na.drop().distinct()
-    if row_bound is not None and row_bound <= limits.group_rows:
+    if row_bound is not None and row_bound <= limits.broadcast_rows:
         rank = F.row_number().over(Window.orderBy(*keys)) - 1
         return named.withColumn(out, rank.cast("long"))
     return with_position(named, keys, out)

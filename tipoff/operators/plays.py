@@ -60,11 +60,16 @@ def scoring_events(plays: DataFrame) -> DataFrame:
 
 
 def attach_rest(plays: DataFrame, rest: DataFrame, *, game: list[str] = GAME) -> DataFrame:
-    """Join each play with its team's and its opponent's days of rest."""
+    """Join each play with its team's and its opponent's days of rest.
+
+    An opponent without a single play in the game has none, and leaves null.
+    """
     keys = [*game, "Team"]
     own = rest.select(*keys, "TeamRest", "Plays")
     other = rest.select(
         *game, F.col("Team").alias("Opponent"), F.col("TeamRest").alias("OpponentTeamRest"), "Plays"
     )
     with_own = join_dimension(plays, own, keys, rows="Plays", spread="PlaySeq")
-    return join_dimension(with_own, other, [*game, "Opponent"], rows="Plays", spread="PlaySeq")
+    return join_dimension(
+        with_own, other, [*game, "Opponent"], rows="Plays", spread="PlaySeq", how="left"
+    )

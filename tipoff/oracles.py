@@ -136,7 +136,7 @@ def chain(clock="TimeElapsed", corrected=False):
         "stacked": stacked,
         "featured": f"""SELECT s.*, co.TeamRest AS OpponentTeamRest, own.TeamRest AS TeamRest
             FROM stacked s JOIN rest own ON {_same('s', 'own')} AND own.Team = s.Team
-            JOIN rest co ON {_same('s', 'co')} AND co.Team = s.Opponent""",
+            LEFT JOIN rest co ON {_same('s', 'co')} AND co.Team = s.Opponent""",
         "features": """SELECT CAST(Interval AS INTEGER) AS Interval, CAST(cp AS DOUBLE) AS CumulativePlayerPointsInterval,
             Player, CAST(GameId AS BIGINT) AS GameId, "Date", Team, Opponent, CAST(Home AS INTEGER) AS Home,
             CAST(TeamRest AS DOUBLE) AS TeamRest, CAST(OpponentTeamRest AS DOUBLE) AS OpponentTeamRest,
@@ -169,7 +169,7 @@ def steps(last, body, **options):
         parts.append(f"{name} AS ({sql})")
         if name == last:
             break
-    return f"WITH {', '.join(parts)} {body}"
+    return f"WITH RECURSIVE {', '.join(parts)} {body}"
 
 
 def feature_columns(source="features"):
@@ -224,6 +224,36 @@ def histogram_sql(source, column, bins=100):
         FROM (SELECT unnest(range({bins})) AS bin) b CROSS JOIN w LEFT JOIN c USING (bin)"""
 
 
+def policy_steps(iterations=100, eps=0.001):
+    """Steps ``moves`` (state, next state, payoff) and ``policy`` (weights w of the last iteration).
+
+    Every iteration sums the system over all moves, then eliminates column by column.
+    """
+    k = len(STATE)
+    state = "[" + ", ".join(f"{c}::DOUBLE" for c in STATE) + "]"
+    zeros = "[" + ", ".join(["0.0::DOUBLE"] * k) + "]"
+    hold = "Alive AND list_dot_product(psi, w) > Payoff"
+    cell = f"""CASE WHEN j <= {k} THEN phi[i] * (phi[j] - CASE WHEN {hold} THEN psi[j] ELSE 0 END)
+        ELSE CASE WHEN {hold} THEN 0 ELSE phi[i] * Payoff END END"""
+    system = f"""SELECT n, i, list(v ORDER BY j) AS line FROM (
+        SELECT n, i, j, sum({cell}) + CASE WHEN i = j THEN {eps} ELSE 0 END AS v
+        FROM policy_path CROSS JOIN moves
+        CROSS JOIN (SELECT unnest(range(1, {k + 1})) AS i) CROSS JOIN (SELECT unnest(range(1, {k + 2})) AS j)
+        WHERE n < {iterations} GROUP BY n, i, j) GROUP BY n, i"""
+    solved = f"SELECT n, list(line ORDER BY i) AS m FROM ({system}) GROUP BY n"
+    for p in range(1, k + 1):
+        solved = f"""SELECT n, list_transform(m, lambda line, place: CASE WHEN place = {p}
+            THEN list_transform(line, lambda x: x / m[{p}][{p}])
+            ELSE list_transform(line, lambda x, c: x - line[{p}] / m[{p}][{p}] * m[{p}][c]) END) AS m FROM ({solved})"""
+    return (
+        f"moves AS (SELECT *, coalesce(lead(phi) OVER (PARTITION BY Player, GameId ORDER BY Interval), {zeros}) AS psi "
+        f"FROM (SELECT *, {state} AS phi FROM valued)), "
+        f"policy_path(n, w) AS (SELECT 0, {zeros} UNION ALL "
+        f"SELECT n + 1, list_transform(m, lambda line: line[{k + 1}]) FROM ({solved})), "
+        f"policy AS (SELECT w FROM policy_path WHERE n = {iterations}) "
+    )
+
+
 def basis_sql(t, s):
     m = f"({s} / {OPTION['strike']}::DOUBLE)"
     share = f"({t} / {OPTION['expiry']}::DOUBLE)"
@@ -239,7 +269,7 @@ def oracle_queries():
     bigint = lambda *names: ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in names)
     rest_body = """SELECT PlaySeq, {label}, CAST(own.TeamRest AS INTEGER) AS TeamRest,
         CAST(co.TeamRest AS INTEGER) AS OpponentTeamRest FROM plays p
-        JOIN rest own ON {own} AND own.Team = p.Team JOIN rest co ON {other} AND co.Team = {opponent}"""
+        JOIN rest own ON {own} AND own.Team = p.Team LEFT JOIN rest co ON {other} AND co.Team = {opponent}"""
     other_team = "CASE WHEN p.Home = 1 THEN p.AwayTeam ELSE p.HomeTeam END"
     levels = (("Player", "p"), ("Total", "g"), ("Team", "t"), ("Opponent", "o"))
     snapshot_join = f"FROM by_player pl JOIN by_game g USING ({G}) JOIN by_team t USING ({G}, Home)"
@@ -370,6 +400,17 @@ def oracle_queries():
         "embedding_gram": f"""SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
             {r('sum(embedding[i + 1]::DOUBLE * embedding[j + 1]::DOUBLE)', 5)} AS value FROM embeddings
             CROSS JOIN (SELECT unnest(range({width})) AS i) CROSS JOIN (SELECT unnest(range({width})) AS j) GROUP BY i, j""",
+        "lspi_weights": steps("valued", ", " + policy_steps() + f"""
+            SELECT CAST(position AS INTEGER) AS position, {STATE}[position + 1] AS feature,
+            {r('w[position + 1]', 3)} AS weight FROM policy CROSS JOIN (SELECT unnest(range({len(STATE)})) AS position)"""),
+        "lspi_scored": steps("valued", ", " + policy_steps() + "SELECT " + ", ".join(
+            f"{r(c)} AS {c}" if c not in ("Interval", "Home") else c for c in STATE)
+            + f""", Player, {r('list_dot_product(phi, w)')} AS res, Opponent AS Opposition, "Date", GameId AS Game
+            FROM moves CROSS JOIN policy"""),
+        "exercise_policy": steps("valued", ", " + policy_steps() + f"""
+            SELECT {features_up}, {r('Payoff')} AS Payoff, {r('list_dot_product(psi, w)')} AS Continuation,
+            CASE WHEN Alive AND list_dot_product(psi, w) > Payoff THEN 'hold' ELSE 'exercise' END AS Decision
+            FROM moves CROSS JOIN policy"""),
         "network_score": steps("stats", ", " + network_steps("training", features_up, scaled_list())
             + f"SELECT {features_up}, {r('res')} AS res FROM valued_states"),
         "score_histogram": steps("stats", ", " + network_steps("training", features_up, scaled_list()).rstrip()

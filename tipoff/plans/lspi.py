@@ -41,6 +41,12 @@ def _moments_fold(weights, previous, gamma):
     return fold, width * width + width + 1
 
 
+def _solve(matrix, target):
+    """Solve after scaling rows and columns to unit diagonal; the features differ by 1e5 in size."""
+    scale = 1.0 / np.sqrt(np.abs(np.diag(matrix)))
+    return scale * np.linalg.solve(matrix * np.outer(scale, scale), scale * target)
+
+
 def _inputs(pairs):
     return pairs.select("Phi", "PhiNext", "Payoff", "Alive")
 
@@ -79,7 +85,7 @@ def lspi_fit(
         if done > 1 and sums[-1] == 0:
             break
         matrix = sums[: width * width].reshape(width, width) + eps * np.eye(width)
-        previous, weights = weights, np.linalg.solve(matrix, sums[width * width : -1])
+        previous, weights = weights, _solve(matrix, sums[width * width : -1])
     data.unpersist()
     return Policy(tuple(features), tuple(float(w) for w in weights), done)
 

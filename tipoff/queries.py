@@ -9,7 +9,7 @@ from tipoff.operators import form, keys, moments, pairs, plays as play_ops, scal
 from tipoff.operators.ordered import framed
 from tipoff.plans import features as plan, fitted_q, lspi
 from tipoff.schema import GAME, STATE
-from tipoff.session import shared_folder
+from tipoff.session import materialize, shared_folder
 from tipoff.sources import play_log
 from tipoff.sources.event_log import DATE_FORMAT, SEASONS, plays_from_events
 
@@ -76,6 +76,11 @@ def training(spark, sf_dir):
     return pairs.training_rows(feature_table(spark, sf_dir), FORM_THRESHOLD)
 
 
+def written_training(spark, sf_dir):
+    """For queries that pass over the rows more than once."""
+    return materialize(training(spark, sf_dir))
+
+
 def training_pairs(spark, sf_dir):
     return lspi.prepare_pairs(training(spark, sf_dir), INTERVALS)
 
@@ -361,7 +366,7 @@ def training_rows(spark, sf_dir):
 @query
 def player_game_lookup(spark, sf_dir):
     """One player's game: that of the best final score, ties by player and game id."""
-    rows = feature_table(spark, sf_dir)
+    rows = materialize(feature_table(spark, sf_dir))
     best = rows.orderBy(
         F.desc("CumulativePlayerPointsInterval"), F.desc("Interval"), "Player", "GameId"
     ).first()
@@ -396,7 +401,7 @@ def feature_stats(spark, sf_dir):
 
 @query
 def standardized_features(spark, sf_dir):
-    rows = training(spark, sf_dir)
+    rows = written_training(spark, sf_dir)
     scaled = scaling.standardize(rows, scaling.fit_scaling(rows))
     return rounded(scaled.select("Player", "GameId", *STATE))
 
@@ -431,13 +436,13 @@ def embedding_gram(spark, sf_dir):
 
 @query
 def lspi_weights(spark, sf_dir):
-    return rounded(lspi.weights_table(spark, lspi.lspi_fit(training_pairs(spark, sf_dir))))
+    """Three digits: team, opponent and margin are collinear, so only the ridge pins their weights."""
+    return rounded(lspi.weights_table(spark, lspi.lspi_fit(training_pairs(spark, sf_dir))), digits=3)
 
 
 def _scored_pairs(spark, sf_dir):
-    valued = training_pairs(spark, sf_dir)
-    policy = lspi.lspi_fit(valued)
-    return valued, policy
+    valued = materialize(training_pairs(spark, sf_dir))
+    return valued, lspi.lspi_fit(valued)
 
 
 @query
@@ -456,7 +461,7 @@ def exercise_policy(spark, sf_dir):
 
 
 def _network_scores(spark, sf_dir):
-    rows = training(spark, sf_dir)
+    rows = written_training(spark, sf_dir)
     theta = network.initial_parameters(len(STATE), SEED)
     return fitted_q.score_network(rows, theta, scaling=scaling.fit_scaling(rows))
 
@@ -468,7 +473,7 @@ def network_score(spark, sf_dir):
 
 @query
 def score_histogram(spark, sf_dir):
-    return rounded(scaling.score_histogram(_network_scores(spark, sf_dir), "res"))
+    return rounded(scaling.score_histogram(materialize(_network_scores(spark, sf_dir)), "res"))
 
 
 def _scenarios(spark):
@@ -484,7 +489,7 @@ def scenario_price(spark, sf_dir):
 
 
 def _trained(spark, sf_dir):
-    rows = training(spark, sf_dir)
+    rows = written_training(spark, sf_dir)
     stats = scaling.fit_scaling(rows)
     scaled = scaling.standardize(rows, stats)
     return stats, fitted_q.fitted_q(lspi.prepare_pairs(scaled, INTERVALS), steps=20, rate=0.05)
