@@ -10,7 +10,7 @@ from tipoff.limits import Limits
 from tipoff.operators.form import ewm_mean
 from tipoff.operators.joins import join_dimension
 from tipoff.operators.keys import first_non_null, group_ordinal
-from tipoff.operators.ordered import framed, hot_groups, row_rank, running_sum, with_position
+from tipoff.operators.ordered import framed, hot_groups, row_rank, running_sums, with_position
 
 
 @pytest.fixture(scope="module")
@@ -34,10 +34,16 @@ def test_hot_groups_finds_only_large_keys(skewed, tiny):
 
 
 @pytest.mark.parametrize("small", [True, False])
-def test_running_sum(skewed, expected, tiny, small):
-    got = running_sum(skewed, ["key"], ["t", "seq"], "v", "s", limits=tiny if small else Limits())
-    want = expected.assign(s=expected.groupby("key").v.cumsum())
-    assert rows(got, "key", "seq", "s") == sorted(want[["key", "seq", "s"]].itertuples(index=False, name=None))
+def test_running_sums(skewed, expected, tiny, small):
+    groups = skewed.withColumn("g", F.when(F.col("seq") % 4 != 0, F.col("seq") % 4))
+    levels = {"s": [], "by_group": ["g"]}
+    got = running_sums(groups, ["key"], ["t", "seq"], "v", levels, limits=tiny if small else Limits())
+    groups_of = expected.assign(g=expected.seq % 4)
+    want = expected.assign(
+        s=expected.groupby("key").v.cumsum(), by_group=groups_of.groupby(["key", "g"]).v.cumsum()
+    )
+    names = ["key", "seq", "s", "by_group"]
+    assert rows(got, *names) == sorted(want[names].itertuples(index=False, name=None))
 
 
 @pytest.mark.parametrize("small", [True, False])

@@ -8,6 +8,7 @@ from tipoff.functions import network, payoff
 from tipoff.operators import moments, pairs, scaling
 from tipoff.plans import fitted_q, lspi
 from tipoff.schema import PAYOFF_COLUMNS, STATE
+from tipoff.sources import play_log
 
 WIDTH = len(STATE)
 POINTS, AVERAGE = STATE.index(PAYOFF_COLUMNS[1]), STATE.index(PAYOFF_COLUMNS[2])
@@ -126,6 +127,14 @@ def test_scores_keep_their_keys_and_decide(state_rows):
         assert r.Decision == ("hold" if r.Alive and cont > r.Payoff else "exercise")
 
 
+def test_scored_rows_are_written_with_their_keys(spark, state_rows, tmp_path):
+    fit = lspi.Policy(tuple(STATE), tuple(0.1 for _ in STATE), 1)
+    scored = lspi.score_linear(state_rows, fit)
+    play_log.write_scores(scored, str(tmp_path / "out"))
+    back = play_log.read_table(spark, str(tmp_path / "out"), scored.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, scored.collect()))
+
+
 def test_gram_matrix_of_two_arrays(spark):
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(50, 3)), rng.normal(size=(50, 2))

@@ -7,7 +7,7 @@ its position, positions are cut into blocks of ``block_rows`` rows, and each
 block is its own window. Running sums add the totals of earlier blocks; framed
 windows see copies of the rows just outside their block. ``row_bound``, where
 the caller knows how many rows there can be at all, may rule hot keys out
-without a search.
+without a search. Keys must not be null.
 """
 
 from collections.abc import Callable
@@ -78,33 +78,47 @@ def row_rank(
     return result.unionByName(_hot_rank(hot, keys, order, out))
 
 
-def running_sum(
-    df: DataFrame, keys: list[str], order: list, value: str, out: str,
+def running_sums(
+    df: DataFrame, keys: list[str], order: list, value: str, levels: dict[str, list[str]],
     *, limits: Limits = DEFAULT, row_bound: int | None = None,
 ) -> DataFrame:
-    """Inclusive running sum per key in a row frame; ``order`` must be unique per key."""
+    """Inclusive running sums in row frames, one per level; ``order`` must be unique per key.
+
+    ``levels`` maps each output to the keys it adds to ``keys``. All levels
+    share one shuffle by ``keys``, and one sort of the keys that are hot.
+    """
     cold, hot = _split(df, keys, limits, row_bound)
-    to_here = (Window.unboundedPreceding, Window.currentRow)
-    plain = F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*to_here))
-    result = cold.withColumn(out, plain)
+
+    def add(frame, place, sort):
+        for out, extra in levels.items():
+            window = Window.partitionBy(*keys, *place, *extra).orderBy(*sort)
+            total = F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            frame = frame.withColumn(out, total)
+        return frame
+
+    result = add(cold, [], order)
     if hot is None:
         return result
     ranked = _hot_rank(hot, keys, order, "_rank").withColumn(
         "_block", F.floor(F.col("_rank") / limits.block_rows)
     )
-    # One row per block of a hot key: rows / block_rows plus the number of hot keys.
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ranked.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum")).select(
-        *keys, "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carry")
-    )
-    local = Window.partitionBy(*keys, "_block").orderBy("_rank").rowsBetween(*to_here)
-    blocked = (
-        ranked.withColumn(out, F.sum(value).over(local))
-        .join(F.broadcast(carried), [*keys, "_block"])
-        .withColumn(out, F.col(out) + F.col("_carry"))
-        .drop("_rank", "_block", "_carry")
-    )
-    return result.unionByName(blocked)
+    blocked = add(ranked, ["_block"], ["_rank"])
+    for out, extra in levels.items():
+        part = [*keys, *extra]
+        earlier = Window.partitionBy(*part).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ranked.groupBy(*part, "_block").agg(F.sum(value).alias("_sum")).select(
+            *[F.col(c).alias(f"_{c}") for c in (*part, "_block")],
+            F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carry"),
+        )
+        if not extra:
+            carried = F.broadcast(carried)  # one row per block: rows / block_rows plus the hot keys
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*part, "_block")]
+        blocked = (
+            blocked.join(carried, same)
+            .withColumn(out, F.col(out) + F.col("_carry"))
+            .drop("_carry", *[f"_{c}" for c in (*part, "_block")])
+        )
+    return result.unionByName(blocked.drop("_rank", "_block"))
 
 
 def framed(

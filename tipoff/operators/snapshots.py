@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tipoff.functions.clock import GAME_SECONDS, interval_cuts
 from tipoff.limits import DEFAULT, Limits
 from tipoff.operators.joins import join_dimension
-from tipoff.operators.ordered import hot_groups, running_sum
+from tipoff.operators.ordered import running_sums
 from tipoff.schema import GAME
 from tipoff.session import materialize_counted
 
@@ -37,15 +37,11 @@ def running_points(
     *, game: list[str] = GAME, limits: Limits = DEFAULT,
 ) -> DataFrame:
     """Running totals of player, game and team per play, and the opponent's as the difference."""
-    order = ["TimeElapsed", "PlaySeq"]
-    result = plays
-    # Teams and players of a game have no more rows than the game itself.
-    largest = None if hot_groups(plays, game, limits) else 0
-    for level, extra in (("Total", []), ("Team", ["Team"]), ("Player", ["Player"])):
-        result = running_sum(
-            result, [*game, *extra], order, statistic, f"Cumulative{level}{statistic}",
-            limits=limits, row_bound=largest,
-        )
+    levels = {"Total": [], "Team": ["Team"], "Player": ["Player"]}
+    result = running_sums(
+        plays.na.drop(subset=game), game, ["TimeElapsed", "PlaySeq"], statistic,
+        {f"Cumulative{level}{statistic}": extra for level, extra in levels.items()}, limits=limits,
+    )
     opponent = F.col(f"CumulativeTotal{statistic}") - F.col(f"CumulativeTeam{statistic}")
     return result.withColumn(f"CumulativeOpponent{statistic}", opponent)
 

@@ -6,7 +6,8 @@ the Spark side uses conditional sums, so the two check each other.
 
 from tipoff.functions import network, payoff
 from tipoff.queries import (
-    DAYS, EMBEDDING_WIDTH, FORM_THRESHOLD, INTERVALS, LINE_COLUMNS, OPTION, RATE, SCENARIOS, SEED,
+    DAYS, EMBEDDING_WIDTH, FORM_THRESHOLD, INTERVALS, LINE_COLUMNS, OPTION, Q_DECAY, Q_RATE, Q_STEPS,
+    RATE, SCENARIOS, SEED,
 )
 from tipoff.schema import FEATURE_TABLE, FEATURES, PAYOFF_COLUMNS, STATE
 
@@ -178,39 +179,51 @@ def feature_columns(source="features"):
     return f"SELECT {', '.join(columns)} FROM {source}"
 
 
-def score_sql(state_list, theta):
-    """Forward pass as a list expression; ``state_list`` is a SQL list of inputs."""
-    (w1, b1), (w2, b2), (w3, b3) = network.layers(theta, len(STATE))
+def initial_theta():
+    values = network.initial_parameters(len(STATE), SEED)
+    return "[" + ", ".join(f"{float(x)!r}::DOUBLE" for x in values) + "]"
 
-    def matrix(w):
-        return "[" + ", ".join("[" + ", ".join(repr(float(x)) + "::DOUBLE" for x in row) + "]" for row in w) + "]"
 
-    def vector(b):
-        return "[" + ", ".join(repr(float(x)) + "::DOUBLE" for x in b) + "]"
+def theta_spans():
+    """(first weight, first bias, inputs) of every layer in the flat parameter list."""
+    at, spans = 0, []
+    for rows, columns in network.layer_shapes(len(STATE)):
+        spans.append((at, at + rows * columns, columns))
+        at += rows * columns + rows
+    return spans
 
-    def layer(w, b, x):
-        z = f"list_dot_product({matrix(w)}[i], {x}) + {vector(b)}[i]"
-        return f"list_transform(range(1, {len(b) + 1}), lambda i: ln(1 + exp({z})))"
 
-    return state_list, layer(w1, b1, "x"), layer(w2, b2, "x"), f"list_dot_product({vector(w3[0])}, x) + {float(b3[0])!r}"
+def layer(level, x):
+    """All pre-activations of a hidden layer as a list."""
+    first, bias, columns = theta_spans()[level]
+    row = f"theta[{first} + (i - 1) * {columns} + 1 : {first} + i * {columns}]"
+    return f"list_transform(range(1, {network.HIDDEN + 1}), lambda i: list_dot_product({row}, {x}) + theta[{bias} + i])"
 
 
-def network_steps(source, keys, inputs):
-    """Steps ``q0`` to ``q2`` hold the layers; ``res`` the value per key."""
-    first, second, third, last = score_sql(inputs, network.initial_parameters(len(STATE), SEED))
+def softplus(z):
+    return f"list_transform({z}, lambda v: ln(1 + exp(v)))"
+
+
+def output(x):
+    first, bias, _ = theta_spans()[2]
+    return f"list_dot_product(theta[{first + 1}:{bias}], {x}) + theta[{bias + 1}]"
+
+
+def network_steps(source, keys, theta):
+    """Steps ``q0`` to ``q2`` hold the layers; ``valued_states`` the value per key."""
     return (
-        f"q0 AS (SELECT {keys}, {first} AS x FROM {source}), "
-        f"q1 AS (SELECT {keys}, {second} AS x FROM q0), "
-        f"q2 AS (SELECT {keys}, {third} AS x FROM q1), "
-        f"valued_states AS (SELECT {keys}, {last} AS res FROM q2) "
+        f"q0 AS (SELECT {keys}, {theta} AS theta, {scaled_list()} AS x FROM {source}), "
+        f"q1 AS (SELECT {keys}, theta, {softplus(layer(0, 'x'))} AS x FROM q0), "
+        f"q2 AS (SELECT {keys}, theta, {softplus(layer(1, 'x'))} AS x FROM q1), "
+        f"valued_states AS (SELECT {keys}, {output('x')} AS res FROM q2) "
     )
 
 
-def scaled_list(prefix=""):
+def scaled_list():
     scaled = []
     for c in STATE:
         pick = f"(SELECT {{}} FROM stats WHERE feature = '{c}')"
-        scaled.append(f"({prefix}{c}::DOUBLE - {pick.format('mean')}) / {pick.format('deviation')}")
+        scaled.append(f"({c}::DOUBLE - {pick.format('mean')}) / {pick.format('deviation')}")
     return "[" + ", ".join(scaled) + "]"
 
 
@@ -254,6 +267,52 @@ def policy_steps(iterations=100, eps=0.001):
     )
 
 
+def training_steps():
+    """Steps ``q_moves`` and ``q_path`` (n, theta, loss at theta n - 1): full-table gradient steps.
+
+    ``theta`` lists weights then bias, layer by layer; each row's gradient is one such list.
+    """
+    k, h = len(STATE), network.HIDDEN
+    zeros = "[" + ", ".join(["0.0::DOUBLE"] * k) + "]"
+
+    def outer(back, seen):
+        return f"flatten(list_transform({back}, lambda b: list_transform({seen}, lambda v: b * v)))"
+
+    second, third = theta_spans()[1][0], theta_spans()[2][0]
+    column = f"theta[{second} + (i - 1) * {h} + j]"
+    back2 = f"list_transform(range(1, {h + 1}), lambda i: delta * theta[{third} + i] / (1 + exp(-z2[i])))"
+    back1 = (
+        f"list_transform(range(1, {h + 1}), lambda j: list_sum(list_transform(range(1, {h + 1}), "
+        f"lambda i: back2[i] * {column})) / (1 + exp(-z1[j])))"
+    )
+    gradient = (
+        f"list_concat(list_concat({outer('back1', 'phi')}, back1), "
+        f"list_concat(list_concat({outer('back2', 'h1')}, back2), "
+        f"list_concat(list_transform(h2, lambda v: delta * v), [delta])))"
+    )
+    chained = f"SELECT n, theta, phi, psi, Payoff, Alive FROM q_path CROSS JOIN q_moves WHERE n < {Q_STEPS}"
+    for name, value in (
+        ("z1", layer(0, "phi")), ("h1", softplus("z1")), ("z2", layer(1, "h1")), ("h2", softplus("z2")),
+        ("n1", softplus(layer(0, "psi"))), ("n2", softplus(layer(1, "n1"))),
+        ("delta", f"CASE WHEN Alive THEN greatest(Payoff, {output('n2')}) ELSE Payoff END - ({output('h2')})"),
+        ("back2", back2), ("back1", back1), ("gradient", gradient),
+    ):
+        chained = f"SELECT *, {value} AS {name} FROM ({chained})"
+    return (
+        f"q_moves AS (SELECT *, coalesce(lead(phi) OVER (PARTITION BY Player, GameId ORDER BY Interval), {zeros}) AS psi "
+        f"FROM (SELECT Player, GameId, Interval, Payoff, Alive, {scaled_list()} AS phi FROM valued)), "
+        f"q_path(n, theta, loss) AS (SELECT 0, {initial_theta()}, 0.0::DOUBLE UNION ALL "
+        f"SELECT s.n + 1, list(p.theta[place] + {q_rate('s.n')} * g / moves ORDER BY place), any_value(l) FROM "
+        f"(SELECT n, place, sum(g) AS g, count(*) AS moves, avg(delta * delta) AS l FROM (SELECT n, delta, "
+        f"unnest(range(1, {network.parameter_count(k) + 1})) AS place, unnest(gradient) AS g FROM ({chained})) GROUP BY n, place) s "
+        f"JOIN q_path p ON p.n = s.n GROUP BY s.n) "
+    )
+
+
+def q_rate(n):
+    return f"greatest({Q_RATE} * pow({Q_DECAY}::DOUBLE, {n}), 0.00001)"
+
+
 def basis_sql(t, s):
     m = f"({s} / {OPTION['strike']}::DOUBLE)"
     share = f"({t} / {OPTION['expiry']}::DOUBLE)"
@@ -411,12 +470,18 @@ def oracle_queries():
             SELECT {features_up}, {r('Payoff')} AS Payoff, {r('list_dot_product(psi, w)')} AS Continuation,
             CASE WHEN Alive AND list_dot_product(psi, w) > Payoff THEN 'hold' ELSE 'exercise' END AS Decision
             FROM moves CROSS JOIN policy"""),
-        "network_score": steps("stats", ", " + network_steps("training", features_up, scaled_list())
+        "network_score": steps("stats", ", " + network_steps("training", features_up, initial_theta())
             + f"SELECT {features_up}, {r('res')} AS res FROM valued_states"),
-        "score_histogram": steps("stats", ", " + network_steps("training", features_up, scaled_list()).rstrip()
+        "score_histogram": steps("stats", ", " + network_steps("training", features_up, initial_theta()).rstrip()
             + histogram_sql("valued_states", "res")),
         "scenario_price": steps("stats", f", scenarios(Scenario, {', '.join(STATE)}) AS (VALUES {scenario_rows}), "
-            + network_steps("scenarios", "Scenario, Interval", scaled_list())
+            + network_steps("scenarios", "Scenario, Interval", initial_theta())
+            + f"SELECT Scenario, Interval, {r('res')} AS price FROM valued_states"),
+        "fitted_q_loss": steps("stats", ", " + training_steps() + f"""SELECT CAST(n - 1 AS INTEGER) AS step,
+            {r('loss')} AS loss, {r(q_rate('n - 1'))} AS rate FROM q_path WHERE n > 0"""),
+        "scenario_price_trained": steps("stats", ", " + training_steps()
+            + f", scenarios(Scenario, {', '.join(STATE)}) AS (VALUES {scenario_rows}), "
+            + network_steps("scenarios", "Scenario, Interval", f"(SELECT theta FROM q_path WHERE n = {Q_STEPS})")
             + f"SELECT Scenario, Interval, {r('res')} AS price FROM valued_states"),
         "option_basis": "SELECT event_id, " + ", ".join(
             f"{r(b)} AS basis_{i}" for i, b in enumerate(basis_sql(t_now, "value"))) + " FROM events",

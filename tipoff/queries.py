@@ -19,6 +19,7 @@ SEED = 100
 OPTION = {"strike": 100.0, "expiry": 1.0}
 RATE = 0.05
 DAYS = 30
+Q_STEPS, Q_RATE, Q_DECAY = 20, 0.05, 0.999
 
 # Hypothetical states, one per interval, for a 20-point and a 30-point player.
 SCENARIOS = [
@@ -144,7 +145,8 @@ def scoring_events(spark, sf_dir):
 
 @query
 def running_points(spark, sf_dir):
-    totals = snapshots.running_points(counted(spark, sf_dir))
+    columns = ["PlaySeq", *GAME, "Team", "Player", "TimeElapsed", "Points"]
+    totals = snapshots.running_points(counted(spark, sf_dir).select(columns))
     levels = ("Player", "Total", "Team", "Opponent")
     return totals.select("PlaySeq", *[f"Cumulative{level}Points" for level in levels])
 
@@ -492,19 +494,22 @@ def _trained(spark, sf_dir):
     rows = written_training(spark, sf_dir)
     stats = scaling.fit_scaling(rows)
     scaled = scaling.standardize(rows, stats)
-    return stats, fitted_q.fitted_q(lspi.prepare_pairs(scaled, INTERVALS), steps=20, rate=0.05)
+    fit = fitted_q.fitted_q(
+        lspi.prepare_pairs(scaled, INTERVALS), steps=Q_STEPS, rate=Q_RATE, decay=Q_DECAY, seed=SEED
+    )
+    return stats, fit
 
 
 @query
 def fitted_q_loss(spark, sf_dir):
-    return fitted_q.loss_table(spark, _trained(spark, sf_dir)[1])
+    return rounded(fitted_q.loss_table(spark, _trained(spark, sf_dir)[1]))
 
 
 @query
 def scenario_price_trained(spark, sf_dir):
     stats, fit = _trained(spark, sf_dir)
     priced = fitted_q.price_scenarios(_scenarios(spark), stats, fit.theta)
-    return priced.select("Scenario", "Interval", "price")
+    return rounded(priced.select("Scenario", "Interval", "price"))
 
 
 # Option columns ------------------------------------------------------------------------------

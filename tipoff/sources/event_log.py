@@ -26,7 +26,7 @@ def plays_from_events(events: DataFrame) -> DataFrame:
         ts.cast("date").alias("_date"),
         F.datediff(ts.cast("date"), F.lit(FIRST_DAY).cast("date")).alias("_d"),
         (F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)).alias("_s"),
-        F.get_json_object("props", "$.k").cast("int").alias("_k"),
+        F.regexp_extract("props", r'"k":\s*(\d+)', 1).try_cast("int").alias("_k"),
     )
     d, s, k = F.col("_d"), F.col("_s"), F.col("_k")
     team = F.col("_user") % 10

@@ -14,11 +14,11 @@ def read_table(spark: SparkSession, path: str, schema, fmt: str = "csv") -> Data
 
 
 def read_plays(spark: SparkSession, path: str, schema=PLAY_LOG, fmt: str = "csv") -> DataFrame:
-    """One raw log. CSV logs may hold more columns in any order; they are matched by name."""
+    """One raw log. CSV columns are matched by name, others ignored; unreadable numbers become null."""
     if fmt != "csv":
         return read_table(spark, path, schema, fmt)
     text = spark.read.csv(path, header=True, inferSchema=False)
-    return text.select(*[F.col(f.name).cast(f.dataType) for f in schema])
+    return text.select(*[F.col(f.name).try_cast(f.dataType) for f in schema])
 
 
 def tag_season(plays: DataFrame, season: int) -> DataFrame:
