@@ -76,6 +76,13 @@ def test_csv_logs_are_matched_by_name_tagged_and_numbered(spark, tmp_path):
     assert all(0 <= r.PlaySeq < 2**48 for r in got) and got[0].PlaySeq != got[1].PlaySeq
 
 
+def test_csv_log_with_bad_numbers_and_missing_columns(spark, tmp_path):
+    path = tmp_path / "c.csv"
+    path.write_text("HomeTeam,Quarter,SecLeft\nH,two,30\n")
+    got = play_log.read_plays(spark, str(path)).first()
+    assert (got.HomeTeam, got.Quarter, got.SecLeft, got.ShotType) == ("H", None, 30, None)
+
+
 def test_union_fills_missing_columns(spark):
     one, two = make(spark, Quarter=[1]), make(spark, Quarter=[2])
     both = play_log.union_seasons({2017: one.drop("ShotType"), 2018: two.withColumn("ShotType", F.lit("2-pt"))})

@@ -47,7 +47,7 @@ def player_game_totals(
     plays: DataFrame, statistic: str = "Points", *, game: list[str] = GAME
 ) -> DataFrame:
     """Each player's total per game. With no negative increments it is the largest running sum."""
-    return plays.groupBy("Player", *game, "Date").agg(
+    return plays.groupBy("Player", *game).agg(
         F.sum(statistic).alias(f"CumulativePlayer{statistic}")
     )
 

@@ -52,7 +52,8 @@ def _split(df, keys, limits, row_bound):
     if hot is None:
         return df, None
     hot = F.broadcast(hot)
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+    # Written once, because sampling and sorting would each read the source again.
+    return df.join(hot, keys, "left_anti"), materialize(df.join(hot, keys, "left_semi"))
 
 
 def _hot_rank(df, keys, order, out):

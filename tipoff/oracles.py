@@ -355,6 +355,8 @@ def oracle_queries():
     return {
         "load_plays": steps("log", """SELECT PlaySeq, HomeTeam, AwayTeam, DateKey AS "Date", Quarter, SecLeft,
             HomePlay, GameType, ShotOutcome, FreeThrowOutcome, Shooter, FreeThrowShooter, ShotType, Season FROM log"""),
+        "csv_log_load": steps("log", """SELECT HomeTeam, AwayTeam, DateKey AS "Date", Quarter, SecLeft, HomePlay,
+            GameType, ShotOutcome, FreeThrowOutcome, Shooter, FreeThrowShooter, ShotType, Season FROM log"""),
         "union_tagged_seasons": steps("log", """SELECT PlaySeq, HomeTeam,
             CASE WHEN Season = 2018 THEN ShotType END AS ShotType, Season FROM log"""),
         "game_clock": steps("plays", """SELECT PlaySeq, Quarter, SecLeft, CAST(TimeElapsed AS INTEGER) AS TimeElapsed,
@@ -382,8 +384,8 @@ def oracle_queries():
             lag(OrderDay) OVER (PARTITION BY o_custkey ORDER BY OrderDay), 0), 4) AS INTEGER) AS DaysRest
             FROM (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS OrderDay FROM orders)""",
         "first_non_null": """SELECT l_orderkey,
-            arg_min(l_partkey, l_linenumber * 10000000000 + l_partkey) FILTER (l_partkey % 3 <> 0) AS Part,
-            CAST(arg_min(l_linenumber, l_linenumber * 10000000000 + l_partkey) FILTER (l_linenumber <> 1) AS BIGINT) AS Line
+            arg_min(l_partkey, l_linenumber * 10000000000 + l_partkey) FILTER (l_returnflag <> 'N') AS Part,
+            CAST(arg_min(l_linenumber, l_linenumber * 10000000000 + l_partkey) FILTER (l_linestatus <> 'O') AS BIGINT) AS Line
             FROM lineitem GROUP BY l_orderkey""",
         "player_game_totals": steps("by_player", f"""SELECT Player, {G}, "Date",
             CAST(p{n} AS BIGINT) AS CumulativePlayerPoints FROM by_player"""),

@@ -9,7 +9,7 @@ from tipoff.operators import form, keys, moments, pairs, plays as play_ops, scal
 from tipoff.operators.ordered import framed
 from tipoff.plans import features as plan, fitted_q, lspi
 from tipoff.schema import GAME, STATE
-from tipoff.session import materialize, shared_folder
+from tipoff.session import materialize, materialize_counted, shared_folder
 from tipoff.sources import play_log
 from tipoff.sources.event_log import DATE_FORMAT, SEASONS, plays_from_events
 
@@ -100,6 +100,17 @@ def load_plays(spark, sf_dir):
     return raw_plays(spark, sf_dir)
 
 
+@query
+def csv_log_load(spark, sf_dir):
+    """One CSV log per season, written and read back with the fixed schema."""
+    log = raw_plays(spark, sf_dir)
+    paths = {}
+    for season in SEASONS:
+        paths[season] = f"{shared_folder(spark)}/tipoff/{uuid.uuid4().hex}"
+        log.where(F.col("Season") == season).drop("Season", "PlaySeq").write.csv(paths[season], header=True)
+    return play_log.load_plays(spark, paths).drop("PlaySeq")
+
+
 @query
 def union_tagged_seasons(spark, sf_dir):
     log = raw_plays(spark, sf_dir)
@@ -167,47 +178,45 @@ def order_day_ordinal(spark, sf_dir):
     return keys.group_ordinal(orders, ["o_custkey", "DayText"], "DayId")
 
 
-def _present_teams(spark, sf_dir):
+def _team_rest(spark, sf_dir):
     plays = prepared(spark, sf_dir)
-    teams = plays.groupBy(*GAME, "Team").agg(F.count("*").alias("Plays"))
-    return plays, play_ops.parse_dates(teams, DATE_FORMAT)
+    teams, rows = materialize_counted(plays.groupBy(*GAME, "Team").agg(F.count("*").alias("Plays")))
+    dated = play_ops.parse_dates(teams, DATE_FORMAT)
+    return plays, form.days_rest(dated, "Team", "Date", order=GAME, row_bound=rows)
 
 
 @query
 def rest_days(spark, sf_dir):
-    _, teams = _present_teams(spark, sf_dir)
-    return form.days_rest(teams, "Team", "Date", order=GAME).select(*GAME, "Team", "TeamRest")
+    return _team_rest(spark, sf_dir)[1].select(*GAME, "Team", "TeamRest")
 
 
 @query
 def rest_days_joined(spark, sf_dir):
-    plays, teams = _present_teams(spark, sf_dir)
-    rest = form.days_rest(teams, "Team", "Date", order=GAME)
+    plays, rest = _team_rest(spark, sf_dir)
     return play_ops.attach_rest(plays, rest).select("PlaySeq", "Team", "TeamRest", "OpponentTeamRest")
 
 
 @query
 def rest_days_true_opponent(spark, sf_dir):
-    plays, teams = _present_teams(spark, sf_dir)
-    rest = form.days_rest(teams, "Team", "Date", order=GAME)
+    plays, rest = _team_rest(spark, sf_dir)
     other = play_ops.attribute_plays(plays, opponent="true")
     return play_ops.attach_rest(other, rest).select("PlaySeq", "Opponent", "TeamRest", "OpponentTeamRest")
 
 
 @query
 def rest_days_orders(spark, sf_dir):
-    days = table(spark, sf_dir, "orders").select(
+    days, rows = materialize_counted(table(spark, sf_dir, "orders").select(
         "o_custkey", F.col("o_orderdate").cast("date").alias("OrderDay")
-    ).distinct()
-    return form.days_rest(days, "o_custkey", "OrderDay", out="DaysRest")
+    ).distinct())
+    return form.days_rest(days, "o_custkey", "OrderDay", out="DaysRest", row_bound=rows)
 
 
 @query
 def first_non_null(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
-        F.when(F.col("l_partkey") % 3 != 0, F.col("l_partkey")).alias("Part"),
-        F.nullif("l_linenumber", F.lit(1)).cast("long").alias("Line"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_partkey")).alias("Part"),
+        F.when(F.col("l_linestatus") != "O", F.col("l_linenumber")).cast("long").alias("Line"),
         (F.col("l_linenumber") * 10_000_000_000 + F.col("l_partkey")).alias("_order"),
     )
     return keys.first_non_null(items, ["l_orderkey"], ["Part", "Line"], F.col("_order"))
@@ -216,8 +225,13 @@ def first_non_null(spark, sf_dir):
 # Form ----------------------------------------------------------------------------------------
 
 def _totals(spark, sf_dir):
-    dated = play_ops.parse_dates(counted(spark, sf_dir).where("Player IS NOT NULL"), DATE_FORMAT)
-    return form.player_game_totals(dated)
+    totals = form.player_game_totals(counted(spark, sf_dir).where("Player IS NOT NULL"))
+    return play_ops.parse_dates(totals, DATE_FORMAT)
+
+
+def _player_form(spark, sf_dir, **options):
+    totals, rows = materialize_counted(_totals(spark, sf_dir))
+    return form.player_form(totals, row_bound=rows, **options)
 
 
 @query
@@ -227,34 +241,34 @@ def player_game_totals(spark, sf_dir):
 
 @query
 def player_form(spark, sf_dir):
-    formed = form.player_form(_totals(spark, sf_dir))
+    formed = _player_form(spark, sf_dir)
     return rounded(formed.select("Player", *GAME, "RollingAvgPlayerPoints"))
 
 
 @query
 def player_form_before_game(spark, sf_dir):
-    formed = form.player_form(_totals(spark, sf_dir), include_current=False, order_by=["Date", *GAME])
+    formed = _player_form(spark, sf_dir, include_current=False, order_by=["Date", *GAME])
     return rounded(formed.select("Player", *GAME, "RollingAvgPlayerPoints", "PlayerGameNumber"))
 
 
 @query
 def player_game_number(spark, sf_dir):
-    formed = form.player_form(_totals(spark, sf_dir))
+    formed = _player_form(spark, sf_dir)
     return formed.select("Player", *GAME, "PlayerGameNumber")
 
 
 @query
 def ewm_events_daily(spark, sf_dir):
-    daily = table(spark, sf_dir, "events").groupBy(
+    daily, rows = materialize_counted(table(spark, sf_dir, "events").groupBy(
         "user_id", F.to_date("ts").alias("Day")
-    ).agg(F.sum("value").alias("DayValue"))
-    return rounded(form.ewm_mean(daily, {"Form": "DayValue"}, ["user_id"], ["Day"]))
+    ).agg(F.sum("value").alias("DayValue")))
+    return rounded(form.ewm_mean(daily, {"Form": "DayValue"}, ["user_id"], ["Day"], row_bound=rows))
 
 
 def _final_scores(spark, sf_dir):
     tables = snapshots.score_tables(prepared(spark, sf_dir), INTERVALS)
     games = play_ops.parse_dates(tables.games.where("HasAttempts"), DATE_FORMAT)
-    return games.select(*GAME, "Date", *[
+    return tables.game_rows, games.select(*GAME, "Date", *[
         F.element_at(f"{side}{kind}Points", INTERVALS).alias(f"{side}{kind}Points")
         for side in snapshots.SIDES for kind in ("Team", "Opponent")
     ])
@@ -262,7 +276,7 @@ def _final_scores(spark, sf_dir):
 
 @query
 def team_game_totals(spark, sf_dir):
-    finals = _final_scores(spark, sf_dir)
+    _, finals = _final_scores(spark, sf_dir)
     return finals.select(
         *GAME,
         F.greatest("HomeTeamPoints", "AwayTeamPoints").alias("GameTeamPoints"),
@@ -271,7 +285,8 @@ def team_game_totals(spark, sf_dir):
 
 
 def _side_form(spark, sf_dir, **options):
-    formed = form.team_form(_final_scores(spark, sf_dir), **options)
+    rows, finals = _final_scores(spark, sf_dir)
+    formed = form.team_form(finals, row_bound=rows, **options)
     sides = formed.withColumn("Home", F.explode(F.array(F.lit(0), F.lit(1))))
     wanted = ["RollingAverageTeamPoints", "RollingAverageOpposingTeamAllowedPoints"]
     return rounded(form.pick_side_form(sides).select(*GAME, "Home", *wanted))
@@ -528,11 +543,12 @@ def option_basis(spark, sf_dir):
 def put_target(spark, sf_dir):
     """Daily value of each user as a price path; the going-on value is the sum of the basis terms."""
     day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
-    daily = table(spark, sf_dir, "events").groupBy("user_id", day.alias("step")).agg(
-        F.sum("value").alias("price")
+    daily, rows = materialize_counted(
+        table(spark, sf_dir, "events").groupBy("user_id", day.alias("step")).agg(F.sum("value").alias("price"))
     )
     path = framed(
-        daily, ["user_id"], ["step"], {"next_price": lambda w: F.lead("price").over(w)}, after=1
+        daily, ["user_id"], ["step"], {"next_price": lambda w: F.lead("price").over(w)},
+        after=1, row_bound=rows,
     ).where(F.col("next_price").isNotNull())
     t_next = (F.col("step") + 1) / F.lit(float(DAYS))
     terms = payoff.option_basis(t_next, F.col("next_price"), **OPTION)

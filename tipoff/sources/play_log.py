@@ -14,11 +14,12 @@ def read_table(spark: SparkSession, path: str, schema, fmt: str = "csv") -> Data
 
 
 def read_plays(spark: SparkSession, path: str, schema=PLAY_LOG, fmt: str = "csv") -> DataFrame:
-    """One raw log. CSV columns are matched by name, others ignored; unreadable numbers become null."""
+    """One raw log. CSV columns are matched by name; missing ones and unreadable numbers are null."""
     if fmt != "csv":
         return read_table(spark, path, schema, fmt)
     text = spark.read.csv(path, header=True, inferSchema=False)
-    return text.select(*[F.col(f.name).try_cast(f.dataType) for f in schema])
+    present = {f.name: F.col(f.name) if f.name in text.columns else F.lit(None) for f in schema}
+    return text.select(*[present[f.name].try_cast(f.dataType).alias(f.name) for f in schema])
 
 
 def tag_season(plays: DataFrame, season: int) -> DataFrame:
