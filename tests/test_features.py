@@ -6,6 +6,7 @@ from datetime import date, timedelta
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tipoff.limits import Limits
@@ -181,6 +182,16 @@ def test_stacking_margins_and_order_invariance(spark):
             assert r["ScoreMarginxTimeRemaining2Interval"] == abs(margin) * left**2
 
 
+def test_another_statistic_names_its_columns(spark):
+    log = generate(8)
+    plays = plan.prepare_plays(frame(spark, log)).withColumn("Attempts", F.lit(1))
+    players = plan.player_games(plays, N, "Attempts", date_format="d/M/yyyy")
+    table = plan.feature_rows(players, N, "Attempts")
+    assert table.columns == [c.replace("Points", "Attempts") for c in FEATURES]
+    last = table.where(F.col("Interval") == N).agg(F.sum("CumulativePlayerAttemptsInterval")).first()[0]
+    assert last == plays.where("Counted").count()
+
+
 def test_golden_margins(spark):
     wide = spark.createDataFrame(
         [("p", [18, 33, 33, 38], [43, 75, 98, 98], [21, 58, 88, 88])],

@@ -16,6 +16,10 @@ def local_session(app: str = "tipoff", cores: str = "8") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # One session runs many different plans; keep their compiled code.
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
+        # Recording Python call sites for error messages doubles the time to build a plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
