@@ -4,7 +4,8 @@ A running total of points never falls, so its largest value up to a cut is the
 conditional sum up to that cut. Only the opponent's score needs the order of
 plays: it is read at the team's own last attempt. One pass finds those last
 attempts per game and side, a second sums the other side's points up to them.
-No pass shuffles plays, so the size of a single game does not matter.
+Neither pass sorts plays or gathers a game in one task, so the size of a single
+game does not matter.
 """
 
 from dataclasses import dataclass
