@@ -2,12 +2,13 @@
 
 import bisect
 import json
+import re
 
 import numpy as np
 
 CHUNK = 1 << 16
 OVERLAP = 1 << 9
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 
 # Characters on whose class every Unicode version agrees; other texts take the vocabulary's own library.
 _SETTLED = "[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20ac]"
@@ -34,7 +35,7 @@ class Encoder:
 
     def __init__(self, kind: str, content: bytes):
         self.spaces_split = False
-        self._fast = None
+        self._fast, self._rare = None, re.compile(_SETTLED)
         if kind == "model":
             import sentencepiece
 
@@ -96,23 +97,13 @@ class Encoder:
         found = self._library.encode(text, add_special_tokens=False)
         return found.ids, found.offsets
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
+    def ids(self, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[list[int]]:
         """The same ids, by the ranked form of the vocabulary wherever both agree by construction."""
         if self._fast is None:
-            return [np.array(x, dtype="<u4") for x in self.library_ids(texts)]
-        import re
-
-        rare = re.compile(_SETTLED)
-        out: list = [None] * len(texts)
-        slow = []
-        for i, text in enumerate(texts):
-            if rare.search(text):
-                slow.append(i)
-            else:
-                out[i] = np.array(self._fast.encode(text, allowed_special="all"), dtype="<u4")
-        for i, found in zip(slow, self.library_ids([texts[i] for i in slow])):
-            out[i] = np.array(found, dtype="<u4")
-        return out
+            return self.library_ids(texts, chunk, overlap)
+        fast = [len(t) <= chunk and not self._rare.search(t) for t in texts]
+        rest = iter(self.library_ids([t for t, f in zip(texts, fast) if not f], chunk, overlap))
+        return [self._fast.encode(t, allowed_special="all") if f else next(rest) for t, f in zip(texts, fast)]
 
 
 def _batches(places, texts):

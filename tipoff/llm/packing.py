@@ -13,7 +13,7 @@ BUCKETS = 256  # length of a hashed document vector
 DIMENSIONS = 3
 BITS = 16  # per dimension of the curve
 SEED = 20
-ROWS_OUT = 2000  # rows of a batch handed to Spark
+ROWS_OUT = 500  # rows of a batch handed to Spark
 
 
 def projection(buckets: int = BUCKETS, dimensions: int = DIMENSIONS, seed: int = SEED) -> np.ndarray:
@@ -116,7 +116,7 @@ def tokenized(docs: DataFrame, vocabulary: str, *, end_id: int, id_col: str, tex
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_OUT):
                 part = batch.slice(at, ROWS_OUT)
-                found = encoder.ids(part.column(1).to_pylist())
+                found = [np.array(x, dtype="<u4") for x in encoder.ids(part.column(1).to_pylist())]
                 vectors = np.array([document_vector(x) for x in found])
                 cells = np.clip((vectors @ directions + 1) * 0.5 * top, 0, top).astype(np.int64)
                 end = np.array([end_id], dtype="<u4").tobytes()

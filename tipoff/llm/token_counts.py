@@ -1,11 +1,12 @@
 """Token counts of whole documents, huge ones by resynchronised overlapping chunks."""
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tipoff.llm.encoding import CHUNK, OVERLAP, Encoder, read_vocabulary
 
+ROWS = 500  # rows encoded at a time
+
 
 def token_counts(
     docs: DataFrame, vocabulary: str, *, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text",
@@ -26,10 +27,11 @@ def token_counts(
     def count(batches):
         encoder = Encoder(kind, shipped.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = encoder.library_ids(texts, chunk, overlap)
-            sizes = pa.array(np.array([len(x) for x in found], dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sizes], ["id", "n_bytes", "n_tokens"])
+            sizes = []
+            for at in range(0, batch.num_rows, ROWS):
+                sizes += map(len, encoder.ids(batch.column(1).slice(at, ROWS).to_pylist(), chunk, overlap))
+            counts = pa.array(sizes, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), counts], ["id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
