@@ -53,3 +53,13 @@ def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
     seen = Observation()
     written = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")))
     return written, seen.get["rows"]
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table that :func:`materialize` wrote for ``df``, which must not be read again."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/tipoff/" not in path:
+            raise ValueError(f"{path} is not an intermediate table")
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
