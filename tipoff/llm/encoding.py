@@ -40,6 +40,7 @@ class Encoder:
             import sentencepiece
 
             self._pieces = sentencepiece.SentencePieceProcessor(model_proto=content)
+            self.size = self._pieces.get_piece_size()
             return
         from tokenizers import Tokenizer
 
@@ -47,6 +48,7 @@ class Encoder:
         self._library = Tokenizer.from_buffer(content)
         self._library.no_truncation()
         self._library.no_padding()
+        self.size = self._library.get_vocab_size(with_added_tokens=True)
         spec = json.loads(content)
         pre = spec.get("pre_tokenizer") or {}
         added = spec.get("added_tokens") or []

@@ -71,7 +71,7 @@ class Packer:
         start = 0
         while start < len(ids):
             part = ids[start:start + self.length - self.filled]
-            self.held.append((document, start, part.copy(), len(ids)))
+            self.held.append((document, start, part, len(ids)))
             self.filled += len(part)
             start += len(part)
             if self.filled == self.length:
@@ -105,9 +105,13 @@ class Packer:
         self.sequence += 1
 
 
-def tokenized(docs: DataFrame, vocabulary: str, *, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """Written table of id, ids (little-endian unsigned 32-bit, with the end id) and the curve's key."""
+def tokenized(docs: DataFrame, vocabulary: str, *, end_id: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """Written table of id, ids (with the end id) and the curve's key, and the numpy type of the ids.
+
+    Ids are kept in two bytes where the vocabulary allows.
+    """
     kind, content = read_vocabulary(vocabulary)
+    width = "<u2" if max(Encoder(kind, content).size, end_id + 1) <= 1 << 16 else "<u4"
     shipped = docs.sparkSession.sparkContext.broadcast(content)  # a vocabulary file: a few MB
 
     def encode(batches):
@@ -116,18 +120,17 @@ def tokenized(docs: DataFrame, vocabulary: str, *, end_id: int, id_col: str, tex
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_OUT):
                 part = batch.slice(at, ROWS_OUT)
-                found = [np.array(x, dtype="<u4") for x in encoder.ids(part.column(1).to_pylist())]
-                vectors = np.array([document_vector(x) for x in found])
+                found = [np.array([*x, end_id], dtype=width) for x in encoder.ids(part.column(1).to_pylist())]
+                vectors = np.array([document_vector(x[:-1]) for x in found])
                 cells = np.clip((vectors @ directions + 1) * 0.5 * top, 0, top).astype(np.int64)
-                end = np.array([end_id], dtype="<u4").tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x.tobytes() + end for x in found], pa.binary()),
+                    [part.column(0), pa.array([x.tobytes() for x in found], pa.binary()),
                      pa.array(hilbert_key(cells))], ["id", "ids", "key"],
                 )
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, ids binary, key long"
-    return materialize(rows.mapInArrow(encode, schema))
+    return materialize(rows.mapInArrow(encode, schema)), width
 
 
 def pack(
@@ -147,7 +150,7 @@ def pack(
     one batch of rows and one open sequence.
     """
     spark = docs.sparkSession
-    rows = tokenized(docs, vocabulary, end_id=end_id, id_col=id_col, text_col=text_col)
+    rows, width = tokenized(docs, vocabulary, end_id=end_id, id_col=id_col, text_col=text_col)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(ranges, "key", "id").sortWithinPartitions("key", "id")
     ordered = ordered.select("id", "ids", F.spark_partition_id().cast("long").alias("range"))
@@ -166,7 +169,7 @@ def pack(
             for at in range(0, batch.num_rows, ROWS_OUT):
                 part, pieces = batch.slice(at, ROWS_OUT), []
                 for document, ids in zip(part.column(0).to_pylist(), part.column(1)):
-                    pieces += packer.add(document, np.frombuffer(ids.as_buffer(), dtype="<u4"))
+                    pieces += packer.add(document, np.frombuffer(ids.as_buffer(), dtype=width).astype("<u4"))
                 yield _pieces(pieces, names, kind)
         if packer is not None:
             yield _pieces(list(packer.finish()), names, kind)

@@ -1,14 +1,14 @@
 """The operators of this package as queries over the driver's tables: (spark, sf_dir) -> DataFrame."""
 
 import public_tokenizers
-from pyspark.sql import functions as F
 
-from tipoff.llm import packing, token_counts
+from tipoff.llm import packing, simhash, token_counts
 from tipoff.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 SEQUENCE = 2048
 CONTEXT = 1024
+SHINGLE, MAX_BITS = 3, 3
 
 QUERIES = {}
 ORACLES = {}
@@ -24,6 +24,12 @@ def op5_hilbert_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), length=SEQUENCE)
 
 
+@query
+def op6_simhash_near_dedup(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=SHINGLE, max_bits=MAX_BITS)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 @query
 def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=CONTEXT)
