@@ -1,8 +1,9 @@
 """The operators of this package as queries over the driver's tables: (spark, sf_dir) -> DataFrame."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from tipoff.llm import packing, simhash, token_counts
+from tipoff.llm import line_dedup, packing, quality_rules, simhash, token_counts
 from tipoff.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -11,7 +12,7 @@ CONTEXT = 1024
 SHINGLE, MAX_BITS = 3, 3
 
 QUERIES = {}
-ORACLES = {}
+ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op3_quality_rules": quality_rules.ORACLE}
 
 
 def query(fn):
@@ -19,6 +20,17 @@ def query(fn):
     return fn
 
 
+@query
+def op2_line_dedup(spark, sf_dir):
+    found = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), counts=("n_lines", "n_dropped"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
+
+
+@query
+def op3_quality_rules(spark, sf_dir):
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_hilbert_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), length=SEQUENCE)
