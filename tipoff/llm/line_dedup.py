@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tipoff.limits import Limits
-from tipoff.llm.site_lines import COPIES, DROPPED, LIMITS, PAGE, SITE, join_dropped, shared_lines, with_page
+from tipoff.llm.site_lines import DROPPED, LIMITS, mark_shared, with_page
 
 MAX_RATIO = 0.01
 MIN_PAGES = 5
@@ -40,8 +40,7 @@ def drop_boilerplate(
     rows = with_page(docs.withColumn(TEXT, F.col(text_col)), F.col(site_col), F.col(text_col))
     distinct = F.array_distinct(F.transform(F.filter(_lines(F.col(TEXT)), _filled), _hash))
     over = lambda n, pages: (n >= min_pages) & (n > max_ratio * pages)
-    dropped = shared_lines(rows.select(SITE, PAGE, TEXT), distinct, over, limits)
-    joined = join_dropped(rows.withColumn(ROW, F.xxhash64(id_col)), dropped, ROW, limits)
+    joined = mark_shared(rows.withColumn(ROW, F.xxhash64(id_col)), distinct, over, ROW, limits)
     gone = lambda line: _filled(line) & F.array_contains(DROPPED, _hash(line))
     kept = F.array_join(F.filter(_lines(F.col(TEXT)), lambda line: ~gone(line)), "\n")
     text = F.when(F.col(DROPPED).isNull(), F.col(TEXT)).otherwise(kept)

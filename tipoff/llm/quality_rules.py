@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tipoff.limits import Limits
 from tipoff.llm.common import SPACE, let, words
-from tipoff.llm.site_lines import COPIES, DROPPED, LIMITS, PAGE, SITE, join_dropped, shared_lines, with_page
+from tipoff.llm.site_lines import DROPPED, LIMITS, PAGE, SITE, mark_shared, with_page
 from tipoff.session import materialize
 
 MIN_WORDS = 10
@@ -95,8 +95,8 @@ def quality_rules(
     )
     measured = materialize(measured)
     over = lambda n, pages: (n >= min_pages) & (n > max_share * pages)
-    dropped = shared_lines(measured, F.array_distinct(F.transform("lines", lambda x: x["h"])), over, limits)
-    joined = join_dropped(measured.withColumn("__row", F.xxhash64("id")), dropped, "__row", limits)
+    hashes = F.array_distinct(F.transform("lines", lambda x: x["h"]))
+    joined = mark_shared(measured.withColumn("__row", F.xxhash64("id")), hashes, over, "__row", limits)
     n_words, n_repeat = F.col("of_words.n_words"), F.col("of_words.n_repeat_words")
     gone = F.aggregate(
         F.filter("lines", lambda x: F.array_contains(DROPPED, x["h"])), F.lit(0), lambda total, x: total + x["w"]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tipoff.limits import Limits
 from tipoff.operators.joins import join_dimension
-from tipoff.session import materialize
+from tipoff.session import materialize, materialize_counted
 
 LIMITS = Limits(broadcast_rows=20_000, match_rows=500_000)
 SITE, PAGE, COPIES, DROPPED = "__site", "__page", "__copies", "__dropped"
@@ -22,31 +22,32 @@ def with_page(rows: DataFrame, source: Column, text: Column) -> DataFrame:
     return rows.withColumns({SITE: site, PAGE: F.xxhash64(F.coalesce(text, F.lit("")))})
 
 
-def shared_lines(
-    rows: DataFrame, hashes: Column, over: Callable[[Column, Column], Column], limits: Limits = LIMITS
+def mark_shared(
+    rows: DataFrame, hashes: Column, over: Callable[[Column, Column], Column], spread: str, limits: Limits = LIMITS
 ) -> DataFrame:
-    """Per site and page that has any: its row count and the hashes of its lines that are too frequent.
+    """``rows`` with ``__dropped``: hashes of lines that are too frequent on the row's site (null for none).
 
     ``rows`` comes from :func:`with_page`; ``hashes`` is the array of its
     distinct line hashes; ``over(n, pages)`` says whether a line on n of a
-    site's pages is too frequent. What is shuffled is one row per distinct
-    line of a page, and after counting only frequent lines are joined back;
-    a line found on very many pages is spread over tasks.
+    site's pages is too frequent. What is shuffled to count is one row per
+    distinct line of a page. Frequent lines that are counted to be few are
+    broadcast, a list per site; otherwise they are joined to the lines of each
+    page, and what is found to the rows. Lines on very many pages and pages
+    with very many copies are spread over tasks there, by ``spread``.
     """
-    pages = materialize(rows.groupBy(SITE, PAGE).agg(F.count("*").alias(COPIES)))
-    lines = materialize(rows.select(SITE, PAGE, F.explode(hashes).alias("h")).distinct())
-    sites = pages.groupBy(SITE).agg(F.count("*").alias("pages"))
+    keyed = rows.select(SITE, PAGE, hashes.alias("__hashes"))
+    lines = materialize(keyed.select(SITE, PAGE, F.explode("__hashes").alias("h")).distinct())
+    sites = rows.select(SITE, PAGE).distinct().groupBy(SITE).agg(F.count("*").alias("pages"))
     # A line on a single page is never frequent; leaving it out keeps the join small.
     counts = lines.groupBy(SITE, "h").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    frequent = (
+    frequent, found = materialize_counted(
         join_dimension(counts, sites.withColumn("__rows", F.col("pages")), [SITE], rows="__rows", spread="h", limits=limits)
         .where(over(F.col("n"), F.col("pages"))).select(SITE, "h", "n")
     )
-    found = join_dimension(lines, frequent, [SITE, "h"], rows="n", spread=PAGE, limits=limits)
-    dropped = found.groupBy(SITE, PAGE).agg(F.collect_set("h").alias(DROPPED))
-    return dropped.join(pages, [SITE, PAGE])
-
-
-def join_dropped(rows: DataFrame, dropped: DataFrame, spread: str, limits: Limits = LIMITS) -> DataFrame:
-    """``rows`` with the hashes to drop (null for none); pages with very many copies are spread over tasks."""
+    if found <= limits.broadcast_rows:
+        lists = frequent.groupBy(SITE).agg(F.collect_list("h").alias(DROPPED))
+        return rows.join(F.broadcast(lists), SITE, "left")
+    here = join_dimension(lines, frequent, [SITE, "h"], rows="n", spread=PAGE, limits=limits)
+    copies = rows.groupBy(SITE, PAGE).agg(F.count("*").alias(COPIES))
+    dropped = here.groupBy(SITE, PAGE).agg(F.collect_set("h").alias(DROPPED)).join(copies, [SITE, PAGE])
     return join_dimension(rows, dropped, [SITE, PAGE], rows=COPIES, spread=spread, how="left", limits=limits)
