@@ -43,7 +43,7 @@ def drop_boilerplate(
     joined = mark_shared(rows.withColumn(ROW, F.xxhash64(id_col)), distinct, over, ROW, limits)
     gone = lambda line: _filled(line) & F.array_contains(DROPPED, _hash(line))
     kept = F.array_join(F.filter(_lines(F.col(TEXT)), lambda line: ~gone(line)), "\n")
-    text = F.when(F.col(DROPPED).isNull(), F.col(TEXT)).otherwise(kept)
+    text = F.when(F.col(DROPPED).isNull() | F.col(TEXT).isNull(), F.col(TEXT)).otherwise(kept)
     out = [text.alias(c) if c == text_col else F.col(c) for c in original]
     if counts:
         n_dropped = F.when(F.col(DROPPED).isNull(), 0).otherwise(F.size(F.filter(_lines(F.col(TEXT)), gone)))
