@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tipoff.llm import line_dedup, packing, quality_rules, simhash, token_counts
+from tipoff.llm import line_dedup, mixing, packing, quality_rules, simhash, token_counts, topk
 from tipoff.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -12,7 +12,7 @@ CONTEXT = 1024
 SHINGLE, MAX_BITS = 3, 3
 
 QUERIES = {}
-ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op3_quality_rules": quality_rules.ORACLE}
+ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op7_exact_top_k": topk.ORACLE}
 
 
 def query(fn):
@@ -42,6 +42,18 @@ def op6_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op7_exact_top_k(spark, sf_dir):
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op8_source_mixing(spark, sf_dir):
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    each = found.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return each.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=CONTEXT)
