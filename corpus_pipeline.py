@@ -1,8 +1,84 @@
-"""A training corpus from raw documents, in five stages."""
+"""A training corpus from raw documents, in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
+as Parquet and read again as the next one's docs. All but the last return the
+columns of documents.
+"""
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from tipoff.limits import Limits
+from tipoff.llm import line_dedup, mixing, packing, quality_gam, simhash
+from tipoff.llm.common import table
+from tipoff.llm.queries import MAX_BITS, SEQUENCE, SHINGLE, VOCABULARY
+from tipoff.operators.joins import join_dimension
+from tipoff.session import materialize, shared_folder
+
+# Ids of up to this many documents are broadcast (a counted number); beyond, texts are shuffled to them.
+LIMITS = Limits(group_rows=200_000, block_rows=100_000, broadcast_rows=500_000, match_rows=200_000)
+
+# No SQL expresses the classifier and the packing; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
+def quality(spark, docs, sf_dir):
+    """Documents that the quality classifier does not reject."""
+    return quality_gam.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark, docs, sf_dir):
+    """Documents without their site's boilerplate lines."""
+    return line_dedup.drop_boilerplate(docs)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each SimHash group: the one with the smallest id, and of its repeated rows one.
+
+    A document without an id groups like any other, but one with an id is preferred.
+    """
+    marked = docs.withColumns({"__mark": F.xxhash64(F.coalesce("text", F.lit(""))), "__id": F.coalesce("doc_id", F.lit(-1))})
+    found = simhash.near_duplicates(
+        marked, shingle=SHINGLE, max_bits=MAX_BITS, id_col="__id", keep=("__mark",), limits=LIMITS
+    )
+    first = found.groupBy("component_id").agg(
+        F.min(F.struct(F.col("__id") != F.col("component_id"), "__id", "__mark")).alias("first")
+    )
+    first = first.select(F.col("first.__id").alias("__id"), F.col("first.__mark").alias("__mark"))
+    kept = materialize(first.withColumn("__rows", F.lit(1)))
+    repeated = marked.groupBy("__id", "__mark").agg(F.count("*").alias("n")).where("n > 1")
+    chosen = join_dimension(marked, kept, ["__id", "__mark"], rows="__rows", spread="__id", limits=LIMITS)
+    if repeated.isEmpty():
+        return chosen.select(*docs.columns)
+    return chosen.dropDuplicates(["__id", "__mark"]).select(*docs.columns)
+
+
+def mixture(spark, docs, sf_dir):
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed_documents(docs, limits=LIMITS)
+
+
+def sequences(spark, docs, sf_dir):
+    """Pieces of documents in training sequences, with their token ids."""
+    return packing.pack(docs, public_tokenizers.path(VOCABULARY), length=SEQUENCE, with_ids=True)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("simhash near-dedup", near_duplicates),
+    ("source mixing", mixture),
+    ("packing", sequences),
+]
+
+
 def run(spark, sf_dir):
-    raise NotImplementedError
+    """The rows of the last stage over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        path = f"{shared_folder(spark)}/tipoff/{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

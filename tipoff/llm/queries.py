@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tipoff.llm import line_dedup, mixing, packing, quality_rules, simhash, token_counts, topk
+from tipoff.llm import line_dedup, mixing, packing, pii, quality_gam, quality_rules, simhash, token_counts, topk, toxicity
 from tipoff.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -20,6 +20,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_toxicity(spark, sf_dir):
+    found = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op2_line_dedup(spark, sf_dir):
     found = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), counts=("n_lines", "n_dropped"))
@@ -31,6 +37,11 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_quality_gam(spark, sf_dir):
+    return quality_gam.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op5_hilbert_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), length=SEQUENCE)
@@ -54,6 +65,11 @@ def op8_source_mixing(spark, sf_dir):
     return each.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op9_personal_data(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=CONTEXT)
