@@ -37,9 +37,10 @@ def lines(spark, docs, sf_dir):
 def near_duplicates(spark, docs, sf_dir):
     """One document of each SimHash group: the one with the smallest id, and of its repeated rows one.
 
-    A document without an id groups like any other, but one with an id is preferred.
+    A document without an id goes by a negative number made from its text.
     """
-    marked = docs.withColumns({"__mark": F.xxhash64(F.coalesce("text", F.lit(""))), "__id": F.coalesce("doc_id", F.lit(-1))})
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    marked = docs.withColumns({"__mark": mark, "__id": F.coalesce("doc_id", -1 - F.shiftrightunsigned(mark, 1))})
     found = simhash.near_duplicates(
         marked, shingle=SHINGLE, max_bits=MAX_BITS, id_col="__id", keep=("__mark",), limits=LIMITS
     )
