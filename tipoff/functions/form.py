@@ -1,26 +1,20 @@
-"""Exponentially weighted mean as a column expression."""
+"""Exponentially weighted means: how weights decay, and how many rows one scale can hold."""
 
 import math
 
-from pyspark.sql import Column, functions as F
+_RANGE = 1e100  # weights within a block differ by no more than this
+_LONGEST = 4096
 
 
-def ewm_reach(span: float) -> int:
-    """Rows after which a weight is below double precision."""
-    decay = 1 - 2 / (span + 1)
-    return math.ceil(math.log(1e-18) / math.log(decay)) if decay > 0 else 0
+def decay_of(span: float) -> float:
+    """Factor from one row's weight to that of the row before it."""
+    if span < 1:
+        raise ValueError("span must be at least 1")
+    return 1 - 2 / (span + 1)
 
 
-def ewm_of_array(values: Column, span: float) -> Column:
-    """Weighted mean of an oldest-first array, weights decaying by age (bias-adjusted)."""
-    decay = F.lit(1 - 2 / (span + 1))
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("weight"))
-    return F.aggregate(
-        values,
-        start,
-        lambda state, x: F.struct(
-            (state["total"] * decay + x).alias("total"),
-            (state["weight"] * decay + 1.0).alias("weight"),
-        ),
-        lambda state: F.when(state["weight"] > 0, state["total"] / state["weight"]),
-    )
+def block_length(decay: float) -> int:
+    """Rows whose weights fit one scale without overflow; sums within a block then lose nothing."""
+    if decay <= 0:
+        return _LONGEST
+    return max(1, min(_LONGEST, int(math.log(_RANGE) / -math.log(decay))))

@@ -1,12 +1,14 @@
 """Rest days, exponentially weighted form and game numbers."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tipoff.functions.clock import clip
-from tipoff.functions.form import ewm_of_array, ewm_reach
+from tipoff.functions.form import block_length, decay_of
 from tipoff.limits import DEFAULT, Limits
-from tipoff.operators.ordered import framed, row_rank
+from tipoff.operators.ordered import framed, row_rank, same
+from tipoff.operators.snapshots import running_points
 from tipoff.schema import GAME
+from tipoff.session import materialize
 
 
 def days_rest(
@@ -23,33 +25,99 @@ def days_rest(
 
 def ewm_mean(
     df: DataFrame, values: dict[str, str], keys: list[str], order: list[str],
-    *, span: float = 5, include_current: bool = True, limits: Limits = DEFAULT, row_bound: int | None = None,
+    *, span: float = 5, include_current: bool = True, limits: Limits = DEFAULT,
+    row_bound: int | None = None, block: int | None = None,
 ) -> DataFrame:
-    """Weighted mean of each value over its key's rows so far; ``values`` maps output to input.
-
-    Older rows than double precision can see are left out of the frame. The
-    values must not be null. Without the current row the first result is null.
+    """Weighted mean of each value over all its key's rows so far; ``values`` maps output to input.
+
+    A row's weight is ``decay`` times that of the next one. A null (or NaN)
+    value has no weight but lets the others decay, and shows the mean so far;
+    before the first value the mean is null. Without the current row the first
+    result is null. ``order`` should be unique per key.
+
+    Rows are cut into blocks (``block`` rows at most) in which plain running
+    sums of scaled values do: constant work per row, any span. What earlier
+    blocks hand on is summed over blocks by the same rule. Keys with more rows
+    than a block are looked for when this is called, unless ``row_bound`` rules
+    them out.
     """
-    reach = ewm_reach(span)
-    newest = 0 if include_current else -1
+    decay = decay_of(span)
+    block = block or block_length(decay)
+    ranked = row_rank(df, keys, order, "_place", limits=limits, row_bound=row_bound)
+    inputs = {}
+    for n, value in enumerate(values.values()):
+        x = F.col(value).cast("double")
+        known = x.isNotNull() & ~F.isnan(x)
+        inputs |= {f"_x{n}": F.when(known, x).otherwise(0.0), f"_w{n}": known.cast("double")}
+    summed = _decayed_sums(
+        ranked.withColumns(inputs), list(inputs), keys, "_place", decay, block, include_current, limits, row_bound
+    )
+    means = {
+        out: F.when(F.col(f"_w{n}_sum") > 0, F.col(f"_x{n}_sum") / F.col(f"_w{n}_sum")) for n, out in enumerate(values)
+    }
+    return summed.withColumns(means).drop("_place", *inputs, *[f"{c}_sum" for c in inputs])
 
-    def mean(value):
-        def column(window):
-            past = F.collect_list(F.col(value).cast("double"))
-            return ewm_of_array(past.over(window.rowsBetween(newest - reach, newest)), span)
-        return column
 
-    columns = {out: mean(value) for out, value in values.items()}
-    return framed(df, keys, order, columns, before=reach + 1, limits=limits, row_bound=row_bound)
+def _decayed_sums(df, columns, keys, place, decay, block, include_current, limits, row_bound):
+    """``<column>_sum``: sum of the values up to a row (or before it), each times decay to the power of its distance.
+
+    All sums of a row may share a factor of ``decay``, which means do not see.
+    """
+    inside, number = f"{place}_in", f"{place}_block"
+    df = df.withColumns({inside: F.col(place) % block, number: F.expr(f"{place} div {block}")})
+    end = Window.currentRow if include_current else -1
+    window = Window.partitionBy(*keys, number).orderBy(place).rowsBetween(Window.unboundedPreceding, end)
+    if decay == 0:  # only the newest value counts; the mean so far is the last one known
+        newest = {}
+        everything = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, end)
+        for x, w in zip(columns[::2], columns[1::2]):
+            newest[f"{x}_sum"] = F.last(F.when(F.col(w) > 0, F.col(x)), ignorenulls=True).over(everything)
+            newest[f"{w}_sum"] = F.coalesce(F.max(w).over(everything), F.lit(0.0))
+        return df.withColumns(newest).drop(inside, number)
+    grow, shrink = F.pow(F.lit(1 / decay), F.col(inside)), F.pow(F.lit(decay), F.col(inside))
+    sums = {f"{c}_sum": F.coalesce(F.sum(F.col(c) * grow).over(window), F.lit(0.0)) * shrink for c in columns}
+    if row_bound is None or row_bound > block:
+        df = materialize(df)
+        if not df.where(F.col(number) > 0).isEmpty():
+            carried = _carried(df, columns, keys, inside, number, decay, block, limits)
+            # One row per block, as many as block rows match each: nothing here is hot.
+            on = [*keys, number]
+            joined = same(df.withColumns(sums), carried, on, "left")
+            return joined.withColumns({
+                f"{c}_sum": F.col(f"{c}_sum") + F.coalesce(F.col(f"{c}_carry"), F.lit(0.0)) * shrink * decay
+                for c in columns
+            }).drop(inside, number, *[f"{c}_carry" for c in columns])
+    return df.withColumns(sums).drop(inside, number)
+
+
+def _carried(df, columns, keys, inside, number, decay, block, limits):
+    """Per block but a key's first: the decayed sums at the end of the block before it."""
+    age = F.pow(F.lit(decay), block - 1 - F.col(inside))
+    ends = df.groupBy(*keys, number).agg(*[F.sum(F.col(c) * age).alias(c) for c in columns])
+    at_end = decay**block
+    longer = block_length(at_end) if at_end > 0 else 1
+    blocks = _decayed_sums(
+        ends, columns, keys, number, at_end, min(block, max(2, longer)), True, limits, None
+    ) if at_end > 0 else ends.withColumnsRenamed({c: f"{c}_sum" for c in columns})
+    return blocks.select(*keys, (F.col(number) + 1).alias(number), *[F.col(f"{c}_sum").alias(f"{c}_carry") for c in columns])
 
 
 def player_game_totals(
-    plays: DataFrame, statistic: str = "Points", *, game: list[str] = GAME
+    plays: DataFrame, statistic: str = "Points",
+    *, game: list[str] = GAME, running: bool = False, limits: Limits = DEFAULT,
 ) -> DataFrame:
-    """Each player's total per game. With no negative increments it is the largest running sum."""
-    return plays.groupBy("Player", *game).agg(
-        F.sum(statistic).alias(f"CumulativePlayer{statistic}")
-    )
+    """Each player's largest running total per game.
+
+    Without negative increments that is the sum, and a negative one is an
+    error; ``running`` is for statistics that may fall.
+    """
+    out = f"CumulativePlayer{statistic}"
+    if running:
+        totals = running_points(plays, statistic, game=game, limits=limits)
+        return totals.groupBy("Player", *game).agg(F.max(out).alias(out))
+    value = F.col(statistic)
+    fail = F.raise_error(F.lit(f"negative {statistic}: use running=True")).cast("long")
+    return plays.groupBy("Player", *game).agg(F.sum(F.when(value < 0, fail).otherwise(value)).alias(out))
 
 
 def player_form(

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from tipoff.limits import DEFAULT, Limits
+from tipoff.operators.ordered import small
 from tipoff.session import materialize
 
 
@@ -16,7 +17,7 @@ def join_dimension(
     ``dim`` is broadcast only when counted (or known by ``row_bound``) to fit;
     otherwise both sides are shuffled, and keys whose ``rows`` column says they
     match more than ``limits.match_rows`` facts are spread over several tasks
-    by ``spread``.
+    by ``spread``. The counts are jobs that run when this is called.
     """
     if row_bound is None or row_bound > limits.broadcast_rows:
         dim = materialize(dim)
@@ -25,10 +26,12 @@ def join_dimension(
         return facts.join(F.broadcast(dim.drop(rows)), on, how)
     hot_rows = limits.match_rows
     salts = F.greatest(F.ceil(F.col(rows) / hot_rows), F.lit(1)).cast("int")
-    # At most all facts / hot_rows keys are hot, so this list is bounded.
     hot = dim.where(F.col(rows) > hot_rows).select(*on, salts.alias("_salts"))
+    n = hot.count()  # at most all facts / hot_rows
+    if not n:
+        return facts.join(dim.drop(rows), on, how)
     salted = (
-        facts.join(F.broadcast(hot), on, "left")
+        facts.join(small(hot, n, limits), on, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int"))
         .drop("_salts")
     )

@@ -12,8 +12,16 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def vectors(column: pa.Array, width: int) -> np.ndarray:
-    """An Arrow list column of equal-length vectors as a matrix."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    """An Arrow list column of vectors of ``width`` numbers as a matrix; anything else is an error."""
+    if column.null_count:
+        raise ValueError("a vector is null")
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if (lengths != width).any():
+        raise ValueError(f"a vector does not have {width} numbers")
+    flat = column.flatten()
+    if flat.null_count:
+        raise ValueError("a number of a vector is null")
+    return flat.to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
 def summed(df: DataFrame, fold: Callable[[pa.RecordBatch], np.ndarray], size: int) -> DataFrame:
@@ -40,7 +48,11 @@ def summed_vector(df: DataFrame, fold: Callable[[pa.RecordBatch], np.ndarray], s
 
 
 def gram_matrix(df: DataFrame, left: str, right: str, widths: tuple[int, int]) -> DataFrame:
-    """Sum over rows of left[i] * right[j], as (i, j, value)."""
+    """Sum over rows of left[i] * right[j], as (i, j, value).
+
+    Rows where either vector is null are left out; a vector of another length
+    or with a null number is an error.
+    """
     rows, columns = widths
 
     def fold(batch):
@@ -49,7 +61,7 @@ def gram_matrix(df: DataFrame, left: str, right: str, widths: tuple[int, int]) -
 
     pair = df.select(
         F.col(left).cast("array<double>").alias("x"), F.col(right).cast("array<double>").alias("y")
-    )
+    ).where("x IS NOT NULL AND y IS NOT NULL")
     slot = F.col("slot")
     return summed(pair, fold, rows * columns).select(
         F.floor(slot / columns).cast("int").alias("i"), (slot % columns).alias("j"), "value"

@@ -7,12 +7,13 @@ its position, positions are cut into blocks of ``block_rows`` rows, and each
 block is its own window. Running sums add the totals of earlier blocks; framed
 windows see copies of the rows just outside their block. ``row_bound``, where
 the caller knows how many rows there can be at all, may rule hot keys out
-without a search. Keys must not be null.
+without a search; otherwise the search is a job that runs when the operator is
+called, and hot rows are written then. A null key is a key like any other.
 """
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from tipoff.limits import DEFAULT, Limits
 from tipoff.session import materialize
@@ -21,11 +22,11 @@ _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row numbe
 
 
 def with_position(df: DataFrame, order: list, out: str) -> DataFrame:
-    """Add the 0-based position in the global sort order, without a one-task window."""
+    """Add the 0-based position in the global sort order, without a one-task window. Sorts and writes when called."""
     tagged = materialize(
         df.orderBy(*order).withColumn("_tag", F.monotonically_increasing_id())
     ).withColumn("_part", F.shiftright("_tag", _ROW_BITS))
-    # One row per sort partition, so both the window and the broadcast are bounded.
+    # One row per sort partition, a number that is configured, so both the window and the broadcast are bounded.
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tagged.groupBy("_part").agg(F.count("*").alias("_rows")).select(
         "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
@@ -38,29 +39,48 @@ def with_position(df: DataFrame, order: list, out: str) -> DataFrame:
     )
 
 
-def hot_groups(df: DataFrame, keys: list[str], limits: Limits = DEFAULT) -> DataFrame | None:
-    """Keys with more than ``limits.group_rows`` rows, or None; at most rows / group_rows keys."""
+def small(df: DataFrame, rows: int, limits: Limits) -> DataFrame:
+    """``df``, known to have at most ``rows`` rows, marked for broadcast if that is few."""
+    return F.broadcast(df) if rows <= limits.broadcast_rows else df
+
+
+def same(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Equi-join on ``keys`` where null meets null; the keys of ``other`` go."""
+    renamed = other.withColumnsRenamed({c: f"_same_{c}" for c in keys})
+    joined = df.join(renamed, [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in keys], how)
+    return joined.drop(*[f"_same_{c}" for c in keys])
+
+
+def hot_groups(
+    df: DataFrame, keys: list[str], limits: Limits = DEFAULT, row_bound: int | None = None
+) -> tuple[DataFrame, int, int] | None:
+    """Written keys with more than ``limits.group_rows`` rows, how many they are and how many rows they have; or None."""
+    if row_bound is not None and row_bound <= limits.group_rows:
+        return None
+    seen = Observation()
     hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limits.group_rows)
-    found = hot.select(*keys).collect()
-    return df.sparkSession.createDataFrame(found, df.select(*keys).schema) if found else None
+    hot = hot.observe(seen, F.count(F.lit(1)).alias("keys"), F.sum("_n").alias("rows"))
+    written = materialize(hot.select(*keys))
+    found = seen.get
+    return (written, found["keys"], found["rows"]) if found["keys"] else None
 
 
 def _split(df, keys, limits, row_bound):
-    if row_bound is not None and row_bound <= limits.group_rows:
-        return df, None
-    hot = hot_groups(df, keys, limits)
-    if hot is None:
-        return df, None
-    hot = F.broadcast(hot)
+    """Rows of other keys, written rows of hot keys (or None), number of hot keys, number of their rows."""
+    found = hot_groups(df, keys, limits, row_bound)
+    if found is None:
+        return df, None, 0, 0
+    hot, n, rows = found
+    hot = small(hot, n, limits)
     # Written once, because sampling and sorting would each read the source again.
-    return df.join(hot, keys, "left_anti"), materialize(df.join(hot, keys, "left_semi"))
+    return same(df, hot, keys, "left_anti"), materialize(same(df, hot, keys, "left_semi")), n, rows
 
 
-def _hot_rank(df, keys, order, out):
+def _hot_rank(df, keys, order, out, n, limits):
     placed = with_position(df, [*keys, *order], "_pos")
-    first = placed.groupBy(*keys).agg(F.min("_pos").alias("_first"))  # one row per hot key
+    first = placed.groupBy(*keys).agg(F.min("_pos").alias("_first"))
     return (
-        placed.join(F.broadcast(first), keys)
+        same(placed, small(first, n, limits), keys, "inner")
         .withColumn(out, F.col("_pos") - F.col("_first"))
         .drop("_pos", "_first")
     )
@@ -71,12 +91,12 @@ def row_rank(
     *, limits: Limits = DEFAULT, row_bound: int | None = None,
 ) -> DataFrame:
     """0-based row number per key."""
-    cold, hot = _split(df, keys, limits, row_bound)
+    cold, hot, n, _ = _split(df, keys, limits, row_bound)
     plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     result = cold.withColumn(out, plain.cast("long"))
     if hot is None:
         return result
-    return result.unionByName(_hot_rank(hot, keys, order, out))
+    return result.unionByName(_hot_rank(hot, keys, order, out, n, limits))
 
 
 def running_sums(
@@ -88,7 +108,7 @@ def running_sums(
     ``levels`` maps each output to the keys it adds to ``keys``. All levels
     share one shuffle by ``keys``, and one sort of the keys that are hot.
     """
-    cold, hot = _split(df, keys, limits, row_bound)
+    cold, hot, n, rows = _split(df, keys, limits, row_bound)
 
     def add(frame, place, sort):
         for out, extra in levels.items():
@@ -100,7 +120,7 @@ def running_sums(
     result = add(cold, [], order)
     if hot is None:
         return result
-    ranked = _hot_rank(hot, keys, order, "_rank").withColumn(
+    ranked = _hot_rank(hot, keys, order, "_rank", n, limits).withColumn(
         "_block", F.floor(F.col("_rank") / limits.block_rows)
     )
     blocked = add(ranked, ["_block"], ["_rank"])
@@ -112,7 +132,7 @@ def running_sums(
             F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carry"),
         )
         if not extra:
-            carried = F.broadcast(carried)  # one row per block: rows / block_rows plus the hot keys
+            carried = small(carried, rows // limits.block_rows + n, limits)  # one row per block
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*part, "_block")]
         blocked = (
             blocked.join(carried, same)
@@ -132,7 +152,7 @@ def framed(
 
     Each entry of ``columns`` receives the ordered window and returns a column.
     """
-    cold, hot = _split(df, keys, limits, row_bound)
+    cold, hot, n, _ = _split(df, keys, limits, row_bound)
 
     def add(frame, window):
         return frame.withColumns({name: make(window) for name, make in columns.items()})
@@ -141,7 +161,7 @@ def framed(
     if hot is None:
         return result
     size = max(limits.block_rows, before, after, 1)
-    ranked = _hot_rank(hot, keys, order, "_rank").withColumn("_own", F.floor(F.col("_rank") / size))
+    ranked = _hot_rank(hot, keys, order, "_rank", n, limits).withColumn("_own", F.floor(F.col("_rank") / size))
     place = F.col("_rank") % size
     homes = F.array(
         F.col("_own"),

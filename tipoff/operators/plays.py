@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from tipoff.functions import clock, scoring
+from tipoff.limits import DEFAULT, Limits
 from tipoff.operators.joins import join_dimension
 from tipoff.schema import GAME
 
@@ -59,17 +60,36 @@ def scoring_events(plays: DataFrame) -> DataFrame:
     return add_points(plays.where(attempt))
 
 
-def attach_rest(plays: DataFrame, rest: DataFrame, *, game: list[str] = GAME) -> DataFrame:
+def attach_rest(
+    plays: DataFrame, rest: DataFrame, *, game: list[str] = GAME,
+    limits: Limits = DEFAULT, row_bound: int | None = None,
+) -> DataFrame:
     """Join each play with its team's and its opponent's days of rest.
 
-    An opponent without a single play in the game has none, and leaves null.
+    ``rest`` says how many plays a team has in a game (``Plays``) and how many
+    name it as opponent (``Faced``), which decides whether they are spread over
+    tasks. An opponent without a single play in the game has no rest, and
+    leaves null. ``row_bound``: rows of ``rest``, where known.
     """
-    keys = [*game, "Team"]
-    own = rest.select(*keys, "TeamRest", "Plays")
+    own = rest.select(*game, "Team", "TeamRest", "Plays")
     other = rest.select(
-        *game, F.col("Team").alias("Opponent"), F.col("TeamRest").alias("OpponentTeamRest"), "Plays"
+        *game, F.col("Team").alias("Opponent"), F.col("TeamRest").alias("OpponentTeamRest"), "Faced"
+    )
+    with_own = join_dimension(
+        plays, own, [*game, "Team"], rows="Plays", spread="PlaySeq", limits=limits, row_bound=row_bound
     )
-    with_own = join_dimension(plays, own, keys, rows="Plays", spread="PlaySeq")
     return join_dimension(
-        with_own, other, [*game, "Opponent"], rows="Plays", spread="PlaySeq", how="left"
+        with_own, other, [*game, "Opponent"], rows="Faced", spread="PlaySeq", how="left",
+        limits=limits, row_bound=row_bound,
     )
+
+
+def team_plays(plays: DataFrame, *, game: list[str] = GAME) -> DataFrame:
+    """Per game and team with a play: its plays, and those that name it as opponent, from one pass."""
+    pairs = plays.groupBy(*game, "Team", "Opponent").agg(F.count("*").alias("_n"))
+    roles = pairs.select(*game, F.inline(F.array(
+        F.struct(F.col("Team"), F.col("_n").alias("Plays"), F.lit(0).cast("long").alias("Faced")),
+        F.struct(F.col("Opponent").alias("Team"), F.lit(0).cast("long").alias("Plays"), F.col("_n").alias("Faced")),
+    )))
+    counts = roles.groupBy(*game, "Team").agg(F.sum("Plays").alias("Plays"), F.sum("Faced").alias("Faced"))
+    return counts.where(F.col("Plays") > 0)

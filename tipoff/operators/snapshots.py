@@ -1,7 +1,8 @@
 """Scores at the end of each interval, by partial aggregation instead of per-game sorts.
 
-A running total of points never falls, so its largest value up to a cut is the
-conditional sum up to that cut. Only the opponent's score needs the order of
+A running total of a statistic without negative values never falls, so its
+largest value up to a cut is the conditional sum up to that cut; a negative
+value is an error. (:func:`running_snapshots` is for statistics that fall.) Only the opponent's score needs the order of
 plays: it is read at the team's own last attempt. One pass finds those last
 attempts per game and side, a second sums the other side's points up to them.
 Neither pass sorts plays or gathers a game in one task, so the size of a single
@@ -19,17 +20,31 @@ from tipoff.operators.ordered import running_sums
 from tipoff.schema import GAME
 from tipoff.session import materialize_counted
 
-_SEQ_BITS = 48
-SEQUENCE_LIMIT = 1 << _SEQ_BITS  # play sequence numbers are 0 <= n < limit
+SEQUENCE_LIMIT = 1 << 47  # play sequence numbers of ordinary games are 0 <= n < limit
 SIDES = {"Home": 1, "Away": 0}
 
 
-def play_order(elapsed: str = "TimeElapsed", seq: str = "PlaySeq") -> Column:
-    """Clock first, then play sequence, packed in one long so aggregates stay hash-based."""
-    fits = F.col(seq).between(0, SEQUENCE_LIMIT - 1)
-    packed = F.shiftleft(F.col(elapsed).cast("long"), _SEQ_BITS) + F.col(seq).cast("long")
-    return F.when(fits, packed).otherwise(
-        F.raise_error(F.lit("play sequence outside 0..2^48")).cast("long")
+def clock_bits(game_seconds: int) -> int:
+    """Bits for the clock: at least 16, and room for eight times the game."""
+    return max(16, int(8 * game_seconds).bit_length())
+
+
+def play_order(
+    elapsed: str = "TimeElapsed", seq: str = "PlaySeq", *, game_seconds: int = GAME_SECONDS
+) -> Column:
+    """Clock first, then play sequence, packed in one long so aggregates stay hash-based.
+
+    Null for a null clock or sequence; a value that does not fit its bits is an error.
+    """
+    bits = clock_bits(game_seconds)
+    seq_bits = 63 - bits
+    time, number = F.col(elapsed).cast("long"), F.col(seq).cast("long")
+    fail = lambda text: F.raise_error(F.lit(text)).cast("long")
+    return (
+        F.when(time.isNull() | number.isNull(), F.lit(None).cast("long"))
+        .when(~time.between(0, (1 << bits) - 1), fail(f"game clock outside 0..2^{bits}"))
+        .when(~number.between(0, (1 << seq_bits) - 1), fail(f"play sequence outside 0..2^{seq_bits}"))
+        .otherwise(F.shiftleft(time, seq_bits) + number)
     )
 
 
@@ -48,11 +63,21 @@ def running_points(
 
 
 def _up_to(cut, value):
-    return value if cut is None else F.when(F.col("TimeElapsed") <= cut, value)
+    """``value`` of plays up to a cut; a play without a clock is up to none."""
+    clock = F.col("TimeElapsed")
+    return F.when(clock.isNotNull() if cut is None else clock <= cut, value)
+
+
+def _counted(statistic: str) -> Column:
+    """The statistic of plays that count, in a type that keeps fractions; it must not fall."""
+    value = F.col(statistic)
+    whole = F.when(value < 0, F.raise_error(F.lit(f"negative {statistic}: use running=True")).cast("long")).otherwise(value)
+    return F.when(F.col("Counted"), whole).otherwise(0)
 
 
 def play_summary(
-    plays: DataFrame, cuts: list, statistic: str = "Points", *, game: list[str] = GAME
+    plays: DataFrame, cuts: list, statistic: str = "Points",
+    *, game: list[str] = GAME, game_seconds: int = GAME_SECONDS,
 ) -> DataFrame:
     """One row per game, side and player with everything later steps need from the plays.
 
@@ -63,10 +88,10 @@ def play_summary(
     counted = F.col("Counted")
     player = F.when(counted, F.col("Player")).alias("Player")
     order = F.when(counted, F.col("_order"))
-    points = F.when(counted, F.col(statistic)).otherwise(0).cast("long")
+    points = _counted(statistic)
     sums = [F.coalesce(F.sum(_up_to(c, points)), F.lit(0)).alias(f"_sum{i}") for i, c in enumerate(cuts)]
     lasts = [F.max(_up_to(c, order)).alias(f"_last{i}") for i, c in enumerate(cuts)]
-    return plays.withColumn("_order", play_order()).groupBy(*game, "Home", player).agg(
+    return plays.withColumn("_order", play_order(game_seconds=game_seconds)).groupBy(*game, "Home", player).agg(
         F.min("Season").alias("Season"),
         F.min(order).alias("_first"),
         F.count("*").alias("Plays"),
@@ -95,15 +120,16 @@ def game_summary(summary: DataFrame, intervals: int, *, game: list[str] = GAME)
 
 def opponent_snapshots(
     plays: DataFrame, games: DataFrame, intervals: int, statistic: str = "Points",
-    *, game: list[str] = GAME, limits: Limits = DEFAULT, row_bound: int | None = None,
+    *, game: list[str] = GAME, game_seconds: int = GAME_SECONDS,
+    limits: Limits = DEFAULT, row_bound: int | None = None,
 ) -> DataFrame:
     """Per game, the other side's points up to each side's last attempt in each interval."""
     last_attempts = games.select(
         *game, "Plays", *[f"_{side}Last{i}" for side in SIDES for i in range(intervals)]
     )
     scored = plays.where(F.col("Counted") & (F.col(statistic) != 0)).select(
-        *game, "Home", "PlaySeq", play_order().alias("_order"),
-        F.col(statistic).cast("long").alias("_points"),
+        *game, "Home", "PlaySeq", play_order(game_seconds=game_seconds).alias("_order"),
+        F.col(statistic).alias("_points"),
     )
     joined = join_dimension(
         scored, last_attempts, game, rows="Plays", spread="PlaySeq",
@@ -175,6 +201,50 @@ def attach_scores(
     )
 
 
+def running_snapshots(
+    plays: DataFrame, intervals: int = 2, statistic: str = "Points",
+    *, game: list[str] = GAME, game_seconds: int = GAME_SECONDS, limits: Limits = DEFAULT,
+) -> DataFrame:
+    """The columns of :func:`interval_snapshots` for a statistic that may fall.
+
+    Every value is the largest running total up to the cut (0 without a play);
+    the opponent's is the largest that the team's own plays saw. Plays are
+    ordered per game by :func:`running_points`, which splits hot games.
+    """
+    cuts = interval_cuts(intervals, game_seconds)
+    order = play_order(game_seconds=game_seconds)
+    # Plays without a clock keep their place before all others, and are up to no cut.
+    running = running_points(plays.where("Counted").withColumn("_order", order), statistic, game=game, limits=limits)
+
+    def highest(level):
+        return [F.max(_up_to(c, F.col(f"Cumulative{level}{statistic}"))) for c in cuts]
+
+    def largest(level):
+        return [F.coalesce(c, F.lit(0)) for c in highest(level)]
+
+    players = running.where(F.col("Player").isNotNull()).groupBy("Player", *game).agg(
+        F.min("Season").alias("Season"), F.min_by("Home", "_order").alias("Home"),
+        F.array(*largest("Player")).alias(f"CumulativePlayer{statistic}"),
+    )
+    sides = running.groupBy(*game, "Home").agg(
+        F.array(*largest("Team")).alias("_team"), F.array(*largest("Opponent")).alias("_opponent"),
+        F.array(*highest("Total")).alias("_total"), F.approx_count_distinct("Player").alias("_players"),
+    )
+    nothing = F.array(*[F.lit(0)] * intervals)
+    pick = lambda c, flag: F.coalesce(F.max(F.when(F.col("Home") == flag, F.col(c))), nothing)
+    games, rows = materialize_counted(sides.groupBy(*game).agg(
+        F.sum("_players").alias("Players"),
+        *[pick(c, flag).alias(f"{c}{flag}") for c in ("_team", "_opponent") for flag in SIDES.values()],
+        F.array(*[F.coalesce(F.max(F.col("_total")[i]), F.lit(0)) for i in range(intervals)]).alias(f"CumulativeTotal{statistic}"),
+    ))
+    joined = join_dimension(players, games, game, rows="Players", spread="Player", limits=limits, row_bound=rows)
+    home = F.col("Home") == SIDES["Home"]
+    return joined.withColumns({
+        f"CumulativeTeam{statistic}": F.when(home, F.col("_team1")).otherwise(F.col("_team0")),
+        f"CumulativeOpponent{statistic}": F.when(home, F.col("_opponent1")).otherwise(F.col("_opponent0")),
+    }).drop("Players", "_team0", "_team1", "_opponent0", "_opponent1")
+
+
 @dataclass(frozen=True)
 class ScoreTables:
     """Two written tables and their row counts."""
@@ -192,12 +262,12 @@ def score_tables(
 ) -> ScoreTables:
     """The per-player summary and the per-game score arrays."""
     cuts = interval_cuts(intervals, game_seconds)
-    summary, rows = materialize_counted(play_summary(plays, cuts, statistic, game=game))
+    summary, rows = materialize_counted(play_summary(plays, cuts, statistic, game=game, game_seconds=game_seconds))
     games = game_summary(summary, intervals, game=game)
     opponents = None
     if opponent_score == "at_last_play":
         opponents = opponent_snapshots(
-            plays, games, intervals, statistic, game=game, limits=limits, row_bound=rows
+            plays, games, intervals, statistic, game=game, game_seconds=game_seconds, limits=limits, row_bound=rows
         )
     elif opponent_score != "at_cut":
         raise ValueError(f"unknown opponent_score {opponent_score!r}")
@@ -209,9 +279,16 @@ def score_tables(
 def interval_snapshots(
     plays: DataFrame, intervals: int = 2, statistic: str = "Points",
     *, game: list[str] = GAME, game_seconds: int = GAME_SECONDS,
-    opponent_score: str = "at_last_play", limits: Limits = DEFAULT,
+    opponent_score: str = "at_last_play", running: bool = False, limits: Limits = DEFAULT,
 ) -> DataFrame:
-    """Player, total, team and opponent scores as arrays, one row per player and game."""
+    """Player, total, team and opponent scores as arrays, one row per player and game.
+
+    ``running`` takes the largest running totals, for a statistic with negative values.
+    """
+    if running:
+        if opponent_score != "at_last_play":
+            raise ValueError("running totals take the opponent's score at the team's own plays")
+        return running_snapshots(plays, intervals, statistic, game=game, game_seconds=game_seconds, limits=limits)
     tables = score_tables(
         plays, intervals, statistic, game=game, game_seconds=game_seconds,
         opponent_score=opponent_score, limits=limits,

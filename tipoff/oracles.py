@@ -4,47 +4,56 @@ Running totals, maxima per interval and self-joins are spelled out here, where
 the Spark side uses conditional sums, so the two check each other.
 """
 
-from tipoff.functions import network, payoff
+from tipoff.functions import network
 from tipoff.queries import (
-    DAYS, EMBEDDING_WIDTH, FORM_THRESHOLD, INTERVALS, LINE_COLUMNS, OPTION, Q_DECAY, Q_RATE, Q_STEPS,
-    RATE, SCENARIOS, SEED,
+    DAYS, EMBEDDING_WIDTH, FORM_THRESHOLD, HELD_WEIGHTS, INTERVALS, LINE_COLUMNS, OPTION, Q_DECAY, Q_RATE, Q_STEPS,
+    RATE, SCENARIOS, SEED, WEIGHT_DIGITS,
 )
 from tipoff.schema import FEATURE_TABLE, FEATURES, PAYOFF_COLUMNS, STATE
 
 G = "HomeTeam, AwayTeam, DateKey"
 GP = f"{G}, Player"
-CUTS = [720 * (i + 1) for i in range(INTERVALS - 1)] + [None]
+
+
+def cuts_of(n):
+    return [2880 / n * (i + 1) for i in range(n - 1)] + [None]
 
 
 def r(expression, digits=6):
     return f"round({expression}, {digits}) + 0.0"
 
 
+def significant(expression, digits):
+    """Rounded to so many significant digits; 0 stays 0."""
+    place = f"CAST({digits - 1} - floor(log10(abs({expression}))) AS INTEGER)"
+    return f"CASE WHEN {expression} = 0 THEN 0.0 ELSE round({expression} * pow(10::DOUBLE, {place})) / pow(10::DOUBLE, {place}) END"
+
+
 def ewm(value, partition, order, current=True):
-    """Span 5: weights grow by 3/2 per row."""
+    """Span 5: weights grow by 3/2 per row; a null has none."""
     end = "CURRENT ROW" if current else "1 PRECEDING"
     frame = f"(PARTITION BY {partition} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND {end})"
     rank = "_rn"
-    return f"sum({value} * pow(1.5::DOUBLE, {rank})) OVER {frame} / sum(pow(1.5::DOUBLE, {rank})) OVER {frame}"
+    return f"sum({value} * pow(1.5::DOUBLE, {rank})) OVER {frame} / sum(CASE WHEN {value} IS NOT NULL THEN pow(1.5::DOUBLE, {rank}) END) OVER {frame}"
 
 
 def up_to(cut, value):
     return f"max({value})" if cut is None else f"max({value}) FILTER (TimeElapsed <= {cut})"
 
 
-def chain(clock="TimeElapsed", corrected=False):
+def chain(corrected=False, n=INTERVALS, statistic="Points"):
     """Named steps from events to features, each building on the ones before it."""
-    n = INTERVALS
+    cuts = cuts_of(n)
     team_home = "CASE WHEN Home = 1 THEN {h} ELSE {a} END"
     other_home = "CASE WHEN Home = 0 THEN {h} ELSE {a} END" if corrected else team_home
     snapshot = []
-    for i, cut in enumerate(CUTS):
+    for i, cut in enumerate(cuts):
         snapshot.append(f"coalesce({up_to(cut, 'CumulativePlayerPoints')}, 0) AS p{i + 1}")
-    game = ", ".join(f"coalesce({up_to(c, 'CumulativeTotalPoints')}, 0) AS g{i + 1}" for i, c in enumerate(CUTS))
+    game = ", ".join(f"coalesce({up_to(c, 'CumulativeTotalPoints')}, 0) AS g{i + 1}" for i, c in enumerate(cuts))
     team = ", ".join(
         f"coalesce({up_to(c, 'CumulativeTeamPoints')}, 0) AS t{i + 1}, "
         f"coalesce({up_to(c, 'CumulativeOpponentPoints')}, 0) AS o{i + 1}"
-        for i, c in enumerate(CUTS)
+        for i, c in enumerate(cuts)
     )
     opponent = "g{i} - t{i}" if corrected else "o{i}"
     totals_home = "max(CumulativeTeamPoints) FILTER (Home = {f})" if corrected else "max(CumulativeTeamPoints)"
@@ -65,14 +74,15 @@ def chain(clock="TimeElapsed", corrected=False):
         for i in range(n + 1)
     )
     return {
-        "ev": """SELECT event_id, user_id, event_type, CAST(ts AS DATE) AS dt,
+        "ev": """SELECT event_id, user_id, event_type, value AS Value,
             date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS d,
             hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS s,
             CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k, user_id % 10 AS tm FROM events""",
-        "slotted": """SELECT *, CASE WHEN tm < 5 THEN tm ELSE (tm - 5 - d % 5 + 5) % 5 END AS slot FROM ev""",
+        "slotted": """SELECT *, DATE '2024-01-01' + CAST(d + d // 3 + 2 * (d // 5) + d // 15 AS INTEGER) AS dt,
+            CAST(k - 50 AS INTEGER) AS Swing, CASE WHEN tm < 5 THEN tm ELSE (tm - 5 - d % 5 + 5) % 5 END AS slot FROM ev""",
         "paired": """SELECT *, CASE WHEN d % 2 = 0 THEN slot ELSE 5 + (slot + d) % 5 END AS h,
             CASE WHEN d % 2 = 0 THEN 5 + (slot + d) % 5 ELSE slot END AS a
-            FROM slotted WHERE (slot + 2 * d) % 4 <> 0""",
+            FROM slotted""",
         "log": """SELECT event_id AS PlaySeq, 'T' || h AS HomeTeam, 'T' || a AS AwayTeam,
             day(dt) || '/' || month(dt) || '/' || year(dt) AS DateKey, dt,
             CAST(CASE WHEN s < 82800 THEN s // 20700 + 1 ELSE 5 END AS INTEGER) AS Quarter,
@@ -87,7 +97,7 @@ def chain(clock="TimeElapsed", corrected=False):
             CASE WHEN event_type NOT IN ('view', 'error') THEN CAST(user_id AS VARCHAR) END AS Shooter,
             CASE WHEN event_type = 'view' THEN CAST(user_id AS VARCHAR) END AS FreeThrowShooter,
             CASE WHEN k % 5 = 0 THEN '3-pt' WHEN k % 5 <> 1 THEN '2-pt' END AS ShotType,
-            CAST(CASE WHEN d < 15 THEN 2017 ELSE 2018 END AS INTEGER) AS Season FROM paired""",
+            CAST(CASE WHEN d < 15 THEN 2017 ELSE 2018 END AS INTEGER) AS Season, Value, Swing FROM paired""",
         "plays": f"""SELECT *, dt AS "Date",
             CASE WHEN Quarter <= 4 THEN 720 * Quarter - SecLeft
                  ELSE {2880 if corrected else 2160} + 300 * (Quarter - 4) - SecLeft END AS TimeElapsed,
@@ -102,7 +112,7 @@ def chain(clock="TimeElapsed", corrected=False):
             FROM plays WHERE FreeThrowOutcome IS NOT NULL OR ShotOutcome IS NOT NULL""",
         "running": "SELECT *, CumulativeTotalPoints - CumulativeTeamPoints AS CumulativeOpponentPoints FROM (SELECT *, "
         + ", ".join(
-            f"sum(Points) OVER (PARTITION BY {G}{extra} ORDER BY TimeElapsed, PlaySeq "
+            f"sum({statistic}) OVER (PARTITION BY {G}{extra} ORDER BY TimeElapsed, PlaySeq "
             f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS Cumulative{level}Points"
             for level, extra in (("Player", ", Player"), ("Total", ""), ("Team", ", Team"))
         )
@@ -350,7 +360,7 @@ def oracle_queries():
     t_next = f"((step + 1) / {DAYS}::DOUBLE)"
     put_terms = " + ".join(f"({b})" for b in basis_sql(t_next, "next_price"))
     stop = f"greatest({OPTION['strike']}::DOUBLE - next_price, 0.0)"
-    gamma = repr(payoff.discount(RATE, OPTION["expiry"], DAYS)) + "::DOUBLE"
+    gamma = f"exp(-{RATE}::DOUBLE * {OPTION['expiry']}::DOUBLE / {DAYS})"
     width = EMBEDDING_WIDTH
     return {
         "load_plays": steps("log", """SELECT PlaySeq, HomeTeam, AwayTeam, DateKey AS "Date", Quarter, SecLeft,
@@ -401,6 +411,11 @@ def oracle_queries():
             ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "Day") AS _rn FROM daily)
             SELECT user_id, "Day", {r('DayValue')} AS DayValue,
             round({ewm('DayValue', 'user_id', '_rn')}, 6) + 0.0 AS Form FROM ranked""",
+        "ewm_events_missing": f"""WITH daily AS (SELECT user_id, CAST(ts AS DATE) AS "Day",
+            sum(value) FILTER (event_type = 'purchase') AS Spent FROM events GROUP BY ALL),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "Day") AS _rn FROM daily)
+            SELECT user_id, "Day", {r('Spent')} AS Spent,
+            round({ewm('Spent', 'user_id', '_rn')}, 6) + 0.0 AS Form FROM ranked""",
         "team_game_totals": steps("finals", f"""SELECT {G}, CAST(HScored AS BIGINT) AS GameTeamPoints,
             CAST(HAllowed AS BIGINT) AS GameOpponentPoints FROM finals"""),
         "team_form": steps("away_form", side_form),
@@ -418,6 +433,18 @@ def oracle_queries():
         "interval_snapshots_at_cut": steps("by_team", f"SELECT Player, {G}, " + ", ".join(
             f"CAST(g{i} - t{i} AS BIGINT) AS CumulativeOpponentPoints_{i}" for i in range(1, n + 1)
         ) + f" {snapshot_join}"),
+        **{
+            name: steps("by_team", f"SELECT Player, {G}, " + ", ".join(
+                f"CAST({c}{i} AS BIGINT) AS Cumulative{level}Points_{i}" for level, c in levels for i in range(1, m + 1)
+            ) + f" {snapshot_join}", n=m)
+            for name, m in (("interval_snapshots_two", 2), ("interval_snapshots_twelve", 12))
+        },
+        "interval_snapshots_value": steps("by_team", f"SELECT Player, {G}, " + ", ".join(
+            f"{r(f'{c}{i}::DOUBLE')} AS Cumulative{level}Value_{i}" for level, c in levels for i in range(1, n + 1)
+        ) + f" {snapshot_join}", statistic="Value"),
+        "interval_snapshots_swing": steps("by_team", f"SELECT Player, {G}, " + ", ".join(
+            f"CAST({c}{i} AS BIGINT) AS Cumulative{level}Swing_{i}" for level, c in levels for i in range(1, n + 1)
+        ) + f" {snapshot_join}", statistic="Swing"),
         "stack_intervals": steps("stacked", f"""SELECT Player, {G}, CAST(Interval AS INTEGER) AS Interval,
             CAST(cp AS DOUBLE) AS CumulativePlayerPointsInterval, CAST(ct AS DOUBLE) AS CumulativeTeamPointsInterval,
             CAST(co AS DOUBLE) AS CumulativeOpponentPointsInterval FROM stacked"""),
@@ -458,22 +485,33 @@ def oracle_queries():
         + histogram_sql("prices", "price"),
         "bellman_gram": steps("valued", f"""SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
             {r('value', 1)} AS value FROM ({gram_terms})"""),
+        "bellman_gram_held": steps("valued", ", " + policy_steps().split("policy_path(n, w)")[0].rstrip(", ") + f""",
+            held AS (SELECT *, Alive AND list_dot_product(psi, {[float(w) for w in HELD_WEIGHTS]}::DOUBLE[]) > Payoff AS hold FROM moves)
+            SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, {r(f"""sum(CASE WHEN j <= {len(STATE)}
+                THEN phi[i] * (phi[j] - CASE WHEN hold THEN psi[j] ELSE 0 END)
+                ELSE CASE WHEN hold THEN 0 ELSE phi[i] * Payoff END END) + CASE WHEN i = j THEN 0.001 ELSE 0 END""", 1)} AS value
+            FROM held CROSS JOIN (SELECT unnest(range(1, {len(STATE) + 1})) AS i)
+            CROSS JOIN (SELECT unnest(range(1, {len(STATE) + 2})) AS j) GROUP BY i, j"""),
         "embedding_gram": f"""SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
             {r('sum(embedding[i + 1]::DOUBLE * embedding[j + 1]::DOUBLE)', 5)} AS value FROM embeddings
             CROSS JOIN (SELECT unnest(range({width})) AS i) CROSS JOIN (SELECT unnest(range({width})) AS j) GROUP BY i, j""",
         "lspi_weights": steps("valued", ", " + policy_steps() + f"""
             SELECT CAST(position AS INTEGER) AS position, {STATE}[position + 1] AS feature,
-            {r('w[position + 1]', 3)} AS weight FROM policy CROSS JOIN (SELECT unnest(range({len(STATE)})) AS position)"""),
-        "lspi_scored": steps("valued", ", " + policy_steps() + "SELECT " + ", ".join(
+            {significant('w[position + 1]', WEIGHT_DIGITS)} AS weight FROM policy CROSS JOIN (SELECT unnest(range({len(STATE)})) AS position)"""),
+        **{name: steps("valued", ", " + policy_steps() + "SELECT " + ", ".join(
             f"{r(c)} AS {c}" if c not in ("Interval", "Home") else c for c in STATE)
             + f""", Player, {r('list_dot_product(phi, w)')} AS res, Opponent AS Opposition, "Date", GameId AS Game
-            FROM moves CROSS JOIN policy"""),
+            FROM moves CROSS JOIN policy""") for name in ("lspi_scored", "lspi_output_roundtrip")},
         "exercise_policy": steps("valued", ", " + policy_steps() + f"""
             SELECT {features_up}, {r('Payoff')} AS Payoff, {r('list_dot_product(psi, w)')} AS Continuation,
             CASE WHEN Alive AND list_dot_product(psi, w) > Payoff THEN 'hold' ELSE 'exercise' END AS Decision
             FROM moves CROSS JOIN policy"""),
         "network_score": steps("stats", ", " + network_steps("training", features_up, initial_theta())
             + f"SELECT {features_up}, {r('res')} AS res FROM valued_states"),
+        "network_output_roundtrip": steps("stats", ", " + network_steps(
+            "training", ", ".join([*STATE, "Player"]), initial_theta()) + "SELECT " + ", ".join(
+            f"{r(c)} AS {c}" if c not in ("Interval", "Home") else c for c in STATE)
+            + f", Player, {r('res')} AS res FROM valued_states"),
         "score_histogram": steps("stats", ", " + network_steps("training", features_up, initial_theta()).rstrip()
             + histogram_sql("valued_states", "res")),
         "scenario_price": steps("stats", f", scenarios(Scenario, {', '.join(STATE)}) AS (VALUES {scenario_rows}), "

@@ -19,6 +19,8 @@ SEED = 100
 OPTION = {"strike": 100.0, "expiry": 1.0}
 RATE = 0.05
 DAYS = 30
+WEIGHT_DIGITS = 3  # significant; team, opponent and margin are collinear, so only the ridge pins their weights
+HELD_WEIGHTS = [0.0, 0.3] + [0.0] * 11  # go on where three tenths of the next points beat the payoff
 Q_STEPS, Q_RATE, Q_DECAY = 20, 0.05, 0.999
 
 # Hypothetical states, one per interval, for a 20-point and a 30-point player.
@@ -86,6 +88,13 @@ def training_pairs(spark, sf_dir):
     return lspi.prepare_pairs(training(spark, sf_dir), INTERVALS)
 
 
+def significant(df, column, digits):
+    """``column`` rounded to so many significant digits; 0 stays 0."""
+    value = F.col(column)
+    scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(value))))
+    return df.withColumn(column, F.when(value == 0, 0.0).otherwise(F.round(value * scale) / scale))
+
+
 def spread(df, column, names):
     """An array column as one column per name."""
     return df.select(
@@ -178,11 +187,12 @@ def order_day_ordinal(spark, sf_dir):
     return keys.group_ordinal(orders, ["o_custkey", "DayText"], "DayId")
 
 
-def _team_rest(spark, sf_dir):
-    plays = prepared(spark, sf_dir)
-    teams, rows = materialize_counted(plays.groupBy(*GAME, "Team").agg(F.count("*").alias("Plays")))
+def _team_rest(spark, sf_dir, **options):
+    """The plays, the written rest of both teams of every game, and its row count."""
+    plays = prepared(spark, sf_dir, **options)
+    teams, rows = materialize_counted(play_ops.team_plays(plays))
     dated = play_ops.parse_dates(teams, DATE_FORMAT)
-    return plays, form.days_rest(dated, "Team", "Date", order=GAME, row_bound=rows)
+    return plays, form.days_rest(dated, "Team", "Date", order=GAME, row_bound=rows), rows
 
 
 @query
@@ -192,15 +202,16 @@ def rest_days(spark, sf_dir):
 
 @query
 def rest_days_joined(spark, sf_dir):
-    plays, rest = _team_rest(spark, sf_dir)
-    return play_ops.attach_rest(plays, rest).select("PlaySeq", "Team", "TeamRest", "OpponentTeamRest")
+    plays, rest, rows = _team_rest(spark, sf_dir)
+    return play_ops.attach_rest(plays, rest, row_bound=rows).select("PlaySeq", "Team", "TeamRest", "OpponentTeamRest")
 
 
 @query
 def rest_days_true_opponent(spark, sf_dir):
-    plays, rest = _team_rest(spark, sf_dir)
-    other = play_ops.attribute_plays(plays, opponent="true")
-    return play_ops.attach_rest(other, rest).select("PlaySeq", "Opponent", "TeamRest", "OpponentTeamRest")
+    plays, rest, rows = _team_rest(spark, sf_dir, opponent="true")
+    return play_ops.attach_rest(plays, rest, row_bound=rows).select(
+        "PlaySeq", "Opponent", "TeamRest", "OpponentTeamRest"
+    )
 
 
 @query
@@ -265,6 +276,16 @@ def ewm_events_daily(spark, sf_dir):
     return rounded(form.ewm_mean(daily, {"Form": "DayValue"}, ["user_id"], ["Day"], row_bound=rows))
 
 
+@query
+def ewm_events_missing(spark, sf_dir):
+    """Days without a purchase have no value, and only let the earlier ones age."""
+    spent = F.sum(F.when(F.col("event_type") == "purchase", F.col("value")))
+    daily, rows = materialize_counted(table(spark, sf_dir, "events").groupBy(
+        "user_id", F.to_date("ts").alias("Day")
+    ).agg(spent.alias("Spent")))
+    return rounded(form.ewm_mean(daily, {"Form": "Spent"}, ["user_id"], ["Day"], row_bound=rows))
+
+
 def _final_scores(spark, sf_dir):
     tables = snapshots.score_tables(prepared(spark, sf_dir), INTERVALS)
     games = play_ops.parse_dates(tables.games.where("HasAttempts"), DATE_FORMAT)
@@ -310,12 +331,7 @@ def _snapshots(spark, sf_dir, **options):
 
 @query
 def interval_snapshots(spark, sf_dir):
-    wide = _snapshots(spark, sf_dir)
-    levels = ("Player", "Total", "Team", "Opponent")
-    return wide.select("Player", *GAME, *[
-        F.col(f"Cumulative{level}Points")[i].alias(f"Cumulative{level}Points_{i + 1}")
-        for level in levels for i in range(INTERVALS)
-    ])
+    return _spread_snapshots(_snapshots(spark, sf_dir), INTERVALS)
 
 
 @query
@@ -327,6 +343,40 @@ def interval_snapshots_at_cut(spark, sf_dir):
     ])
 
 
+def _spread_snapshots(wide, intervals, statistic="Points"):
+    levels = ("Player", "Total", "Team", "Opponent")
+    return wide.select("Player", *GAME, *[
+        F.col(f"Cumulative{level}{statistic}")[i].alias(f"Cumulative{level}{statistic}_{i + 1}")
+        for level in levels for i in range(intervals)
+    ])
+
+
+@query
+def interval_snapshots_two(spark, sf_dir):
+    return _spread_snapshots(snapshots.interval_snapshots(prepared(spark, sf_dir)), 2)
+
+
+@query
+def interval_snapshots_twelve(spark, sf_dir):
+    return _spread_snapshots(snapshots.interval_snapshots(prepared(spark, sf_dir), 12), 12)
+
+
+@query
+def interval_snapshots_value(spark, sf_dir):
+    """Snapshots of a statistic with fractions."""
+    plays = plan.prepare_plays(plays_from_events(table(spark, sf_dir, "events"), Value=F.col("value")))
+    return rounded(_spread_snapshots(snapshots.interval_snapshots(plays, INTERVALS, "Value"), INTERVALS, "Value"))
+
+
+@query
+def interval_snapshots_swing(spark, sf_dir):
+    """Snapshots of a whole-number statistic that rises and falls."""
+    swing = F.regexp_extract("props", r'"k":\s*(\d+)', 1).try_cast("int") - 50
+    plays = plan.prepare_plays(plays_from_events(table(spark, sf_dir, "events"), Swing=swing))
+    wide = snapshots.interval_snapshots(plays, INTERVALS, "Swing", running=True)
+    return _spread_snapshots(wide, INTERVALS, "Swing")
+
+
 @query
 def stack_intervals(spark, sf_dir):
     stacked = stack.stack_intervals(_snapshots(spark, sf_dir), INTERVALS)
@@ -451,10 +501,16 @@ def embedding_gram(spark, sf_dir):
     return rounded(moments.gram_matrix(vectors, "v", "v", (EMBEDDING_WIDTH, EMBEDDING_WIDTH)), digits=5)
 
 
+@query
+def bellman_gram_held(spark, sf_dir):
+    """The system of an iteration whose weights make some states go on."""
+    return rounded(lspi.bellman_gram(training_pairs(spark, sf_dir), HELD_WEIGHTS), digits=1)
+
+
 @query
 def lspi_weights(spark, sf_dir):
-    """Three digits: team, opponent and margin are collinear, so only the ridge pins their weights."""
-    return rounded(lspi.weights_table(spark, lspi.lspi_fit(training_pairs(spark, sf_dir))), digits=3)
+    weights = lspi.weights_table(spark, lspi.lspi_fit(training_pairs(spark, sf_dir)))
+    return significant(weights, "weight", WEIGHT_DIGITS)
 
 
 def _scored_pairs(spark, sf_dir):
@@ -462,12 +518,34 @@ def _scored_pairs(spark, sf_dir):
     return valued, lspi.lspi_fit(valued)
 
 
-@query
-def lspi_scored(spark, sf_dir):
+def _lspi_output(spark, sf_dir):
     valued, policy = _scored_pairs(spark, sf_dir)
     scored = lspi.score_linear(valued, policy)
-    return rounded(scored.select(*STATE, "Player", "res", F.col("Opponent").alias("Opposition"), "Date",
-                                 F.col("GameId").alias("Game")))
+    return scored.select(*STATE, "Player", "res", F.col("Opponent").alias("Opposition"), "Date",
+                         F.col("GameId").alias("Game"))
+
+
+@query
+def lspi_scored(spark, sf_dir):
+    return rounded(_lspi_output(spark, sf_dir))
+
+
+def _written_scores(spark, scored):
+    path = f"{shared_folder(spark)}/tipoff/{uuid.uuid4().hex}"
+    play_log.write_scores(scored, path)
+    return play_log.read_table(spark, path, scored.schema)
+
+
+@query
+def lspi_output_roundtrip(spark, sf_dir):
+    """The scored table of the linear policy as a CSV file, read back."""
+    return rounded(_written_scores(spark, _lspi_output(spark, sf_dir)))
+
+
+@query
+def network_output_roundtrip(spark, sf_dir):
+    """The scored table of the network as a CSV file, read back."""
+    return rounded(_written_scores(spark, _network_scores(spark, sf_dir).select(*STATE, "Player", "res")))
 
 
 @query
