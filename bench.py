@@ -5,7 +5,7 @@ import os
 import time
 
 from tipoff.queries import QUERIES
-from tipoff.session import local_session
+from tipoff.session import intermediates, local_session
 
 HEADLINE = [
     "load_plays", "scoring_events", "running_points", "interval_snapshots", "rest_days_joined", "player_form",
@@ -17,9 +17,10 @@ HEADLINE = [
 
 def run(spark, name, folder):
     """Seconds to compute every row and column of a query."""
-    start = time.perf_counter()
-    QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+    with intermediates(spark):
+        start = time.perf_counter()
+        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
 
 
 def main():

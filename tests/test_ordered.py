@@ -29,7 +29,8 @@ def expected(skewed):
 
 
 def test_hot_groups_finds_only_large_keys(skewed, tiny):
-    assert [r.key for r in hot_groups(skewed, ["key"], tiny).collect()] == ["hot"]
+    found, n, rows = hot_groups(skewed, ["key"], tiny)
+    assert [r.key for r in found.collect()] == ["hot"] and n == 1 and rows > tiny.group_rows
     assert hot_groups(skewed, ["key"], Limits(group_rows=60)) is None
 
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+# Fixed values of the network.
 HIDDEN = 15
 INITIAL_RANGE = 0.1
 
@@ -63,3 +64,17 @@ def weighted_gradient(theta: np.ndarray, x: np.ndarray, error) -> tuple[np.ndarr
     for back, seen in ((back1, x), (back2, h1), (back3, h2)):
         parts += [(back.T @ seen).ravel(), back.sum(axis=0)]
     return q, np.concatenate(parts)
+
+
+def jacobian(theta: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Outputs q, and the gradient of every row's q as one row of a matrix."""
+    first, second, last = layers(theta, x.shape[1])
+    z1 = x @ first[0].T + first[1]
+    h1 = _softplus(z1)
+    z2 = h1 @ second[0].T + second[1]
+    h2 = _softplus(z2)
+    q = (h2 @ last[0].T + last[1])[:, 0]
+    back2 = last[0] * _sigmoid(z2)
+    back1 = back2 @ second[0] * _sigmoid(z1)
+    by_row = lambda back, seen: (back[:, :, None] * seen[:, None, :]).reshape(len(x), -1)
+    return q, np.hstack([by_row(back1, x), back1, by_row(back2, h1), back2, h2, np.ones((len(x), 1))])

@@ -47,6 +47,28 @@ def summed_vector(df: DataFrame, fold: Callable[[pa.RecordBatch], np.ndarray], s
     return total
 
 
+def summed_blocks(
+    df: DataFrame, fold: Callable[[pa.RecordBatch], np.ndarray], size: int, *, meet: int = 16
+) -> np.ndarray:
+    """``summed_vector`` for long vectors: whole ones are added up in ``meet`` tasks, whose sums reach the driver."""
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += fold(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["total"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for value in batch.column(0):
+                total += np.frombuffer(value.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["total"])
+
+    parts = df.mapInArrow(partial, "total binary").repartition(meet).mapInArrow(add, "total binary")
+    return sum((np.frombuffer(row.total) for row in parts.toLocalIterator()), np.zeros(size))
+
+
 def gram_matrix(df: DataFrame, left: str, right: str, widths: tuple[int, int]) -> DataFrame:
     """Sum over rows of left[i] * right[j], as (i, j, value).
 

@@ -1,6 +1,6 @@
 """From interval arrays to one row per interval, with margin features."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tipoff.functions.clock import GAME_SECONDS, minutes_left
 
@@ -33,3 +33,21 @@ def interval_features(
         "ScoreMarginxTimeRemainingInterval": F.abs("ScoreMarginInterval") * minutes,
         "ScoreMarginxTimeRemaining2Interval": F.abs("ScoreMarginInterval") * minutes * minutes,
     })
+
+
+def interval_values(
+    i: int, intervals: int, statistic: str = "Points", *, game_seconds: int = GAME_SECONDS
+) -> dict[str, Column]:
+    """The columns of :func:`stack_intervals` and :func:`interval_features` for one interval, from the arrays."""
+    score = {
+        level: F.col(f"Cumulative{level}{statistic}")[i - 1].cast("double") if i else F.lit(0.0) for level in LEVELS
+    }
+    margin = score["Team"] - score["Opponent"]
+    minutes = float(minutes_left(intervals, game_seconds)[i])
+    return {
+        "Interval": F.lit(i).cast("int"),
+        **{f"Cumulative{level}{statistic}Interval": value for level, value in score.items()},
+        "ScoreMarginInterval": margin,
+        "ScoreMarginxTimeRemainingInterval": F.abs(margin) * minutes,
+        "ScoreMarginxTimeRemaining2Interval": F.abs(margin) * minutes * minutes,
+    }

@@ -471,9 +471,9 @@ def oracle_queries():
             {r(f'RollingAvgPlayerPoints * Interval / {float(n)}')} AS ExpectedPoints,
             {r(f'CumulativePlayerPointsInterval - RollingAvgPlayerPoints * Interval / {float(n)}')} AS PathPayoff
             FROM training"""),
-        "bellman_pairs": steps("training", f"SELECT {features_up}, " + ", ".join(
+        **{name: steps("training", f"SELECT {features_up}, " + ", ".join(
             r(f"coalesce(lead({c}) OVER (PARTITION BY Player, GameId ORDER BY Interval), 0)::DOUBLE") + f" AS Next{c}"
-            for c in STATE) + " FROM training"),
+            for c in STATE) + " FROM training") for name in ("bellman_pairs", "bellman_pairs_by_window")},
         "feature_stats": steps("stats", f"SELECT feature, {r('mean')} AS mean, {r('deviation')} AS deviation FROM stats"),
         "standardized_features": steps("stats", "SELECT Player, GameId, " + ", ".join(
             r(f"({c}::DOUBLE - (SELECT mean FROM stats WHERE feature = '{c}')) / "

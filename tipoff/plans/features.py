@@ -6,7 +6,7 @@ from tipoff.functions import scoring
 from tipoff.functions.clock import GAME_SECONDS
 from tipoff.limits import DEFAULT, Limits
 from tipoff.operators import form, keys, plays as play_ops, snapshots, stack
-from tipoff.schema import FEATURE_TABLE, GAME
+from tipoff.schema import FEATURE_TABLE, GAME, STATE
 
 
 def prepare_plays(raw: DataFrame, *, overtime: str = "reference", opponent: str = "reference") -> DataFrame:
@@ -63,11 +63,12 @@ def build_features(
     *, game: list[str] = GAME, game_seconds: int = GAME_SECONDS, span: float = 5,
     overtime: str = "reference", opponent: str = "reference", opponent_score: str = "at_last_play",
     team_total: str = "either", include_current: bool = True, order_by: list[str] | None = None,
-    date_format: str = "yyyy-MM-dd", limits: Limits = DEFAULT,
+    date_format: str = "yyyy-MM-dd", paired: bool = False, limits: Limits = DEFAULT,
 ) -> DataFrame:
     """The processed table: one row per eligible player, game and interval 0..n.
 
     Rest, form and game numbers see every season; eligibility is cut last.
+    ``paired`` adds the vectors that training needs.
     """
     plays = prepare_plays(raw, overtime=overtime, opponent=opponent)
     players = player_games(
@@ -77,7 +78,7 @@ def build_features(
         include_current=include_current, order_by=order_by, limits=limits,
     )
     return feature_rows(
-        eligible_games(players, min_games, season), intervals, statistic, game_seconds=game_seconds
+        eligible_games(players, min_games, season), intervals, statistic, game_seconds=game_seconds, paired=paired
     )
 
 
@@ -88,15 +89,29 @@ def eligible_games(players: DataFrame, min_games: int = 10, season: int | None =
 
 
 def feature_rows(
-    players: DataFrame, intervals: int, statistic: str = "Points", *, game_seconds: int = GAME_SECONDS
+    players: DataFrame, intervals: int, statistic: str = "Points",
+    *, game_seconds: int = GAME_SECONDS, paired: bool = False,
 ) -> DataFrame:
-    """Stack, add margins, and cast to the fixed output columns."""
-    rows = stack.interval_features(
-        stack.stack_intervals(players, intervals, statistic), intervals, statistic,
-        game_seconds=game_seconds,
-    )
-    names = {f.name.replace("Points", statistic): f.dataType for f in FEATURE_TABLE}
-    return rows.select(*[F.col(name).cast(kind) for name, kind in names.items()])
+    """One row per interval with margins, cast to the fixed output columns, in one narrow pass.
+
+    ``paired`` adds the state vector and that of the next interval (zeros after
+    the last), which stands in the same arrays, so no window is needed.
+    """
+    kinds = {f.name.replace("Points", statistic): f.dataType for f in FEATURE_TABLE}
+    state = [c.replace("Points", statistic) for c in STATE]
+    rows = []
+    for i in range(intervals + 1):
+        here = stack.interval_values(i, intervals, statistic, game_seconds=game_seconds)
+        rows.append({c: here.get(c, F.col(c) if c in players.columns else None) for c in kinds})
+    vectors = [F.array(*[row[c].cast("double") for c in state]) for row in rows]
+    vectors.append(F.array(*[F.lit(0.0)] * len(state)))
+    structs = []
+    for i, row in enumerate(rows):
+        cells = [value.cast(kinds[c]).alias(c) for c, value in row.items()]
+        if paired:
+            cells += [vectors[i].alias("Phi"), vectors[i + 1].alias("PhiNext")]
+        structs.append(F.struct(*cells))
+    return players.select(F.inline(F.array(*structs)))
 
 
 def player_games(

@@ -1,21 +1,22 @@
 """Fitted-Q training of the network, and scoring with it.
 
-Training takes full-table semi-gradient steps: each task sums the gradient of
-its rows, Spark adds the sums, the driver moves 466 numbers.
+Training takes full-table steps: each task sums the gradient of its rows (466
+numbers), or its normal equations, Spark adds the sums, the driver moves the
+parameters. :func:`fit_to_convergence` stops when the loss has settled;
+:func:`fitted_q` takes a given number of plain steps.
 """
 
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tipoff.functions import network
-from tipoff.operators.moments import summed_vector, vectors
-from tipoff.operators.pairs import state_vector
+from tipoff.operators.moments import summed_blocks, summed_vector, vectors
 from tipoff.operators.scaling import Scaling, z_scores
 from tipoff.schema import STATE
-from tipoff.session import materialize
+from tipoff.session import discard, materialize
 
 
 @dataclass(frozen=True)
@@ -23,15 +24,83 @@ class QFit:
     theta: np.ndarray
     losses: tuple[float, ...]
     rates: tuple[float, ...]
+    converged: bool = False
+
+
+def _targets(theta, following, payoff, alive):
+    return np.where(alive, np.maximum(payoff, network.forward(theta, following)), payoff)
+
+
+def _batch(batch, width):
+    phi, following = vectors(batch.column(0), width), vectors(batch.column(1), width)
+    payoff = batch.column(2).to_numpy(zero_copy_only=False)
+    return phi, following, payoff, batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _normal_fold(theta, width, rows=2048):
+    """Per batch: J'J, J'(target - q), the squared error and the rows."""
+    size = len(theta)
+
+    def fold(batch):
+        phi, following, payoff, alive = _batch(batch, width)
+        target = _targets(theta, following, payoff, alive)
+        square, slope, error = np.zeros((size, size)), np.zeros(size), 0.0
+        for at in range(0, len(phi), rows):
+            q, slopes = network.jacobian(theta, phi[at:at + rows])
+            miss = target[at:at + rows] - q
+            square += slopes.T @ slopes
+            slope += slopes.T @ miss
+            error += float(miss @ miss)
+        return np.concatenate([square.ravel(), slope, [error, len(phi)]])
+
+    return fold, size * size + size + 2
+
+
+def fit_to_convergence(
+    pairs: DataFrame, *, tolerance: float = 1e-4, settled: int = 5, ceiling: int = 300,
+    ridge: float = 1e-6, seed: int = 100, width: int = len(STATE),
+) -> QFit:
+    """Damped Gauss-Newton steps over the full table until the loss settles.
+
+    A step that lowers the loss (against targets of its own parameters) is
+    taken and the damping eased; otherwise the damping grows. Settled means that
+    ``settled`` steps in a row lowered the loss by less than ``tolerance`` of
+    itself, or that no damping finds a lower loss. ``ceiling`` evaluations at
+    most; ``converged`` says whether the loss settled before. One job per
+    evaluation.
+    """
+    data = materialize(pairs.select("Phi", "PhiNext", "Payoff", "Alive"))
+    theta = network.initial_parameters(width, seed)
+    size = len(theta)
+
+    def evaluate(at):
+        fold, length = _normal_fold(at, width)
+        sums = summed_blocks(data, fold, length)
+        rows = max(sums[-1], 1.0)
+        return sums[:size * size].reshape(size, size) / rows, sums[size * size:-2] / rows, float(sums[-2] / rows)
+
+    square, slope, loss = evaluate(theta)
+    losses, damping, quiet, converged = [loss], 1e-2, 0, False
+    while len(losses) < ceiling and not converged:
+        lift = np.diag(damping * (np.diag(square) + 1e-3) + ridge)
+        candidate = theta + np.linalg.solve(square + lift, slope)
+        trial = evaluate(candidate)
+        losses.append(min(loss, trial[2]))
+        if trial[2] < loss:
+            quiet = quiet + 1 if loss - trial[2] < tolerance * loss else 0
+            theta, (square, slope, loss) = candidate, trial
+            damping = max(damping / 3, 1e-9)
+        else:
+            damping *= 4
+        converged = quiet >= settled or damping > 1e9
+    discard(data)
+    return QFit(theta, tuple(losses), (), converged)
 
 
 def _step_fold(theta, width):
     def fold(batch):
-        phi, following = vectors(batch.column(0), width), vectors(batch.column(1), width)
-        payoff = batch.column(2).to_numpy(zero_copy_only=False)
-        alive = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
-        going_on = np.maximum(payoff, network.forward(theta, following))
-        target = np.where(alive, going_on, payoff)
+        phi, following, payoff, alive = _batch(batch, width)
+        target = _targets(theta, following, payoff, alive)
         q, gradient = network.weighted_gradient(theta, phi, lambda q: target - q)
         return np.concatenate([gradient, [np.square(target - q).sum(), len(q)]])
 
@@ -42,8 +111,11 @@ def fitted_q(
     pairs: DataFrame, *, steps: int = 200, rate: float = 0.003, decay: float = 0.999,
     floor: float = 1e-5, seed: int = 100, width: int = len(STATE),
 ) -> QFit:
-    """Move towards max(payoff, value of the next state); at the last interval, the payoff."""
-    data = materialize(pairs.select("Phi", "PhiNext", "Payoff", "Alive")).persist()
+    """Plain steps towards max(payoff, value of the next state); at the last interval, the payoff.
+
+    Takes exactly ``steps`` steps and says nothing on convergence.
+    """
+    data = materialize(pairs.select("Phi", "PhiNext", "Payoff", "Alive"))
     theta = network.initial_parameters(width, seed)
     losses, rates = [], []
     for _ in range(steps):
@@ -54,7 +126,7 @@ def fitted_q(
         rates.append(rate)
         theta = theta + rate * sums[:-2] / rows
         rate = max(rate * decay, floor)
-    data.unpersist()
+    discard(data)
     return QFit(theta, tuple(losses), tuple(rates))
 
 
@@ -67,16 +139,23 @@ def score_network(
     rows: DataFrame, theta: np.ndarray, out: str = "res",
     *, scaling: Scaling | None = None, state: list[str] = STATE,
 ) -> DataFrame:
-    """Network value of each row, an Arrow batch at a time; the row's own columns stay unscaled."""
-    @F.pandas_udf("double")
-    def value(phi: pd.Series) -> pd.Series:
-        return pd.Series(network.forward(theta, np.stack(phi.to_numpy())) if len(phi) else [], dtype="float64")
-
-    inputs = state_vector(state)
-    if scaling is not None:
-        scaled = z_scores(scaling)
-        inputs = F.array(*[scaled[c] for c in state])
-    return rows.withColumn(out, value(inputs))
+    """Network value of each row, an Arrow batch at a time; the row's own columns stay unscaled.
+
+    A row with a missing state has no value.
+    """
+    columns = {c: F.col(c) for c in state} if scaling is None else z_scores(scaling)
+    inputs = F.array(*[F.coalesce(columns[c].cast("double"), F.lit(float("nan"))) for c in state])
+    width = len(state)
+
+    def value(batches):
+        for batch in batches:
+            found = network.forward(theta, vectors(batch.column(batch.num_columns - 1), width))
+            values = pa.array(found, mask=np.isnan(found))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], [*batch.schema.names[:-1], out])
+
+    kept = rows.drop(out)
+    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.DoubleType())])
+    return kept.withColumn("_phi", inputs).mapInArrow(value, schema)
 
 
 def price_scenarios(

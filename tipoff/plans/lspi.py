@@ -9,7 +9,7 @@ from tipoff.functions.payoff import linear_score
 from tipoff.operators.moments import summed, summed_vector, vectors
 from tipoff.operators.pairs import add_payoff, bellman_pairs
 from tipoff.schema import STATE
-from tipoff.session import materialize
+from tipoff.session import discard, materialize
 
 
 @dataclass(frozen=True)
@@ -76,7 +76,7 @@ def lspi_fit(
     stopping there gives exactly the result of running all ``iters``.
     """
     width = len(features)
-    data = materialize(_inputs(pairs)).persist()
+    data = materialize(_inputs(pairs))
     weights, previous = np.zeros(width), np.zeros(width)
     done = 0
     for done in range(1, iters + 1):
@@ -86,12 +86,13 @@ def lspi_fit(
             break
         matrix = sums[: width * width].reshape(width, width) + eps * np.eye(width)
         previous, weights = weights, _solve(matrix, sums[width * width : -1])
-    data.unpersist()
+    discard(data)
     return Policy(tuple(features), tuple(float(w) for w in weights), done)
 
 
 def prepare_pairs(rows: DataFrame, intervals: int = 4) -> DataFrame:
-    return add_payoff(bellman_pairs(rows), intervals)
+    """Rows with payoff and both state vectors; the vectors are kept where the rows have them."""
+    return add_payoff(rows if "PhiNext" in rows.columns else bellman_pairs(rows), intervals)
 
 
 def weights_table(spark: SparkSession, policy: Policy) -> DataFrame:

@@ -1,7 +1,5 @@
 """Every operator as a query over the driver's tables: (spark, sf_dir) -> DataFrame."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tipoff.functions import network, payoff
@@ -9,7 +7,7 @@ from tipoff.operators import form, keys, moments, pairs, plays as play_ops, scal
 from tipoff.operators.ordered import framed
 from tipoff.plans import features as plan, fitted_q, lspi
 from tipoff.schema import GAME, STATE
-from tipoff.session import materialize, materialize_counted, shared_folder
+from tipoff.session import materialize, materialize_counted, new_path
 from tipoff.sources import play_log
 from tipoff.sources.event_log import DATE_FORMAT, SEASONS, plays_from_events
 
@@ -85,7 +83,8 @@ def written_training(spark, sf_dir):
 
 
 def training_pairs(spark, sf_dir):
-    return lspi.prepare_pairs(training(spark, sf_dir), INTERVALS)
+    rows = pairs.training_rows(feature_table(spark, sf_dir, paired=True), FORM_THRESHOLD)
+    return lspi.prepare_pairs(rows, INTERVALS)
 
 
 def significant(df, column, digits):
@@ -115,7 +114,7 @@ def csv_log_load(spark, sf_dir):
     log = raw_plays(spark, sf_dir)
     paths = {}
     for season in SEASONS:
-        paths[season] = f"{shared_folder(spark)}/tipoff/{uuid.uuid4().hex}"
+        paths[season] = new_path(spark)
         log.where(F.col("Season") == season).drop("Season", "PlaySeq").write.csv(paths[season], header=True)
     return play_log.load_plays(spark, paths).drop("PlaySeq")
 
@@ -420,7 +419,7 @@ def feature_build_corrected(spark, sf_dir):
 
 @query
 def feature_roundtrip(spark, sf_dir):
-    path = f"{shared_folder(spark)}/tipoff/{uuid.uuid4().hex}"
+    path = new_path(spark)
     play_log.write_features(feature_table(spark, sf_dir), path)
     return rounded(play_log.read_features(spark, path))
 
@@ -457,6 +456,13 @@ def expected_path(spark, sf_dir):
 
 @query
 def bellman_pairs(spark, sf_dir):
+    paired = training_pairs(spark, sf_dir).select(*pairs.EPISODE, "Interval", "PhiNext")
+    return rounded(spread(paired, "PhiNext", [f"Next{c}" for c in STATE]))
+
+
+@query
+def bellman_pairs_by_window(spark, sf_dir):
+    """The same pairs from a table of rows, as one read from disk."""
     paired = pairs.bellman_pairs(training(spark, sf_dir)).select(*pairs.EPISODE, "Interval", "PhiNext")
     return rounded(spread(paired, "PhiNext", [f"Next{c}" for c in STATE]))
 
@@ -531,7 +537,7 @@ def lspi_scored(spark, sf_dir):
 
 
 def _written_scores(spark, scored):
-    path = f"{shared_folder(spark)}/tipoff/{uuid.uuid4().hex}"
+    path = new_path(spark)
     play_log.write_scores(scored, path)
     return play_log.read_table(spark, path, scored.schema)
 
@@ -598,6 +604,16 @@ def fitted_q_loss(spark, sf_dir):
     return rounded(fitted_q.loss_table(spark, _trained(spark, sf_dir)[1]))
 
 
+@query
+def fitted_q_converged(spark, sf_dir):
+    """How training that runs until it settles ends; no SQL counterpart, its steps depend on its own progress."""
+    rows = written_training(spark, sf_dir)
+    scaled = scaling.standardize(rows, scaling.fit_scaling(rows))
+    fit = fitted_q.fit_to_convergence(lspi.prepare_pairs(scaled, INTERVALS), seed=SEED)
+    state = [(len(fit.losses), fit.losses[0], fit.losses[-1], fit.converged)]
+    return spark.createDataFrame(state, "evaluations int, first_loss double, last_loss double, converged boolean")
+
+
 @query
 def scenario_price_trained(spark, sf_dir):
     stats, fit = _trained(spark, sf_dir)

@@ -19,7 +19,7 @@ SEASONS = (2017, 2018)
 
 
 def game_day(d: Column) -> Column:
-    """Days from the first date to that of day ``d``: steps of 1 to 5 days."""
+    """Days from the first date to that of day ``d``: steps of 1, 2, 3 and 5 days."""
     whole = lambda n: F.floor(d / n)
     return (d + whole(3) + 2 * whole(5) + whole(15)).cast("int")
 

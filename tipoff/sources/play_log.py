@@ -14,12 +14,32 @@ def read_table(spark: SparkSession, path: str, schema, fmt: str = "csv") -> Data
 
 
 def read_plays(spark: SparkSession, path: str, schema=PLAY_LOG, fmt: str = "csv") -> DataFrame:
-    """One raw log. CSV columns are matched by name; missing ones and unreadable numbers are null."""
+    """One raw log. CSV columns are matched by name and must all be there.
+
+    Unreadable numbers are null; :func:`unreadable` counts them, and a play
+    without a clock counts in no interval.
+    """
     if fmt != "csv":
         return read_table(spark, path, schema, fmt)
     text = spark.read.csv(path, header=True, inferSchema=False)
-    present = {f.name: F.col(f.name) if f.name in text.columns else F.lit(None) for f in schema}
-    return text.select(*[present[f.name].try_cast(f.dataType).alias(f.name) for f in schema])
+    missing = [f.name for f in schema if f.name not in text.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return text.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema])
+
+
+def unreadable(spark: SparkSession, path: str, schema=PLAY_LOG) -> DataFrame:
+    """Per column that is not text: rows of the CSV log with content, and those whose content cannot be read."""
+    text = spark.read.csv(path, header=True, inferSchema=False)
+    columns = [f for f in schema if f.dataType.typeName() != "string" and f.name in text.columns]
+    cells = F.inline(F.array(*[
+        F.struct(F.lit(f.name).alias("column"), F.col(f.name).alias("content"),
+                 F.col(f.name).try_cast(f.dataType).isNull().alias("bad")) for f in columns
+    ]))
+    filled = text.select(cells).where(F.col("content").isNotNull())
+    return filled.groupBy("column").agg(
+        F.count("*").alias("filled"), F.count(F.when(F.col("bad"), 1)).alias("unreadable")
+    )
 
 
 def tag_season(plays: DataFrame, season: int) -> DataFrame:
