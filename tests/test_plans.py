@@ -69,9 +69,12 @@ def test_running_totals_share_one_shuffle(plays):
     assert len(shuffles(totals)) == 1
 
 
-def test_pairs_reuse_the_shuffle_by_player(plays):
-    players = plan.player_games(plays, 4, date_format=DATE_FORMAT)
-    rows = plan.feature_rows(plan.eligible_games(players, 1, None), 4)
+def test_pairs_need_no_window_and_no_shuffle(plays):
+    players = plan.eligible_games(plan.player_games(plays, 4, date_format=DATE_FORMAT), 1, None)
+    rows, paired = plan.feature_rows(players, 4), plan.feature_rows(players, 4, paired=True)
+    assert len(shuffles(paired)) == len(shuffles(rows))
+    assert physical(paired).count("Window [") == physical(rows).count("Window [")
+    # Rows without the vectors are paired by a window, which reuses the shuffle by player.
     assert len(shuffles(bellman_pairs(rows))) == len(shuffles(rows))
 
 

@@ -76,9 +76,11 @@ def test_csv_logs_are_matched_by_name_tagged_and_numbered(spark, tmp_path):
     assert all(0 <= r.PlaySeq < 2**48 for r in got) and got[0].PlaySeq != got[1].PlaySeq
 
 
-def test_csv_log_with_bad_numbers_and_missing_columns(spark, tmp_path):
+def test_csv_log_with_bad_numbers(spark, tmp_path):
     path = tmp_path / "c.csv"
-    path.write_text("HomeTeam,Quarter,SecLeft\nH,two,30\n")
+    names = PLAY_LOG.fieldNames()
+    cells = {"HomeTeam": "H", "Quarter": "two", "SecLeft": "30"}
+    path.write_text(",".join(reversed(names)) + "\n" + ",".join(cells.get(c, "") for c in reversed(names)) + "\n")
     got = play_log.read_plays(spark, str(path)).first()
     assert (got.HomeTeam, got.Quarter, got.SecLeft, got.ShotType) == ("H", None, 30, None)
 

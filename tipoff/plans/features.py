@@ -99,19 +99,20 @@ def feature_rows(
     """
     kinds = {f.name.replace("Points", statistic): f.dataType for f in FEATURE_TABLE}
     state = [c.replace("Points", statistic) for c in STATE]
-    rows = []
-    for i in range(intervals + 1):
-        here = stack.interval_values(i, intervals, statistic, game_seconds=game_seconds)
-        rows.append({c: here.get(c, F.col(c) if c in players.columns else None) for c in kinds})
-    vectors = [F.array(*[row[c].cast("double") for c in state]) for row in rows]
+    moving = [
+        stack.interval_values(i, intervals, statistic, game_seconds=game_seconds) for i in range(intervals + 1)
+    ]
+    vectors = [F.array(*[here.get(c, F.col(c)).cast("double") for c in state]) for here in moving]
     vectors.append(F.array(*[F.lit(0.0)] * len(state)))
-    structs = []
-    for i, row in enumerate(rows):
-        cells = [value.cast(kinds[c]).alias(c) for c, value in row.items()]
+    rows = []
+    for i, here in enumerate(moving):
+        cells = [value.cast(kinds[c]).alias(c) for c, value in here.items()]
         if paired:
             cells += [vectors[i].alias("Phi"), vectors[i + 1].alias("PhiNext")]
-        structs.append(F.struct(*cells))
-    return players.select(F.inline(F.array(*structs)))
+        rows.append(F.struct(*cells))
+    fixed = [F.col(c).cast(kind).alias(c) for c, kind in kinds.items() if c not in moving[0]]
+    stacked = players.select(*fixed, F.inline(F.array(*rows)))
+    return stacked.select(*kinds, *(["Phi", "PhiNext"] if paired else []))
 
 
 def player_games(
