@@ -48,7 +48,7 @@ def summed_vector(df: DataFrame, fold: Callable[[pa.RecordBatch], np.ndarray], s
 
 
 def summed_blocks(
-    df: DataFrame, fold: Callable[[pa.RecordBatch], np.ndarray], size: int, *, meet: int = 16
+    df: DataFrame, fold: Callable[[pa.RecordBatch], np.ndarray], size: int, *, meet: int = 4
 ) -> np.ndarray:
     """``summed_vector`` for long vectors: whole ones are added up in ``meet`` tasks, whose sums reach the driver."""
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,13 +50,18 @@ def play_order(
 
 def running_points(
     plays: DataFrame, statistic: str = "Points",
-    *, game: list[str] = GAME, limits: Limits = DEFAULT,
+    *, game: list[str] = GAME, limits: Limits = DEFAULT, row_bound: int | None = None,
 ) -> DataFrame:
-    """Running totals of player, game and team per play, and the opponent's as the difference."""
+    """Running totals of player, game and team per play, and the opponent's as the difference.
+
+    Without a ``row_bound`` that rules hot games out, ``plays`` is read once
+    more to look for them; pass a written table then.
+    """
     levels = {"Total": [], "Team": ["Team"], "Player": ["Player"]}
     result = running_sums(
         plays.na.drop(subset=game), game, ["TimeElapsed", "PlaySeq"], statistic,
-        {f"Cumulative{level}{statistic}": extra for level, extra in levels.items()}, limits=limits,
+        {f"Cumulative{level}{statistic}": extra for level, extra in levels.items()},
+        limits=limits, row_bound=row_bound,
     )
     opponent = F.col(f"CumulativeTotal{statistic}") - F.col(f"CumulativeTeam{statistic}")
     return result.withColumn(f"CumulativeOpponent{statistic}", opponent)
@@ -214,7 +219,9 @@ def running_snapshots(
     cuts = interval_cuts(intervals, game_seconds)
     order = play_order(game_seconds=game_seconds)
     # Plays without a clock keep their place before all others, and are up to no cut.
-    running = running_points(plays.where("Counted").withColumn("_order", order), statistic, game=game, limits=limits)
+    needed = [*game, "Season", "Home", "Team", "Player", "TimeElapsed", "PlaySeq", statistic]
+    counted, rows = materialize_counted(plays.where("Counted").select(*needed, order.alias("_order")))
+    running = running_points(counted, statistic, game=game, limits=limits, row_bound=rows)
 
     def highest(level):
         return [F.max(_up_to(c, F.col(f"Cumulative{level}{statistic}"))) for c in cuts]

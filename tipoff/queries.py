@@ -165,7 +165,8 @@ def scoring_events(spark, sf_dir):
 @query
 def running_points(spark, sf_dir):
     columns = ["PlaySeq", *GAME, "Team", "Player", "TimeElapsed", "Points"]
-    totals = snapshots.running_points(counted(spark, sf_dir).select(columns))
+    plays, rows = materialize_counted(counted(spark, sf_dir).select(columns))
+    totals = snapshots.running_points(plays, row_bound=rows)
     levels = ("Player", "Total", "Team", "Opponent")
     return totals.select("PlaySeq", *[f"Cumulative{level}Points" for level in levels])
 
