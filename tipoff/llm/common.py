@@ -24,8 +24,3 @@ def let(value: Column, body) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents whose labels are never learned from."""
     return F.crc32(doc_id.cast("string")) % HELD_OUT_FOLDS == 0
-
-
-def site_key(source: Column) -> Column:
-    """A non-null key that keeps null apart from every text."""
-    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))

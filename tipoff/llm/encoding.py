@@ -4,8 +4,6 @@ import bisect
 import json
 import re
 
-import numpy as np
-
 CHUNK = 1 << 16
 OVERLAP = 1 << 9
 BATCH_CHARS = 1 << 18

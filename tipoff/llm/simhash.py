@@ -71,10 +71,6 @@ def _block(max_bits: int):
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _popcounts(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
-
-
 def _merge(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Labels (each the smallest place of its group) after joining the groups of left[i] and right[i]."""
     while True:
@@ -144,7 +140,7 @@ def _compare(values, labels, front, max_bits):
         owner, place = _spread((a1 - a0) * (b1 - b0))
         width = (b1 - b0)[owner]
         i, j = a0[owner] + place // width, b0[owner] + place % width
-        near = (i != j) & (_popcounts(values[i] ^ values[j]) <= max_bits)
+        near = (i != j) & (np.bitwise_count(values[i] ^ values[j]) <= max_bits)
         labels = _merge(labels, i[near], j[near])
     return labels
 
