@@ -16,8 +16,8 @@ from tipoff.operators import plays as play_ops, snapshots
 from tipoff.operators.form import ewm_mean, player_game_totals
 from tipoff.operators.moments import gram_matrix
 from tipoff.operators.ordered import framed, row_rank, running_sums
-from tipoff.plans import features as plan, fitted_q
-from tipoff.schema import GAME, STATE
+from tipoff.plans import fitted_q
+from tipoff.schema import STATE
 from tipoff.sources import play_log
 from tipoff.sources.event_log import plays_from_events
 
