@@ -274,7 +274,7 @@ def near_duplicates(
     """
     rows = materialize(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col, keep=keep))
     prints = materialize(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
-    roots = components(links(prints.select("fp"), max_bits, group=group), "u", "v")
+    roots = components(links(prints.select("fp"), max_bits, group=group), "u", "v", limits=limits)
     linked = roots.join(prints.select(F.col("fp").alias("node"), "first"), "node")
     smallest = linked.groupBy("root").agg(F.min("first").alias("smallest"), F.count("*").alias("members"))
     named = join_dimension(linked.select("node", "root"), smallest, ["root"], rows="members", spread="node", limits=limits)
