@@ -7,11 +7,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tipoff.operators.ordered import with_position
+from tipoff.session import new_path
 
 SCALE = 256
 LEVELS = (1, 4, 16)  # segments per vector
 BLOCK = 4096  # queries broadcast at a time
 ROWS = 512  # candidates compared at a time
+RESULT = "query_id long, rank int, vec_id long, score long"
 
 
 def usable(vector: Column) -> Column:
@@ -114,7 +116,9 @@ def exact_top_k(
 
     Queries go out in blocks of ``block``, each broadcast (``block`` vectors)
     and held against all candidates where they lie; a task hands on at most k
-    rows per query. No candidate is moved.
+    rows per query. No candidate is moved. A block's results are written before
+    the next block goes out, so driver and tasks hold one block at a time; the
+    search runs when this is called.
     """
     spark = vectors.sparkSession
     rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
@@ -123,17 +127,23 @@ def exact_top_k(
     asked = with_position(asked, ["id"], "place").withColumn("block", F.expr(f"place div {block}"))
     candidates = rows.select("id", "v")
     total = asked.count()
-    tops = None
+    path = new_path(spark)
     for b in range(math.ceil(total / block)):
         held = asked.where(F.col("block") == b).select("id", "v").toArrow()
         width = max([1, *(len(v) for v in held.column("v").to_pylist())])
         ids = held.column("id").to_numpy()
         shipped = spark.sparkContext.broadcast((ids, matrix(held.column("v").combine_chunks(), width)))
         found = candidates.mapInArrow(_searcher(shipped, width, k), "query_id long, vec_id long, score long")
-        tops = found if tops is None else tops.unionByName(found)
-    if tops is None:
-        tops = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    best = tops.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        _ranked(found, k).write.mode("append").parquet(path)
+        shipped.destroy()
+    if not total:
+        return spark.createDataFrame([], RESULT)
+    return spark.read.schema(RESULT).parquet(path)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of what the tasks found for each query."""
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
