@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tests.llm.texts import FOLDER, ODD, documents, empty, present
 from tipoff.llm.boosting import fit_forest
-from tipoff.llm.common import table
+from tipoff.llm.common import held_out, table
+from tipoff.llm.labelled import lowest, training_labels
 from tipoff.llm.quality_gam import FEATURES, features, fit, keep_good, score_quality
 from tipoff.llm.toxicity import Automaton, choose_terms, context_weight, score_toxicity
 
@@ -131,3 +132,20 @@ def test_held_out_accuracy(spark, score, target, least):
     for r in again.collect():
         if r.doc_id in first:
             assert abs(r.score - first[r.doc_id]) < 1e-9
+
+
+@pytest.mark.parametrize("sample", [3, 50, 5000])
+def test_sample_is_the_first_by_hash(spark, sample):
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    labels = labels.union(labels.limit(500)).union(spark.createDataFrame([(None, 1)], "doc_id long, quality long"))
+    got = sorted(tuple(r) for r in training_labels(labels, "quality", sample=sample).collect())
+    plain = labels.where("doc_id is not null").where(~held_out(F.col("doc_id"))).distinct()
+    assert got == sorted(tuple(r) for r in plain.orderBy(F.xxhash64("doc_id")).limit(sample).collect())
+
+
+def test_bound_keeps_most_rows_away(spark):
+    hashes = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    assert 100 <= hashes.where(F.col("h") <= lowest(hashes, 100)).count() <= 1000
+    same = spark.range(1000).select(F.lit(2**62).alias("h"))
+    assert same.where(F.col("h") <= lowest(same, 10)).count() == 1000
+    assert lowest(same.limit(0), 10) == 2**63 - 1
