@@ -10,7 +10,7 @@ from tipoff.llm.boosting import fit_forest
 from tipoff.llm.common import held_out, table
 from tipoff.llm.labelled import lowest, training_labels
 from tipoff.llm.quality_gam import FEATURES, features, fit, keep_good, score_quality
-from tipoff.llm.toxicity import Automaton, choose_terms, context_weight, score_toxicity
+from tipoff.llm.toxicity import Automaton, Matcher, choose_terms, context_weight, score_toxicity
 
 BIG = FOLDER.replace("0.001", "0.01")
 LABELS = "doc_id long, quality int, toxic int"
@@ -63,6 +63,61 @@ def first_kept(w, term, stem):
     return distance(w[1:], term[1:])
 
 
+def test_every_place_may_be_misspelt():
+    terms = [("stupid", False), ("idiot", False), ("disgusting", False), ("scum", False), ("lowei", True), ("lostra", True)]
+    automaton = Automaton(terms, first_kept=False)
+    random = np.random.default_rng(2)
+    words = ["tupid", "ztupid", "xstupid", "diot", "isgustin", "cum", "ostrabc", "xlostrabc"]
+    for t, _ in terms:
+        for _ in range(400):
+            w = list(t)
+            for _ in range(random.integers(0, 4)):
+                at, c = random.integers(0, len(w) + 1), random.choice(list("acdegilmnostrupx"))
+                kind = random.integers(0, 3)
+                w = w[:at] + [c] + w[at + (kind == 0):] if kind < 2 else w[:at] + w[at + 1:]
+            words.append("".join(w or ["x"]) + ("ung" if random.random() < 0.2 else ""))
+    for w in words:
+        near = []
+        for n, (t, stem) in enumerate(terms):
+            d = min(distance(w[:i], t) for i in range(len(w) + 1)) if stem else distance(w, t)
+            if d <= automaton.allowed[n]:
+                near.append((d, n))
+        got = automaton.match(w)
+        assert (got and (got[1], got[0])) == min(near, default=None), w
+
+
+@pytest.mark.parametrize("word,errors", [
+    ("moron", 0), ("m0ron", 0), ("st*pid", 0), ("id1ot", 0), ("1diot", 0), ("$tupid", 0), ("stup!d", 0), ("s**m", 0), ("sc*m", 0), ("st#pid", 0),
+    ("tupid", 1), ("ztupid", 1), ("m6ron", 1), ("mor0m", 1), ("stupid99", 0), ("2stupid", 0), ("moron@mail.com", 0), ("stupid!idiot", 0),
+    ("****", None), ("s***", None), ("slum", None), ("m66on", None), ("12345", None), ("st*y", None),
+])
+def test_disguised_words_match(word, errors):
+    matcher = Matcher([(t, False, 1.0) for t in ("stupid", "idiot", "moron", "scum")])
+    exact, one, two, *_ = matcher.features(f"that {word} ran off")
+    assert (exact > 0, one > 0, two > 0) == tuple(errors == k for k in range(3))
+
+
+def test_plain_pieces_still_match():
+    matcher = Matcher([("stupid", False, 1.0), ("idiot", False, 1.0)])
+    plain = matcher.features("that stupid idiot ran off")
+    for text in ("that stupid!idiot ran off", "that stupid7idiot ran off", "that stupid@idiot ran off"):
+        assert matcher.features(text) == plain
+
+
+def test_forgotten_states_change_nothing(monkeypatch):
+    terms = [("stupid", False), ("disgusting", False), ("lostra", True)]
+    words = ["stupid", "ztupid", "disgustinng", "isgustin", "lostrabc", "xostra", "st*pid", "d1sgust", "plain"] * 2
+    plain = [Automaton(terms, first_kept=False).match(w) for w in words]
+    monkeypatch.setattr("tipoff.llm.toxicity.STATES", 3)
+    small = Automaton(terms, first_kept=False)
+    assert [small.match(w) for w in words] == plain
+
+
+@pytest.mark.parametrize("text", ["a" + "*" * 200_000 + "b", "@$" * 100_000, "a1" * 100_000, "a*" * 100_000, "a" + "#" * 200_000])
+def test_long_runs_of_symbols_take_linear_time(text):
+    assert Matcher([("stupid", False, 1.0)]).features(text) == [0.0] * 6
+
+
 def test_quotations_count_less():
     plain = context_weight("they are all ", " and more")
     assert plain == 1.0

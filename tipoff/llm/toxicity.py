@@ -20,6 +20,11 @@ from tipoff.llm.labelled import SAMPLE, fit_logistic, predicted, training_labels
 from tipoff.session import materialize
 
 TOKEN = re.compile(r"[^\W\d_]+")
+# A word with digits in it or before it, and with symbols between its letters; what digits and symbols usually stand for.
+DISGUISED = re.compile(r"(?:[^\W_]|[@$](?=[^\W\d_]))(?:[^\W_]++|[@$!*#]++(?=[^\W_]))*+")
+STAND_INS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
+MASKS = "*#"  # any letter
+MARKED = re.compile(r"[\d@$!*#]")
 STEMS = (4, 5, 6, 7)  # lengths of stems that may enter the lexicon
 SHORTEST = 4
 TERMS = 1000  # entries of the lexicon, at most
@@ -27,6 +32,7 @@ CANDIDATES = 20_000  # terms looked at to choose them
 WINDOW = 6  # words to either side of a match
 THRESHOLD = 0.5
 CACHE = 1 << 18  # words whose match is remembered in a task
+STATES = 1 << 15  # states of the automaton that are remembered in a task
 N_FEATURES = 6
 SHINGLE = 4
 
@@ -49,11 +55,14 @@ def errors_allowed(term: str, stem: bool) -> int:
 class Automaton:
     """All lexicon entries with their misspellings, as one lazily built deterministic automaton.
 
-    The first letter of a term must be right. ``match(word)`` gives (term
-    number, errors) of the closest entry, or None.
+    Usual stand-ins for a letter, and masks of at most half of a word, are no
+    errors; other digits and symbols are wrong letters. ``match(word)`` gives
+    (term number, errors) of the closest entry, or None. With ``first_kept``
+    the first letter of a term must be right.
     """
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    def __init__(self, terms: list[tuple[str, bool]], first_kept: bool = True):
+        self.first_kept = first_kept
         self.children: list[dict] = [{}]
         self.words: list[int] = [-1]
         self.stems: list[int] = [-1]
@@ -73,6 +82,9 @@ class Automaton:
             self.budget[node] = max(self.budget[node], self.allowed[number])
             (self.stems if stem else self.words)[node] = number
         self.letters = {c for t, _ in terms for c in t}
+        self._forget()
+
+    def _forget(self):
         self.sets: list = [(frozenset(), None)]  # state 0 is dead
         self.numbers: dict = {self.sets[0]: 0}
         self.moves: list[dict] = [{}]
@@ -88,7 +100,7 @@ class Automaton:
             if e > self.budget[node] or least.get(node, 99) <= e:
                 continue
             least[node] = e
-            if node:
+            if node or not self.first_kept:
                 todo += [(child, e + 1) for child in self.children[node].values()]
         for node, e in least.items():
             stem = self.stems[node]
@@ -108,18 +120,24 @@ class Automaton:
         positions, found = self.sets[state]
         after = set()
         for node, e in positions:
-            child = self.children[node].get(c)
-            if child is not None:
-                after.add((child, e))
-            if node:  # another letter in its place, or one too many
+            if c in MASKS and c:
+                after.update((k, e) for k in self.children[node].values())
+            for letter in STAND_INS.get(c, c):
+                child = self.children[node].get(letter)
+                if child is not None:
+                    after.add((child, e))
+            if node or not self.first_kept:  # another letter in its place, or one too many
                 after.add((node, e + 1))
                 after.update((k, e + 1) for k in self.children[node].values())
         return self._state(after, found)
 
     def match(self, word: str):
+        if len(self.sets) > STATES:
+            self._forget()
         state = self.start
+        masked = sum(map(word.count, MASKS)) * 2 <= len(word)
         for c in word:
-            if c not in self.letters:
+            if c not in self.letters and c not in STAND_INS and not (masked and c in MASKS):
                 c = ""
             moves = self.moves[state]
             following = moves.get(c)
@@ -156,26 +174,56 @@ class Matcher:
 
     def __init__(self, terms: list[tuple[str, bool, float]]):
         self.weights = [w for _, _, w in terms]
-        self.automaton = Automaton([(t, s) for t, s, _ in terms])
+        self.automaton = Automaton([(t, s) for t, s, _ in terms], first_kept=False)
         self.good: dict = {}
         self.known: set = set()
 
+    def look_up(self, word: str):
+        """The match of a token; of one with digits or symbols None where a piece of it matches as well."""
+        found = self.automaton.match(word) if len(word) >= SHORTEST - 1 else None
+        if found and not word.isalpha():
+            for piece in TOKEN.findall(word):
+                other = self.automaton.match(piece) if len(piece) >= SHORTEST - 1 else None
+                if other and other[1] <= found[1]:
+                    return None
+        return found
+
+    def hit(self, word: str):
+        if word not in self.known:
+            self.known.add(word)
+            found = self.look_up(word)
+            if found:
+                self.good[word] = found
+        return self.good.get(word)
+
+    def words(self, lower: str) -> list[tuple[int, int]]:
+        """Spans of runs of letters, and of disguised words that match as a whole."""
+        if not MARKED.search(lower):
+            return [m.span() for m in TOKEN.finditer(lower)]
+        spans = []
+        for m in DISGUISED.finditer(lower):
+            w = m.group()
+            if w.isalpha():
+                spans.append(m.span())
+            elif TOKEN.search(w) and self.hit(w):
+                spans.append(m.span())
+            else:
+                spans += [p.span() for p in TOKEN.finditer(lower, *m.span())]
+        return spans
+
     def features(self, text: str) -> list[float]:
         """Weighted matches by errors (0, 1, 2), the strongest one, their share of words, and what context took off."""
         lower = text.lower()
-        words = TOKEN.findall(lower)
-        distinct = set(words)
         if len(self.known) > CACHE:
             self.known.clear()
             self.good.clear()
+        spans = self.words(lower)
+        words = [lower[a:b] for a, b in spans]
+        distinct = set(words)
         for w in distinct - self.known:
-            found = self.automaton.match(w) if len(w) >= SHORTEST - 1 else None
-            if found:
-                self.good[w] = found
-        self.known |= distinct
+            self.hit(w)
         if self.good.keys().isdisjoint(distinct):
             return [0.0] * N_FEATURES
-        spans = [m.span() for m in TOKEN.finditer(lower)]
         sums, strongest, plain = [0.0, 0.0, 0.0], 0.0, 0.0
         for i, w in enumerate(words):
             hit = self.good.get(w)
