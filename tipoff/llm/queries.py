@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tipoff.llm import line_dedup, mixing, packing, pii, quality_gam, quality_rules, simhash, token_counts, topk, toxicity
+from tipoff.llm import conversation_audit, line_dedup, mixing, packing, pii, quality_gam, quality_rules, simhash, token_counts, topk, toxicity
 from tipoff.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -13,6 +13,7 @@ SHINGLE, MAX_BITS = 3, 3
 
 QUERIES = {}
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op7_exact_top_k": topk.ORACLE}
+ORACLES["op11_conversation_audit"] = conversation_audit.ORACLE
 
 
 def query(fn):
@@ -73,3 +74,9 @@ def op9_personal_data(spark, sf_dir):
 @query
 def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=CONTEXT)
+
+
+@query
+def op11_conversation_audit(spark, sf_dir):
+    damaged = conversation_audit.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_audit.audit_conversations(damaged, present=F.col("present"))
