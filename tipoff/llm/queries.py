@@ -3,17 +3,18 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tipoff.llm import conversation_audit, line_dedup, mixing, packing, pii, quality_gam, quality_rules, simhash, token_counts, topk, toxicity
+from tipoff.llm import chosen_path, conversation_audit, line_dedup, mixing, packing, pii, quality_gam, quality_rules, simhash, token_counts, topk, toxicity
 from tipoff.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 SEQUENCE = 2048
 CONTEXT = 1024
 SHINGLE, MAX_BITS = 3, 3
+SIMILAR = 80  # hundredths of the union that linked sets of shingles share
 
 QUERIES = {}
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op7_exact_top_k": topk.ORACLE}
-ORACLES["op11_conversation_audit"] = conversation_audit.ORACLE
+ORACLES |= {"op11_conversation_audit": conversation_audit.ORACLE, "op12_chosen_path_dedup": chosen_path.ORACLE}
 
 
 def query(fn):
@@ -80,3 +81,8 @@ def op10_token_counts(spark, sf_dir):
 def op11_conversation_audit(spark, sf_dir):
     damaged = conversation_audit.damaged(table(spark, sf_dir, "conversations"))
     return conversation_audit.audit_conversations(damaged, present=F.col("present"))
+
+
+@query
+def op12_chosen_path_dedup(spark, sf_dir):
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), percent=SIMILAR)
