@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tipoff.llm import chosen_path, conversation_audit, line_dedup, mixing, packing, pii, quality_gam, quality_rules, simhash, token_counts, topk, toxicity
+from tipoff.llm import chosen_path, collocations, conversation_audit, line_dedup, mixing, packing, pii, quality_gam, quality_rules, simhash, token_counts, topk, toxicity
 from tipoff.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -14,7 +14,7 @@ SIMILAR = 80  # hundredths of the union that linked sets of shingles share
 
 QUERIES = {}
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op7_exact_top_k": topk.ORACLE}
-ORACLES |= {"op11_conversation_audit": conversation_audit.ORACLE, "op12_chosen_path_dedup": chosen_path.ORACLE}
+ORACLES |= {"op11_conversation_audit": conversation_audit.ORACLE, "op12_chosen_path_dedup": chosen_path.ORACLE, "op13_collocations": collocations.ORACLE}
 
 
 def query(fn):
@@ -86,3 +86,8 @@ def op11_conversation_audit(spark, sf_dir):
 @query
 def op12_chosen_path_dedup(spark, sf_dir):
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), percent=SIMILAR)
+
+
+@query
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
