@@ -237,3 +237,76 @@ def test_feature_table_roundtrip(spark, tmp_path, fmt):
     back = play_log.read_features(spark, path, fmt)
     assert back.columns == FEATURES
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, table.collect()))
+
+
+def swings(seed, games=6, plays=60):
+    """A raw log with a signed statistic, ties on the clock, and games where only one side shoots."""
+    rng = random.Random(seed)
+    found = []
+    for g in range(games):
+        for i in range(plays):
+            home = None if g == 1 or rng.random() < 0.5 else "play"
+            shot = rng.choice(["make", "miss", None])
+            found.append((f"H{g % 2}", f"A{g % 3}", f"2024-01-{g + 1:02d}", rng.randrange(1, 6), rng.randrange(0, 700, 50), home,
+                         "regular", shot, None, None if shot is None else f"p{rng.randrange(4)}", None, "2-pt", 2018, i, rng.randrange(-9, 8)))
+    return found
+
+
+SWING_LOG = (
+    "HomeTeam string, AwayTeam string, Date string, Quarter int, SecLeft int, HomePlay string, GameType string, ShotOutcome string, "
+    "FreeThrowOutcome string, Shooter string, FreeThrowShooter string, ShotType string, Season int, PlaySeq long, Swing int"
+)
+
+
+def replayed(log, at_cut):
+    """Per player and game the four scores at each cut, play by play."""
+    found = {}
+    order = sorted((r for r in log if r[7]), key=lambda r: (_elapsed(r), r[13]))
+    for game in {r[:3] for r in log}:
+        totals, seen = {}, []
+        for r in (r for r in order if r[:3] == game):
+            side = 1 if r[5] else 0
+            for key in (("p", r[9]), ("t", side), ("g",)):
+                totals[key] = totals.get(key, 0) + r[14]
+            seen.append((_elapsed(r), side, r[9], totals["p", r[9]], totals["t", side], totals["g",]))
+        for player in {s[2] for s in seen}:
+            own = next(s[1] for s in seen if s[2] == player)
+            out = []
+            for cut in (720, 1440, 2160, 10**9):
+                upto = [s for s in seen if s[0] <= cut]
+                pick = (lambda v: v[-1] if v else 0) if at_cut else (lambda v: max(v, default=0))
+                p, t = pick([s[3] for s in upto if s[2] == player]), pick([s[4] for s in upto if s[1] == own])
+                o = pick([s[5] for s in upto]) - t if at_cut else pick([s[5] - s[4] for s in upto if s[1] == own])
+                out.append((p, t, o))
+            found[(player, *game)] = out
+    return found
+
+
+def _elapsed(r):
+    return 720 * r[3] - r[4] if r[3] <= 4 else 2160 + 300 * (r[3] - 4) - r[4]
+
+
+def test_falling_statistics_through_the_build(spark, tiny):
+    plays = swings(4)
+    log = spark.createDataFrame(plays, SWING_LOG)
+    for opponent_score in ("at_last_play", "at_cut"):
+        want = replayed(plays, opponent_score == "at_cut")
+        tables = []
+        for limits in (Limits(), tiny):
+            built = plan.build_features(
+                log, 4, 0, None, "Swing", running=True, opponent_score=opponent_score, team_total="own", limits=limits
+            ).collect()
+            tables.append(sorted(map(str, built)))
+            got = {}
+            for r in built:
+                if r.Interval:
+                    key = (r.Player, r.Date, r.Interval)
+                    got[key] = (r.CumulativePlayerSwingInterval, r.CumulativeTeamSwingInterval, r.CumulativeOpponentSwingInterval)
+                    assert r.ScoreMarginInterval == got[key][1] - got[key][2]
+            expected = {
+                (k[0], date.fromisoformat(k[3]), i + 1): v for k, values in want.items() for i, v in enumerate(values)
+            }
+            assert got == expected
+        assert tables[0] == tables[1]
+    with pytest.raises(Exception, match="running=True"):
+        plan.build_features(log, 4, 0, None, "Swing").collect()

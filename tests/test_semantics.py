@@ -212,3 +212,46 @@ def test_training_runs_until_it_settles(spark):
     end = queries.QUERIES["fitted_q_converged"](spark, "/root/testdata/sf0.01").first()
     short = queries.QUERIES["fitted_q_loss"](spark, "/root/testdata/sf0.01").orderBy(F.desc("step")).first()
     assert end.converged and end.last_loss < 0.9 * short.loss
+
+
+def test_a_log_is_read_once_and_bad_rows_kept_aside(spark, tmp_path):
+    from tipoff.schema import PLAY_LOG
+
+    names = ["Extra", *reversed(PLAY_LOG.fieldNames())]
+    good = {"HomeTeam": "H", "AwayTeam": "A", "Date": "2018-01-01", "Quarter": "2", "SecLeft": "30", "GameType": "regular"}
+    line = lambda **cells: ",".join({**good, **cells}.get(c, "") for c in names)
+    lines = [",".join(names), line(), line(Quarter="two"), line(Quarter="", SecLeft="3e"), line(Quarter="x", SecLeft="y"), line(), "short,line", line() + ",more"]
+    path = tmp_path / "log.csv"
+    path.write_text("\n".join(lines) + "\n")
+    found = play_log.read_checked(spark, str(path))
+    counts = {r["column"]: (r.filled, r.unreadable) for r in found.counts.collect()}
+    assert counts["Quarter"][1] == 2 and counts["SecLeft"][1] == 2 and counts["line"] == (7, 2)
+    assert (found.rows, found.rejected_rows) == (7, 5)
+    assert [(r.HomeTeam, r.Quarter, r.SecLeft) for r in found.plays.collect()] == [("H", 2, 30)] * 2
+    bad = sorted(tuple((b["column"], b.content) for b in r.bad) for r in found.rejected.collect() if r.bad[0]["column"] != "line")
+    assert bad == [(("Quarter", "two"),), (("Quarter", "x"), ("SecLeft", "y")), (("SecLeft", "3e"),)]
+    assert {b.content for r in found.rejected.collect() for b in r.bad if b["column"] == "line"} >= {"short,line"}
+    loose = play_log.read_checked(spark, str(path), drop=False)
+    assert loose.plays.count() == 7 and loose.plays.columns == PLAY_LOG.fieldNames()
+    # Plays and rejected rows come from what the one pass wrote, not from the log.
+    assert not any(f.endswith("log.csv") for f in found.plays.inputFiles() + found.rejected.inputFiles())
+    with pytest.raises(ValueError, match="no column"):
+        play_log.read_checked(spark, str(path), PLAY_LOG.add("Missing", "string"))
+
+
+@pytest.mark.parametrize("span", [1])
+def test_last_values_are_carried_over_blocks(spark, span):
+    """A hot key in blocks of four, with long gaps: no window holds the key."""
+    import random
+
+    random.seed(6)
+    values = [None if random.random() < 0.8 else random.random() for _ in range(300)] + [None] * 90 + [5.0]
+    frame = spark.createDataFrame([("hot", i, v) for i, v in enumerate(values)] + [("b", 0, 1.0), ("c", 0, None)], "k string, i int, v double")
+    for current in (True, False):
+        made = ewm_mean(frame, {"m": "v"}, ["k"], ["i"], span=span, include_current=current, limits=TINY, block=4)
+        got = made.where("k = 'hot'").orderBy("i").toPandas().m.to_numpy(float)
+        want = pd.Series(values, dtype=float).ewm(span=span).mean().shift(0 if current else 1)
+        np.testing.assert_allclose(got, want)
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        assert windows and all("_block" in line for line in windows if "last(" in line)

@@ -68,12 +68,13 @@ def _decayed_sums(df, columns, keys, place, decay, block, include_current, limit
     end = Window.currentRow if include_current else -1
     window = Window.partitionBy(*keys, number).orderBy(place).rowsBetween(Window.unboundedPreceding, end)
     if decay == 0:  # only the newest value counts; the mean so far is the last one known
-        newest = {}
-        everything = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, end)
-        for x, w in zip(columns[::2], columns[1::2]):
-            newest[f"{x}_sum"] = F.last(F.when(F.col(w) > 0, F.col(x)), ignorenulls=True).over(everything)
-            newest[f"{w}_sum"] = F.coalesce(F.max(w).over(everything), F.lit(0.0))
-        return df.withColumns(newest).drop(inside, number)
+        known = {x: F.when(F.col(w) > 0, F.col(x)) for x, w in zip(columns[::2], columns[1::2])}
+        newest = last_known(
+            df.drop(inside, number).withColumns({f"{x}_known": v for x, v in known.items()}),
+            {f"{x}_sum": f"{x}_known" for x in known}, keys, place, block, include_current, row_bound,
+        )
+        weights = {f"{w}_sum": F.col(f"{x}_sum").isNotNull().cast("double") for x, w in zip(columns[::2], columns[1::2])}
+        return newest.withColumns(weights).drop(*[f"{x}_known" for x in known])
     grow, shrink = F.pow(F.lit(1 / decay), F.col(inside)), F.pow(F.lit(decay), F.col(inside))
     sums = {f"{c}_sum": F.coalesce(F.sum(F.col(c) * grow).over(window), F.lit(0.0)) * shrink for c in columns}
     if row_bound is None or row_bound > block:
@@ -90,14 +91,42 @@ def _decayed_sums(df, columns, keys, place, decay, block, include_current, limit
     return df.withColumns(sums).drop(inside, number)
 
 
+def last_known(
+    df: DataFrame, values: dict[str, str], keys: list[str], place: str, block: int,
+    include_current: bool = True, row_bound: int | None = None,
+) -> DataFrame:
+    """The last value that is not null, up to each row or before it; ``values`` maps output to input.
+
+    ``place`` is a row's 0-based number in its key. Keys are cut into blocks of
+    ``block`` rows, each a window of its own; what a block knows at its end is
+    carried on by the same rule over blocks, so no window holds a whole key.
+    """
+    number = f"{place}_block"
+    df = df.withColumn(number, F.expr(f"{place} div {block}"))
+    end = Window.currentRow if include_current else -1
+    window = Window.partitionBy(*keys, number).orderBy(place).rowsBetween(Window.unboundedPreceding, end)
+    within = {out: F.last(value, ignorenulls=True).over(window) for out, value in values.items()}
+    if row_bound is not None and row_bound <= block:
+        return df.withColumns(within).drop(number)
+    df = materialize(df)
+    if df.where(F.col(number) > 0).isEmpty():
+        return df.withColumns(within).drop(number)
+    latest = lambda value: F.max_by(value, F.when(F.col(value).isNotNull(), F.col(place)))
+    ends = df.groupBy(*keys, number).agg(*[latest(value).alias(f"{out}_end") for out, value in values.items()])
+    carried = last_known(ends, {f"{out}_carry": f"{out}_end" for out in values}, keys, number, max(2, block))
+    carried = carried.select(*keys, (F.col(number) + 1).alias(number), *[f"{out}_carry" for out in values])
+    # One row per block, as many as block rows match each: nothing here is hot.
+    joined = same(df.withColumns(within), carried, [*keys, number], "left")
+    return joined.withColumns({out: F.coalesce(out, f"{out}_carry") for out in values}).drop(number, *[f"{out}_carry" for out in values])
+
+
 def _carried(df, columns, keys, inside, number, decay, block, limits):
     """Per block but a key's first: the decayed sums at the end of the block before it."""
     age = F.pow(F.lit(decay), block - 1 - F.col(inside))
     ends = df.groupBy(*keys, number).agg(*[F.sum(F.col(c) * age).alias(c) for c in columns])
     at_end = decay**block
-    longer = block_length(at_end) if at_end > 0 else 1
     blocks = _decayed_sums(
-        ends, columns, keys, number, at_end, min(block, max(2, longer)), True, limits, None
+        ends, columns, keys, number, at_end, min(block, max(2, block_length(at_end))), True, limits, None
     ) if at_end > 0 else ends.withColumnsRenamed({c: f"{c}_sum" for c in columns})
     return blocks.select(*keys, (F.col(number) + 1).alias(number), *[F.col(f"{c}_sum").alias(f"{c}_carry") for c in columns])
 
@@ -145,11 +174,11 @@ def team_form(
 
     ``games`` has one row per game with the final ``Home``/``Away`` totals and
     the opponent totals each side saw. ``either`` uses the larger of the two
-    sides for both; ``own`` uses each side's own.
+    sides for both; ``own`` uses each side's own, 0 for one without attempts.
     """
     def totals(side, kind):
         if team_total == "own":
-            return F.col(f"{side}{kind}{statistic}")
+            return F.coalesce(F.col(f"{side}{kind}{statistic}"), F.lit(0))
         return F.greatest(f"Home{kind}{statistic}", f"Away{kind}{statistic}")
 
     result = games

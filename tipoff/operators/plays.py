@@ -22,7 +22,7 @@ def key_dates(plays: DataFrame) -> DataFrame:
 
 
 def parse_dates(df: DataFrame, fmt: str = "yyyy-MM-dd") -> DataFrame:
-    """Parse ``DateKey`` into ``Date``; bad text is null. Cheapest on one row per game."""
+    """Parse ``DateKey`` into ``Date``; bad text is null (:mod:`tipoff.operators.dates` has other ways). Cheapest on one row per game."""
     return df.withColumn("Date", F.try_to_date("DateKey", fmt))
 
 

@@ -2,11 +2,15 @@
 
 A running total of a statistic without negative values never falls, so its
 largest value up to a cut is the conditional sum up to that cut; a negative
-value is an error. (:func:`running_snapshots` is for statistics that fall.) Only the opponent's score needs the order of
-plays: it is read at the team's own last attempt. One pass finds those last
-attempts per game and side, a second sums the other side's points up to them.
-Neither pass sorts plays or gathers a game in one task, so the size of a single
-game does not matter.
+value is an error. Only the opponent's score needs the order of plays: it is
+read at the team's own last attempt. One pass finds those last attempts per
+game and side, a second sums the other side's points up to them. Neither pass
+sorts plays or gathers a game in one task, so the size of a single game does
+not matter.
+
+For a statistic that may fall (``running``), the largest running totals need
+the order of plays (:func:`running_tables`); the totals as of a cut are signed
+sums up to it, again by partial aggregation.
 """
 
 from dataclasses import dataclass
@@ -18,7 +22,7 @@ from tipoff.limits import DEFAULT, Limits
 from tipoff.operators.joins import join_dimension
 from tipoff.operators.ordered import running_sums
 from tipoff.schema import GAME
-from tipoff.session import materialize_counted
+from tipoff.session import materialize, materialize_counted
 
 SEQUENCE_LIMIT = 1 << 47  # play sequence numbers of ordinary games are 0 <= n < limit
 SIDES = {"Home": 1, "Away": 0}
@@ -73,16 +77,16 @@ def _up_to(cut, value):
     return F.when(clock.isNotNull() if cut is None else clock <= cut, value)
 
 
-def _counted(statistic: str) -> Column:
-    """The statistic of plays that count, in a type that keeps fractions; it must not fall."""
+def _counted(statistic: str, signed: bool = False) -> Column:
+    """The statistic of plays that count, in a type that keeps fractions; it must not fall unless ``signed``."""
     value = F.col(statistic)
-    whole = F.when(value < 0, F.raise_error(F.lit(f"negative {statistic}: use running=True")).cast("long")).otherwise(value)
+    whole = value if signed else F.when(value < 0, F.raise_error(F.lit(f"negative {statistic}: use running=True")).cast("long")).otherwise(value)
     return F.when(F.col("Counted"), whole).otherwise(0)
 
 
 def play_summary(
     plays: DataFrame, cuts: list, statistic: str = "Points",
-    *, game: list[str] = GAME, game_seconds: int = GAME_SECONDS,
+    *, game: list[str] = GAME, game_seconds: int = GAME_SECONDS, signed: bool = False,
 ) -> DataFrame:
     """One row per game, side and player with everything later steps need from the plays.
 
@@ -93,7 +97,7 @@ def play_summary(
     counted = F.col("Counted")
     player = F.when(counted, F.col("Player")).alias("Player")
     order = F.when(counted, F.col("_order"))
-    points = _counted(statistic)
+    points = _counted(statistic, signed)
     sums = [F.coalesce(F.sum(_up_to(c, points)), F.lit(0)).alias(f"_sum{i}") for i, c in enumerate(cuts)]
     lasts = [F.max(_up_to(c, order)).alias(f"_last{i}") for i, c in enumerate(cuts)]
     return plays.withColumn("_order", play_order(game_seconds=game_seconds)).groupBy(*game, "Home", player).agg(
@@ -200,21 +204,39 @@ def attach_scores(
         .otherwise(F.col(f"Away{kind}{statistic}"))
         for kind in ("Team", "Opponent")
     }
-    total = F.zip_with(f"HomeTeam{statistic}", f"AwayTeam{statistic}", lambda h, a: h + a)
+    total = F.col(f"Total{statistic}") if f"Total{statistic}" in games.columns else F.zip_with(
+        f"HomeTeam{statistic}", f"AwayTeam{statistic}", lambda h, a: h + a
+    )
     return joined.withColumns({**sides, f"CumulativeTotal{statistic}": total}).drop(
-        *[f"{side}{kind}{statistic}" for side in SIDES for kind in ("Team", "Opponent")]
+        f"Total{statistic}", *[f"{side}{kind}{statistic}" for side in SIDES for kind in ("Team", "Opponent")]
     )
 
 
-def running_snapshots(
-    plays: DataFrame, intervals: int = 2, statistic: str = "Points",
+@dataclass(frozen=True)
+class ScoreTables:
+    """Written tables and their row counts: players in games (folded plays, or finished rows), and games."""
+
+    summary: DataFrame
+    games: DataFrame
+    summary_rows: int
+    game_rows: int
+    finished: bool = False
+
+    def players(self, intervals: int, statistic: str, game: list[str]) -> DataFrame:
+        """One row per player and game with the player's score at each cut."""
+        return self.summary if self.finished else player_snapshots(self.summary, intervals, statistic, game=game)
+
+
+def running_tables(
+    plays: DataFrame, intervals: int, statistic: str = "Points",
     *, game: list[str] = GAME, game_seconds: int = GAME_SECONDS, limits: Limits = DEFAULT,
-) -> DataFrame:
-    """The columns of :func:`interval_snapshots` for a statistic that may fall.
+) -> ScoreTables:
+    """The tables of :func:`score_tables` for a statistic that may fall, by its largest running totals.
 
     Every value is the largest running total up to the cut (0 without a play);
     the opponent's is the largest that the team's own plays saw. Plays are
-    ordered per game by :func:`running_points`, which splits hot games.
+    ordered per game by :func:`running_points`, which splits hot games; all
+    else is partial aggregation. A side without attempts has null arrays.
     """
     cuts = interval_cuts(intervals, game_seconds)
     order = play_order(game_seconds=game_seconds)
@@ -226,58 +248,58 @@ def running_snapshots(
     def highest(level):
         return [F.max(_up_to(c, F.col(f"Cumulative{level}{statistic}"))) for c in cuts]
 
-    def largest(level):
-        return [F.coalesce(c, F.lit(0)) for c in highest(level)]
-
-    players = running.where(F.col("Player").isNotNull()).groupBy("Player", *game).agg(
-        F.min("Season").alias("Season"), F.min_by("Home", "_order").alias("Home"),
-        F.array(*largest("Player")).alias(f"CumulativePlayer{statistic}"),
+    # One pass over the ordered plays serves players, sides and games.
+    each = materialize(running.groupBy(*game, "Home", "Player").agg(
+        F.min("Season").alias("Season"), F.min("_order").alias("_first"),
+        *[c.alias(f"_{level}{i}") for level in ("Player", "Team", "Opponent", "Total") for i, c in enumerate(highest(level))],
+    ))
+    top = lambda level: F.array(*[F.coalesce(F.max(f"_{level}{i}"), F.lit(0)) for i in range(intervals)])
+    players, n = materialize_counted(each.where(F.col("Player").isNotNull()).groupBy("Player", *game).agg(
+        F.min("Season").alias("Season"), F.min_by("Home", "_first").alias("Home"), top("Player").alias(f"CumulativePlayer{statistic}"),
+    ))
+    sides = each.groupBy(*game, "Home").agg(
+        top("Team").alias("_Team"), top("Opponent").alias("_Opponent"), top("Total").alias("_Total"), F.count("Player").alias("_players"),
+        F.max(f"_Total{intervals - 1}").isNotNull().alias("_played"),
     )
-    sides = running.groupBy(*game, "Home").agg(
-        F.array(*largest("Team")).alias("_team"), F.array(*largest("Opponent")).alias("_opponent"),
-        F.array(*highest("Total")).alias("_total"), F.approx_count_distinct("Player").alias("_players"),
+    own = lambda column, flag: F.max(F.when(F.col("Home") == flag, F.col(column)))
+    scores = sides.groupBy(*game).agg(
+        F.sum("_players").alias("Players"), F.bool_or("_played").alias("HasAttempts"),
+        *[own(f"_{kind}", flag).alias(f"{side}{kind}{statistic}") for side, flag in SIDES.items() for kind in ("Team", "Opponent")],
+        F.array(*[F.max(F.col("_Total")[i]) for i in range(intervals)]).alias(f"Total{statistic}"),
     )
-    nothing = F.array(*[F.lit(0)] * intervals)
-    pick = lambda c, flag: F.coalesce(F.max(F.when(F.col("Home") == flag, F.col(c))), nothing)
-    games, rows = materialize_counted(sides.groupBy(*game).agg(
-        F.sum("_players").alias("Players"),
-        *[pick(c, flag).alias(f"{c}{flag}") for c in ("_team", "_opponent") for flag in SIDES.values()],
-        F.array(*[F.coalesce(F.max(F.col("_total")[i]), F.lit(0)) for i in range(intervals)]).alias(f"CumulativeTotal{statistic}"),
-    ))
-    joined = join_dimension(players, games, game, rows="Players", spread="Player", limits=limits, row_bound=rows)
-    home = F.col("Home") == SIDES["Home"]
-    return joined.withColumns({
-        f"CumulativeTeam{statistic}": F.when(home, F.col("_team1")).otherwise(F.col("_team0")),
-        f"CumulativeOpponent{statistic}": F.when(home, F.col("_opponent1")).otherwise(F.col("_opponent0")),
-    }).drop("Players", "_team0", "_team1", "_opponent0", "_opponent1")
-
-
-@dataclass(frozen=True)
-class ScoreTables:
-    """Two written tables and their row counts."""
-
-    summary: DataFrame
-    games: DataFrame
-    summary_rows: int
-    game_rows: int
+    everything = plays.groupBy(*game).agg(
+        F.min("Season").alias("Season"), F.count("*").alias("Plays"),
+        *[F.coalesce(F.bool_or(F.col("Home") == flag), F.lit(False)).alias(f"{side}Present") for side, flag in SIDES.items()],
+    ).na.drop(subset=game)
+    games, game_rows = materialize_counted(
+        everything.join(scores, game, "left").fillna(0, ["Players"]).fillna(False, ["HasAttempts"])
+    )
+    return ScoreTables(players, games, n, game_rows, finished=True)
 
 
 def score_tables(
     plays: DataFrame, intervals: int, statistic: str = "Points",
     *, game: list[str] = GAME, game_seconds: int = GAME_SECONDS,
-    opponent_score: str = "at_last_play", limits: Limits = DEFAULT,
+    opponent_score: str = "at_last_play", running: bool = False, limits: Limits = DEFAULT,
 ) -> ScoreTables:
-    """The per-player summary and the per-game score arrays."""
+    """The per-player summary and the per-game score arrays.
+
+    ``running`` is for statistics that may fall: the largest running totals, or
+    with the opponent's score ``at_cut`` all totals as they are at the cut.
+    """
+    if opponent_score not in ("at_last_play", "at_cut"):
+        raise ValueError(f"unknown opponent_score {opponent_score!r}")
+    if running and opponent_score == "at_last_play":
+        return running_tables(plays, intervals, statistic, game=game, game_seconds=game_seconds, limits=limits)
     cuts = interval_cuts(intervals, game_seconds)
-    summary, rows = materialize_counted(play_summary(plays, cuts, statistic, game=game, game_seconds=game_seconds))
+    folded = play_summary(plays, cuts, statistic, game=game, game_seconds=game_seconds, signed=running)
+    summary, rows = materialize_counted(folded)
     games = game_summary(summary, intervals, game=game)
     opponents = None
     if opponent_score == "at_last_play":
         opponents = opponent_snapshots(
             plays, games, intervals, statistic, game=game, game_seconds=game_seconds, limits=limits, row_bound=rows
         )
-    elif opponent_score != "at_cut":
-        raise ValueError(f"unknown opponent_score {opponent_score!r}")
     arrays = score_arrays(games, opponents, intervals, statistic, game=game)
     games, game_rows = materialize_counted(arrays)
     return ScoreTables(summary, games, rows, game_rows)
@@ -290,17 +312,12 @@ def interval_snapshots(
 ) -> DataFrame:
     """Player, total, team and opponent scores as arrays, one row per player and game.
 
-    ``running`` takes the largest running totals, for a statistic with negative values.
+    ``running`` is for a statistic with negative values, see :func:`score_tables`.
     """
-    if running:
-        if opponent_score != "at_last_play":
-            raise ValueError("running totals take the opponent's score at the team's own plays")
-        return running_snapshots(plays, intervals, statistic, game=game, game_seconds=game_seconds, limits=limits)
     tables = score_tables(
         plays, intervals, statistic, game=game, game_seconds=game_seconds,
-        opponent_score=opponent_score, limits=limits,
+        opponent_score=opponent_score, running=running, limits=limits,
     )
-    players = player_snapshots(tables.summary, intervals, statistic, game=game)
     return attach_scores(
-        players, tables.games, statistic, game=game, limits=limits, row_bound=tables.game_rows
+        tables.players(intervals, statistic, game), tables.games, statistic, game=game, limits=limits, row_bound=tables.game_rows
     ).drop("HasAttempts", "HomePresent", "AwayPresent", "Players")

@@ -13,6 +13,7 @@ from tipoff.schema import FEATURE_TABLE, FEATURES, PAYOFF_COLUMNS, STATE
 
 G = "HomeTeam, AwayTeam, DateKey"
 GP = f"{G}, Player"
+LAST = "{'t': TimeElapsed, 'n': PlaySeq}"  # the order of plays
 
 
 def cuts_of(n):
@@ -37,25 +38,34 @@ def ewm(value, partition, order, current=True):
     return f"sum({value} * pow(1.5::DOUBLE, {rank})) OVER {frame} / sum(CASE WHEN {value} IS NOT NULL THEN pow(1.5::DOUBLE, {rank}) END) OVER {frame}"
 
 
-def up_to(cut, value):
-    return f"max({value})" if cut is None else f"max({value}) FILTER (TimeElapsed <= {cut})"
+def up_to(cut, value, asof=False):
+    """The largest value up to a cut, or the last one by clock and play number."""
+    pick = f"arg_max({value}, {LAST})" if asof else f"max({value})"
+    return pick if cut is None else f"{pick} FILTER (TimeElapsed <= {cut})"
 
 
-def chain(corrected=False, n=INTERVALS, statistic="Points"):
+# Dates of the log written in four ways, and those that nothing reads.
+LOST = "(CAST(h AS INTEGER) + dayofyear(dt)) % 17 = 0"
+MIXED = f"""CASE WHEN {LOST} THEN 'day ' || dayofyear(dt) ELSE CASE dayofyear(dt) % 4 WHEN 0 THEN strftime(dt, '%Y-%m-%d')
+    WHEN 1 THEN strftime(dt, '%-d %b %Y') WHEN 2 THEN day(dt) || '.' || month(dt) || '.' || year(dt)
+    ELSE day(dt) || '/' || month(dt) || '/' || year(dt) END END"""
+
+
+def chain(corrected=False, n=INTERVALS, statistic="Points", asof=False, mixed=False):
     """Named steps from events to features, each building on the ones before it."""
     cuts = cuts_of(n)
     team_home = "CASE WHEN Home = 1 THEN {h} ELSE {a} END"
     other_home = "CASE WHEN Home = 0 THEN {h} ELSE {a} END" if corrected else team_home
     snapshot = []
     for i, cut in enumerate(cuts):
-        snapshot.append(f"coalesce({up_to(cut, 'CumulativePlayerPoints')}, 0) AS p{i + 1}")
-    game = ", ".join(f"coalesce({up_to(c, 'CumulativeTotalPoints')}, 0) AS g{i + 1}" for i, c in enumerate(cuts))
+        snapshot.append(f"coalesce({up_to(cut, 'CumulativePlayerPoints', asof)}, 0) AS p{i + 1}")
+    game = ", ".join(f"coalesce({up_to(c, 'CumulativeTotalPoints', asof)}, 0) AS g{i + 1}" for i, c in enumerate(cuts))
     team = ", ".join(
-        f"coalesce({up_to(c, 'CumulativeTeamPoints')}, 0) AS t{i + 1}, "
-        f"coalesce({up_to(c, 'CumulativeOpponentPoints')}, 0) AS o{i + 1}"
+        f"coalesce({up_to(c, 'CumulativeTeamPoints', asof)}, 0) AS t{i + 1}, "
+        f"coalesce({up_to(c, 'CumulativeOpponentPoints', asof)}, 0) AS o{i + 1}"
         for i, c in enumerate(cuts)
     )
-    opponent = "g{i} - t{i}" if corrected else "o{i}"
+    opponent = "g{i} - t{i}" if corrected or asof else "o{i}"
     totals_home = "max(CumulativeTeamPoints) FILTER (Home = {f})" if corrected else "max(CumulativeTeamPoints)"
     allowed_home = (
         "max(CumulativeTotalPoints) - coalesce(max(CumulativeTeamPoints) FILTER (Home = {f}), 0)"
@@ -64,6 +74,10 @@ def chain(corrected=False, n=INTERVALS, statistic="Points"):
     # With separate sides, a side without attempts has scored and seen nothing.
     h_scored, a_scored = (f"coalesce({totals_home.format(f=f)}, 0)" for f in (1, 0))
     h_allowed, a_allowed = (allowed_home.format(f=f) for f in (1, 0))
+    if asof:
+        last = lambda column, side="": f"coalesce(arg_max({column}, {LAST}){side}, 0)"
+        h_scored, a_scored = (last("CumulativeTeamPoints", f" FILTER (Home = {f})") for f in (1, 0))
+        h_allowed, a_allowed = (f"{last('CumulativeTotalPoints')} - {own}" for own in (h_scored, a_scored))
     current = not corrected
     number_order = '"Date", ' + G if corrected else G
     minutes = [48 - 48 / n * i for i in range(n)] + [0]
@@ -84,7 +98,7 @@ def chain(corrected=False, n=INTERVALS, statistic="Points"):
             CASE WHEN d % 2 = 0 THEN 5 + (slot + d) % 5 ELSE slot END AS a
             FROM slotted""",
         "log": """SELECT event_id AS PlaySeq, 'T' || h AS HomeTeam, 'T' || a AS AwayTeam,
-            day(dt) || '/' || month(dt) || '/' || year(dt) AS DateKey, dt,
+            DATE_TEXT AS DateKey, dt,
             CAST(CASE WHEN s < 82800 THEN s // 20700 + 1 ELSE 5 END AS INTEGER) AS Quarter,
             CAST(CASE WHEN s < 82800 THEN 720 - ((s % 20700) * 720) // 20700
                  ELSE 300 - (s - 82800) // 12 END AS INTEGER) AS SecLeft,
@@ -97,7 +111,8 @@ def chain(corrected=False, n=INTERVALS, statistic="Points"):
             CASE WHEN event_type NOT IN ('view', 'error') THEN CAST(user_id AS VARCHAR) END AS Shooter,
             CASE WHEN event_type = 'view' THEN CAST(user_id AS VARCHAR) END AS FreeThrowShooter,
             CASE WHEN k % 5 = 0 THEN '3-pt' WHEN k % 5 <> 1 THEN '2-pt' END AS ShotType,
-            CAST(CASE WHEN d < 15 THEN 2017 ELSE 2018 END AS INTEGER) AS Season, Value, Swing FROM paired""",
+            CAST(CASE WHEN d < 15 THEN 2017 ELSE 2018 END AS INTEGER) AS Season, Value, Swing FROM paired WHERE KEPT""".replace("KEPT", f"NOT {LOST}" if mixed else "true")
+        .replace("DATE_TEXT", MIXED if mixed else "day(dt) || '/' || month(dt) || '/' || year(dt)"),
         "plays": f"""SELECT *, dt AS "Date",
             CASE WHEN Quarter <= 4 THEN 720 * Quarter - SecLeft
                  ELSE {2880 if corrected else 2160} + 300 * (Quarter - 4) - SecLeft END AS TimeElapsed,
@@ -183,9 +198,9 @@ def steps(last, body, **options):
     return f"WITH RECURSIVE {', '.join(parts)} {body}"
 
 
-def feature_columns(source="features"):
+def feature_columns(source="features", statistic="Points"):
     doubles = {f.name for f in FEATURE_TABLE if f.dataType.typeName() == "double"}
-    columns = [f'{r(c)} AS {c}' if c in doubles else f'"{c}"' for c in FEATURES]
+    columns = [f"{r(c)} AS {c.replace('Points', statistic)}" if c in doubles else f'"{c}"' for c in FEATURES]
     return f"SELECT {', '.join(columns)} FROM {source}"
 
 
@@ -367,6 +382,16 @@ def oracle_queries():
             HomePlay, GameType, ShotOutcome, FreeThrowOutcome, Shooter, FreeThrowShooter, ShotType, Season FROM log"""),
         "csv_log_load": steps("log", """SELECT HomeTeam, AwayTeam, DateKey AS "Date", Quarter, SecLeft, HomePlay,
             GameType, ShotOutcome, FreeThrowOutcome, Shooter, FreeThrowShooter, ShotType, Season FROM log"""),
+        "csv_log_checked": steps("log", """SELECT HomeTeam, AwayTeam, DateKey AS "Date", Quarter, SecLeft, HomePlay,
+            GameType, ShotOutcome, FreeThrowOutcome, Shooter, FreeThrowShooter, ShotType FROM log
+            WHERE PlaySeq % 13 <> 0 AND PlaySeq % 29 <> 0"""),
+        "csv_log_rejected": steps("log", """SELECT HomeTeam, AwayTeam, DateKey AS "Date", Shooter, FreeThrowShooter,
+            "column", content FROM log, (VALUES ('Quarter', 'Q?', 13), ('SecLeft', '4:5x', 29)) spoilt("column", content, n)
+            WHERE PlaySeq % n = 0"""),
+        "csv_log_counts": steps("log", """SELECT 'Quarter' AS "column", count(*) AS filled,
+            count(*) FILTER (PlaySeq % 13 = 0) AS unreadable FROM log
+            UNION ALL SELECT 'SecLeft', count(*), count(*) FILTER (PlaySeq % 29 = 0) FROM log
+            UNION ALL SELECT 'line', count(*), 0 FROM log"""),
         "union_tagged_seasons": steps("log", """SELECT PlaySeq, HomeTeam,
             CASE WHEN Season = 2018 THEN ShotType END AS ShotType, Season FROM log"""),
         "game_clock": steps("plays", """SELECT PlaySeq, Quarter, SecLeft, CAST(TimeElapsed AS INTEGER) AS TimeElapsed,
@@ -445,6 +470,10 @@ def oracle_queries():
         "interval_snapshots_swing": steps("by_team", f"SELECT Player, {G}, " + ", ".join(
             f"CAST({c}{i} AS BIGINT) AS Cumulative{level}Swing_{i}" for level, c in levels for i in range(1, n + 1)
         ) + f" {snapshot_join}", statistic="Swing"),
+        "interval_snapshots_swing_at_cut": steps("by_team", f"SELECT Player, {G}, " + ", ".join(
+            f"CAST({'g{0} - t{0}'.format(i) if c == 'o' else f'{c}{i}'} AS BIGINT) AS Cumulative{level}Swing_{i}"
+            for level, c in levels for i in range(1, n + 1)
+        ) + f" {snapshot_join}", statistic="Swing", asof=True),
         "stack_intervals": steps("stacked", f"""SELECT Player, {G}, CAST(Interval AS INTEGER) AS Interval,
             CAST(cp AS DOUBLE) AS CumulativePlayerPointsInterval, CAST(ct AS DOUBLE) AS CumulativeTeamPointsInterval,
             CAST(co AS DOUBLE) AS CumulativeOpponentPointsInterval FROM stacked"""),
@@ -462,10 +491,29 @@ def oracle_queries():
             WHERE PlayerGameNumber >= 10 AND Season = 2018"""),
         "feature_build": steps("features", feature_columns()),
         "feature_build_corrected": steps("features", feature_columns(), corrected=True),
+        "feature_build_swing": steps("features", feature_columns(statistic="Swing"), statistic="Swing"),
+        "feature_build_swing_at_cut": steps("features", feature_columns(statistic="Swing"), statistic="Swing", asof=True),
+        "feature_build_mixed_dates": steps("features", feature_columns(), mixed=True),
+        "date_quarantine": steps("paired", f"""SELECT 'T' || h AS HomeTeam, 'T' || a AS AwayTeam, {MIXED} AS DateKey, count(*) AS Plays
+            FROM paired WHERE {LOST} GROUP BY ALL"""),
+        "date_coverage": steps("paired", f""", told AS (SELECT dt, CASE WHEN {LOST} THEN 0 ELSE 1 + dayofyear(dt) % 4 END AS style,
+            day(dt) AS d, month(dt) AS m FROM paired),
+            cells AS (SELECT unnest([
+              {{'format': 'M/d/yyyy', 'position': 0, 'r': style = 4 AND d <= 12, 'o': false, 'a': style = 4 AND d <= 12 AND d <> m}},
+              {{'format': 'd/M/yyyy', 'position': 1, 'r': style = 4, 'o': style = 4 AND d > 12, 'a': style = 4 AND d <= 12 AND d <> m}},
+              {{'format': 'yyyy-MM-dd', 'position': 2, 'r': style = 1, 'o': style = 1, 'a': false}},
+              {{'format': 'd MMM yyyy', 'position': 3, 'r': style = 2, 'o': style = 2, 'a': false}},
+              {{'format': 'd.M.yyyy', 'position': 4, 'r': style = 3, 'o': style = 3, 'a': false}},
+              {{'format': NULL, 'position': 5, 'r': style = 0, 'o': style = 0, 'a': false}}], recursive := true) FROM told)
+            SELECT "format", CAST(position AS INTEGER) AS position, count(*) FILTER (r) AS readable, count(*) FILTER (o) AS only,
+            count(*) FILTER (a) AS ambiguous FROM cells GROUP BY ALL"""),
         "feature_roundtrip": steps("features", feature_columns()),
         "training_rows": steps("training", feature_columns("training")),
-        "player_game_lookup": steps("features", f"""{feature_columns()} WHERE (Player, GameId) = (SELECT (Player, GameId)
-            FROM features ORDER BY CumulativePlayerPointsInterval DESC, Interval DESC, Player, GameId LIMIT 1)"""),
+        "player_game_lookup": steps("features", f"""{feature_columns()}
+            WINDOW best AS (ORDER BY CumulativePlayerPointsInterval DESC, Interval DESC, Player, GameId)
+            QUALIFY Player = first_value(Player) OVER best AND GameId = first_value(GameId) OVER best"""),
+        "sorted_sink": steps("features", """SELECT Player, GameId, Interval,
+            row_number() OVER (ORDER BY Player, GameId, Interval) - 1 AS position FROM features"""),
         "stopping_payoff": steps("valued", f"SELECT {features_up}, {r('Payoff')} AS Payoff, Alive FROM valued"),
         "expected_path": steps("training", f"""SELECT {features_up},
             {r(f'RollingAvgPlayerPoints * Interval / {float(n)}')} AS ExpectedPoints,

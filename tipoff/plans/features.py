@@ -6,6 +6,7 @@ from tipoff.functions import scoring
 from tipoff.functions.clock import GAME_SECONDS
 from tipoff.limits import DEFAULT, Limits
 from tipoff.operators import form, keys, plays as play_ops, snapshots, stack
+from tipoff.operators.dates import Dates, dates_of
 from tipoff.schema import FEATURE_TABLE, GAME, STATE
 
 
@@ -63,17 +64,21 @@ def build_features(
     *, game: list[str] = GAME, game_seconds: int = GAME_SECONDS, span: float = 5,
     overtime: str = "reference", opponent: str = "reference", opponent_score: str = "at_last_play",
     team_total: str = "either", include_current: bool = True, order_by: list[str] | None = None,
-    date_format: str = "yyyy-MM-dd", paired: bool = False, limits: Limits = DEFAULT,
+    date_format: str | list[str] | Dates = "yyyy-MM-dd", running: bool = False, paired: bool = False, limits: Limits = DEFAULT,
 ) -> DataFrame:
     """The processed table: one row per eligible player, game and interval 0..n.
 
     Rest, form and game numbers see every season; eligibility is cut last.
-    ``paired`` adds the vectors that training needs.
+    ``running`` is for a statistic that may fall: scores and form take its
+    largest running totals, or with the opponent's score ``at_cut`` the totals
+    as they are at each cut. ``date_format`` may be a list of formats or a
+    :class:`~tipoff.operators.dates.Dates`; a date that none reads is an error
+    unless that says otherwise. ``paired`` adds the vectors that training needs.
     """
     plays = prepare_plays(raw, overtime=overtime, opponent=opponent)
     players = player_games(
         plays, intervals, statistic, game=game, game_seconds=game_seconds, span=span,
-        date_format=date_format,
+        date_format=date_format, running=running,
         opponent=opponent, opponent_score=opponent_score, team_total=team_total,
         include_current=include_current, order_by=order_by, limits=limits,
     )
@@ -120,14 +125,15 @@ def player_games(
     *, game: list[str] = GAME, game_seconds: int = GAME_SECONDS, span: float = 5,
     opponent: str = "reference", opponent_score: str = "at_last_play", team_total: str = "either",
     include_current: bool = True, order_by: list[str] | None = None,
-    date_format: str = "yyyy-MM-dd", limits: Limits = DEFAULT,
+    date_format: str | list[str] | Dates = "yyyy-MM-dd", running: bool = False, limits: Limits = DEFAULT,
 ) -> DataFrame:
     """One row per player and game with score arrays, form, rest, ids and game number."""
     tables = snapshots.score_tables(
         plays, intervals, statistic, game=game, game_seconds=game_seconds,
-        opponent_score=opponent_score, limits=limits,
+        opponent_score=opponent_score, running=running, limits=limits,
     )
-    games = play_ops.parse_dates(tables.games, date_format)
+    dates = dates_of(date_format).settled(tables.games.select(*game, "Plays"))
+    games = dates.apply(tables.games)
     context = game_features(
         games, intervals, statistic, game=game, span=span, team_total=team_total,
         include_current=include_current, limits=limits, game_rows=tables.game_rows,
@@ -135,9 +141,7 @@ def player_games(
     per_game = games.where("HasAttempts").drop("Date").join(context, game)
 
     arrays = f"CumulativePlayer{statistic}"
-    players = play_ops.parse_dates(
-        snapshots.player_snapshots(tables.summary, intervals, statistic, game=game), date_format
-    ).withColumns({"_arrays": F.col(arrays), arrays: F.element_at(arrays, intervals)})
+    players = dates.apply(tables.players(intervals, statistic, game)).withColumns({"_arrays": F.col(arrays), arrays: F.element_at(arrays, intervals)})
     formed = form.player_form(
         players, statistic, game=game, order_by=order_by, span=span,
         include_current=include_current, limits=limits, row_bound=tables.summary_rows,

@@ -17,6 +17,9 @@ from tipoff.operators.moments import summed_blocks, summed_vector, vectors
 from tipoff.operators.scaling import Scaling, z_scores
 from tipoff.schema import STATE
 from tipoff.session import discard, materialize
+from tipoff.sources.model_store import Model, Progress
+
+STALLED = 1e9  # damping beyond which no step is worth trying
 
 
 @dataclass(frozen=True)
@@ -25,6 +28,7 @@ class QFit:
     losses: tuple[float, ...]
     rates: tuple[float, ...]
     converged: bool = False
+    stalled: bool = False
 
 
 def _targets(theta, following, payoff, alive):
@@ -58,18 +62,23 @@ def _normal_fold(theta, width, rows=2048):
 
 def fit_to_convergence(
     pairs: DataFrame, *, tolerance: float = 1e-4, settled: int = 5, ceiling: int = 300,
-    ridge: float = 1e-6, seed: int = 100, width: int = len(STATE),
+    ridge: float = 1e-6, seed: int = 100, width: int = len(STATE), progress: str | None = None,
 ) -> QFit:
     """Damped Gauss-Newton steps over the full table until the loss settles.
 
     A step that lowers the loss (against targets of its own parameters) is
-    taken and the damping eased; otherwise the damping grows. Settled means that
-    ``settled`` steps in a row lowered the loss by less than ``tolerance`` of
-    itself, or that no damping finds a lower loss. ``ceiling`` evaluations at
-    most; ``converged`` says whether the loss settled before. One job per
-    evaluation.
+    taken and the damping eased; otherwise the damping grows. ``converged``
+    means that ``settled`` steps in a row lowered the loss by less than
+    ``tolerance`` of itself; ``stalled`` that no damping finds a lower loss,
+    which need not be the end of the way; neither that ``ceiling`` evaluations
+    were not enough. One job per evaluation.
+
+    With ``progress``, a folder of its own, every evaluation is written there,
+    and a call finds it and goes on from the last one: training survives the
+    loss of the driver. Such a folder belongs to one training table.
     """
     data = materialize(pairs.select("Phi", "PhiNext", "Payoff", "Alive"))
+    kept = Progress(pairs.sparkSession, progress)
     theta = network.initial_parameters(width, seed)
     size = len(theta)
 
@@ -79,9 +88,14 @@ def fit_to_convergence(
         rows = max(sums[-1], 1.0)
         return sums[:size * size].reshape(size, size) / rows, sums[size * size:-2] / rows, float(sums[-2] / rows)
 
+    before = kept.last()
+    if before is not None:
+        theta = np.array(before["theta"])
     square, slope, loss = evaluate(theta)
-    losses, damping, quiet, converged = [loss], 1e-2, 0, False
-    while len(losses) < ceiling and not converged:
+    losses, damping, quiet = [loss], 1e-2, 0
+    if before is not None:
+        losses, (damping, quiet) = before["losses"], before["state"]
+    while len(losses) < ceiling and quiet < settled and damping <= STALLED:
         lift = np.diag(damping * (np.diag(square) + 1e-3) + ridge)
         candidate = theta + np.linalg.solve(square + lift, slope)
         trial = evaluate(candidate)
@@ -92,9 +106,9 @@ def fit_to_convergence(
             damping = max(damping / 3, 1e-9)
         else:
             damping *= 4
-        converged = quiet >= settled or damping > 1e9
+        kept.save(len(losses), {"theta": theta, "losses": losses, "state": [damping, quiet]})
     discard(data)
-    return QFit(theta, tuple(losses), (), converged)
+    return QFit(theta, tuple(losses), (), quiet >= settled, quiet < settled and damping > STALLED)
 
 
 def _step_fold(theta, width):
@@ -163,3 +177,8 @@ def price_scenarios(
 ) -> DataFrame:
     """Value hypothetical states with the statistics and network of the training table."""
     return score_network(scenarios, theta, out, scaling=scaling)
+
+
+def score_model(rows: DataFrame, model: Model, out: str = "res") -> DataFrame:
+    """Network value of each row by a stored model, with the statistics it was trained with."""
+    return score_network(rows, model.theta, out, scaling=model.scaling)

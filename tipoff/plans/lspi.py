@@ -1,12 +1,14 @@
 """Least-squares policy iteration for the right to stop early."""
 
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tipoff.functions.payoff import linear_score
-from tipoff.operators.moments import summed, summed_vector, vectors
+from tipoff.operators import exact
+from tipoff.operators.moments import vectors
 from tipoff.operators.pairs import add_payoff, bellman_pairs
 from tipoff.schema import STATE
 from tipoff.session import discard, materialize
@@ -26,44 +28,54 @@ def _batch_pair(batch, width):
     return phi, following, payoff, alive
 
 
-def _moments_fold(weights, previous, gamma):
-    """Per batch: sum of phi (phi - hold*gamma*next)', of gamma*stop*payoff*phi, and changed holds."""
-    width = len(weights)
+class _System:
+    """The linear systems of the iterations over one written table of pairs, to the last bit the same however its rows are dealt out."""
 
-    def fold(batch):
-        phi, following, payoff, alive = _batch_pair(batch, width)
-        hold = alive & (following @ weights > payoff)
-        was_hold = alive & (following @ previous > payoff)
-        step = phi - gamma * following * hold[:, None]
-        reward = phi.T @ (gamma * payoff * ~hold)
-        return np.concatenate([(phi.T @ step).ravel(), reward, [np.count_nonzero(hold ^ was_hold)]])
+    def __init__(self, data: DataFrame, width: int, gamma: float):
+        self.data, self.width, self.gamma = data, width, gamma
+        columns = [F.col(c)[i] for c in ("Phi", "PhiNext") for i in range(width)] + [F.col("Payoff")]
+        sizes = exact.bounds(data, columns)
+        phi, following, payoff = sizes[:width], sizes[width:-1], sizes[-1]
+        self.left = np.concatenate([phi, [1.0]])
+        step = [exact.power_above(a + abs(gamma) * b) for a, b in zip(phi, following)]
+        self.right = np.array([*step, exact.power_above(abs(gamma) * payoff), 1.0])
 
-    return fold, width * width + width + 1
+    def sums(self, weights: np.ndarray, previous: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Sum of phi (phi - hold*gamma*next)', of gamma*stop*payoff*phi (both in fractions), and how many holds changed."""
+        width, gamma = self.width, self.gamma
 
+        def fold(batch):
+            phi, following, payoff, alive = _batch_pair(batch, width)
+            hold = alive & (exact.row_products(following, weights) > payoff)
+            was_hold = alive & (exact.row_products(following, previous) > payoff)
+            step = phi - gamma * following * hold[:, None]
+            left = np.column_stack([phi, np.ones(len(phi))])
+            return left, np.column_stack([step, gamma * payoff * ~hold, hold ^ was_hold])
 
-def _solve(matrix, target):
-    """Solve after scaling rows and columns to unit diagonal; the features differ by 1e5 in size."""
-    scale = 1.0 / np.sqrt(np.abs(np.diag(matrix)))
-    return scale * np.linalg.solve(matrix * np.outer(scale, scale), scale * target)
+        found = exact.summed_products(self.data, fold, self.left, self.right)
+        return found[:width, :width], found[:width, width], int(found[width, width + 1])
+
+
+def _ridge(eps: float, width: int) -> np.ndarray:
+    return np.array([[Fraction(eps) if i == j else Fraction(0) for j in range(width)] for i in range(width)])
 
 
 def _inputs(pairs):
-    return pairs.select("Phi", "PhiNext", "Payoff", "Alive")
+    return pairs.select("Phi", "PhiNext", F.col("Payoff").cast("double").alias("Payoff"), "Alive")
 
 
 def bellman_gram(
     pairs: DataFrame, weights: list[float] | None = None,
     *, gamma: float = 1.0, eps: float = 1e-3, width: int = len(STATE),
 ) -> DataFrame:
-    """The linear system of one iteration as (i, j, value); j = width is the right-hand side."""
+    """The linear system of one iteration as (i, j, value); j = width is the right-hand side. Jobs run when this is called."""
     w = np.zeros(width) if weights is None else np.asarray(weights, dtype=float)
-    fold, size = _moments_fold(w, w, gamma)
-    slots = summed(_inputs(pairs), fold, size).where(F.col("slot") < size - 1)
-    matrix = F.col("slot") < width * width
-    i = F.when(matrix, F.floor(F.col("slot") / width)).otherwise(F.col("slot") - width * width)
-    j = F.when(matrix, F.col("slot") % width).otherwise(width)
-    ridge = F.when(i == j, F.lit(eps)).otherwise(0.0)
-    return slots.select(i.cast("int").alias("i"), j.cast("int").alias("j"), (F.col("value") + ridge).alias("value"))
+    data = materialize(_inputs(pairs))
+    matrix, target, _ = _System(data, width, gamma).sums(w, w)
+    discard(data)
+    cells = np.column_stack([matrix + _ridge(eps, width), target])
+    rows = [(i, j, float(cells[i, j])) for i in range(width) for j in range(width + 1)]
+    return pairs.sparkSession.createDataFrame(rows, "i int, j int, value double")
 
 
 def lspi_fit(
@@ -73,19 +85,21 @@ def lspi_fit(
     """Fit the continuation value. One job per iteration over the written pairs.
 
     When no hold decision changes, later iterations repeat the same system, so
-    stopping there gives exactly the result of running all ``iters``.
+    stopping there gives exactly the result of running all ``iters``. Sums and
+    the solution of the small system are fractions, rounded once: weights do not
+    depend on how rows are dealt out, and keep their digits where features are
+    collinear and only the ridge tells their weights apart.
     """
     width = len(features)
     data = materialize(_inputs(pairs))
+    system = _System(data, width, gamma)
     weights, previous = np.zeros(width), np.zeros(width)
     done = 0
     for done in range(1, iters + 1):
-        fold, size = _moments_fold(weights, previous, gamma)
-        sums = summed_vector(data, fold, size)
-        if done > 1 and sums[-1] == 0:
+        matrix, target, changed = system.sums(weights, previous)
+        if done > 1 and not changed:
             break
-        matrix = sums[: width * width].reshape(width, width) + eps * np.eye(width)
-        previous, weights = weights, _solve(matrix, sums[width * width : -1])
+        previous, weights = weights, exact.solve(matrix + _ridge(eps, width), target)
     discard(data)
     return Policy(tuple(features), tuple(float(w) for w in weights), done)
 

@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from tipoff.functions import network, payoff
-from tipoff.operators import form, keys, moments, pairs, plays as play_ops, scaling, snapshots, stack
+from tipoff.operators import dates, form, keys, moments, pairs, plays as play_ops, scaling, snapshots, stack
 from tipoff.operators.ordered import framed
 from tipoff.plans import features as plan, fitted_q, lspi
-from tipoff.schema import GAME, STATE
+from tipoff.schema import FEATURE_TABLE, GAME, STATE
 from tipoff.session import materialize, materialize_counted, new_path
-from tipoff.sources import play_log
+from tipoff.sources import model_store, play_log, sorted_table
 from tipoff.sources.event_log import DATE_FORMAT, SEASONS, plays_from_events
 
 INTERVALS = 4
@@ -16,7 +16,9 @@ FORM_THRESHOLD = 2  # the derived log scores lower than a real one
 SEED = 100
 OPTION = {"strike": 100.0, "expiry": 1.0}
 RATE = 0.05
+FORMATS = ["M/d/yyyy", "d/M/yyyy", "yyyy-MM-dd", "d MMM yyyy", "d.M.yyyy"]  # the first misreads some dates of the second
 DAYS = 30
+FILE_ROWS = 500  # of the sorted feature table, so that it has several files at the smallest size too
 WEIGHT_DIGITS = 3  # significant; team, opponent and margin are collinear, so only the ridge pins their weights
 HELD_WEIGHTS = [0.0, 0.3] + [0.0] * 11  # go on where three tenths of the next points beat the payoff
 Q_STEPS, Q_RATE, Q_DECAY = 20, 0.05, 0.999
@@ -119,6 +121,35 @@ def csv_log_load(spark, sf_dir):
     return play_log.load_plays(spark, paths).drop("PlaySeq")
 
 
+def checked_log(spark, sf_dir):
+    """A CSV log in which some numbers were spoilt, read once."""
+    log, path = raw_plays(spark, sf_dir), new_path(spark)
+    spoilt = lambda n, c, text: F.when(F.col("PlaySeq") % n == 0, F.lit(text)).otherwise(F.col(c).cast("string"))
+    log.withColumns({"Quarter": spoilt(13, "Quarter", "Q?"), "SecLeft": spoilt(29, "SecLeft", "4:5x")}).drop(
+        "Season", "PlaySeq"
+    ).write.csv(path, header=True)
+    return play_log.read_checked(spark, path)
+
+
+@query
+def csv_log_checked(spark, sf_dir):
+    """Plays of the rows that could be read."""
+    return checked_log(spark, sf_dir).plays
+
+
+@query
+def csv_log_rejected(spark, sf_dir):
+    """The other rows, a row per unreadable cell."""
+    rejected = checked_log(spark, sf_dir).rejected
+    return rejected.select("HomeTeam", "AwayTeam", "Date", "Shooter", "FreeThrowShooter", F.inline("bad"))
+
+
+@query
+def csv_log_counts(spark, sf_dir):
+    """What was counted while reading."""
+    return checked_log(spark, sf_dir).counts
+
+
 @query
 def union_tagged_seasons(spark, sf_dir):
     log = raw_plays(spark, sf_dir)
@@ -368,15 +399,28 @@ def interval_snapshots_value(spark, sf_dir):
     return rounded(_spread_snapshots(snapshots.interval_snapshots(plays, INTERVALS, "Value"), INTERVALS, "Value"))
 
 
+def swing_plays(spark, sf_dir):
+    """The log with a whole-number statistic that rises and falls."""
+    swing = F.regexp_extract("props", r'"k":\s*(\d+)', 1).try_cast("int") - 50
+    return plays_from_events(table(spark, sf_dir, "events"), Swing=swing)
+
+
 @query
 def interval_snapshots_swing(spark, sf_dir):
-    """Snapshots of a whole-number statistic that rises and falls."""
-    swing = F.regexp_extract("props", r'"k":\s*(\d+)', 1).try_cast("int") - 50
-    plays = plan.prepare_plays(plays_from_events(table(spark, sf_dir, "events"), Swing=swing))
+    """The largest running totals of a statistic that may fall."""
+    plays = plan.prepare_plays(swing_plays(spark, sf_dir))
     wide = snapshots.interval_snapshots(plays, INTERVALS, "Swing", running=True)
     return _spread_snapshots(wide, INTERVALS, "Swing")
 
 
+@query
+def interval_snapshots_swing_at_cut(spark, sf_dir):
+    """Its running totals as they are at each cut."""
+    plays = plan.prepare_plays(swing_plays(spark, sf_dir))
+    wide = snapshots.interval_snapshots(plays, INTERVALS, "Swing", running=True, opponent_score="at_cut")
+    return _spread_snapshots(wide, INTERVALS, "Swing")
+
+
 @query
 def stack_intervals(spark, sf_dir):
     stacked = stack.stack_intervals(_snapshots(spark, sf_dir), INTERVALS)
@@ -418,6 +462,23 @@ def feature_build_corrected(spark, sf_dir):
     ))
 
 
+@query
+def feature_build_swing(spark, sf_dir):
+    """The whole build for a statistic that may fall: scores and form by its largest running totals."""
+    return rounded(plan.build_features(
+        swing_plays(spark, sf_dir), INTERVALS, statistic="Swing", date_format=DATE_FORMAT, running=True
+    ))
+
+
+@query
+def feature_build_swing_at_cut(spark, sf_dir):
+    """The same by its totals as they are at each cut, each side's own."""
+    return rounded(plan.build_features(
+        swing_plays(spark, sf_dir), INTERVALS, statistic="Swing", date_format=DATE_FORMAT, running=True,
+        opponent_score="at_cut", team_total="own",
+    ))
+
+
 @query
 def feature_roundtrip(spark, sf_dir):
     path = new_path(spark)
@@ -430,15 +491,63 @@ def training_rows(spark, sf_dir):
     return rounded(training(spark, sf_dir))
 
 
+def mixed_dates(spark, sf_dir):
+    """The log with dates written in four ways, and some games whose date no format reads."""
+    log = raw_plays(spark, sf_dir)
+    day = F.try_to_date("Date", DATE_FORMAT)
+    style = F.dayofyear(day) % 4
+    text = F.when(style == 0, F.date_format(day, "yyyy-MM-dd")).when(style == 1, F.date_format(day, "d MMM yyyy"))
+    text = text.when(style == 2, F.date_format(day, "d.M.yyyy")).otherwise(F.col("Date"))
+    lost = (F.substring("HomeTeam", 2, 1).cast("int") + F.dayofyear(day)) % 17 == 0
+    return log.withColumn("Date", F.when(lost, F.concat(F.lit("day "), F.dayofyear(day))).otherwise(text))
+
+
+@query
+def date_coverage(spark, sf_dir):
+    """What each of five formats reads of the plays' dates, and what none does."""
+    games = play_ops.key_dates(mixed_dates(spark, sf_dir)).groupBy(*GAME).agg(F.count("*").alias("Plays"))
+    return dates.date_coverage(games, FORMATS, weight="Plays")
+
+
+@query
+def date_quarantine(spark, sf_dir):
+    """Games that the build leaves out because no format reads their date, and their plays."""
+    aside = new_path(spark)
+    games = play_ops.key_dates(mixed_dates(spark, sf_dir)).groupBy(*GAME).agg(F.count("*").alias("Plays"))
+    dates.Dates(tuple(FORMATS), "quarantine", aside).settled(games)
+    return spark.read.parquet(aside)
+
+
+@query
+def feature_build_mixed_dates(spark, sf_dir):
+    """The build of that log: formats by coverage, games with unreadable dates left out."""
+    return rounded(plan.build_features(
+        mixed_dates(spark, sf_dir), INTERVALS, date_format=dates.Dates(tuple(FORMATS), "quarantine")
+    ))
+
+
+def sorted_features(spark, sf_dir):
+    """Path of the feature table, written in order in small files."""
+    path = new_path(spark)
+    sorted_table.write_sorted(feature_table(spark, sf_dir), path, file_rows=FILE_ROWS)
+    return path
+
+
 @query
 def player_game_lookup(spark, sf_dir):
-    """One player's game: that of the best final score, ties by player and game id."""
-    rows = materialize(feature_table(spark, sf_dir))
-    best = rows.orderBy(
+    """One player's game, that of the best final score (ties by player and game id), from the files that may hold it."""
+    path = sorted_features(spark, sf_dir)
+    best = sorted_table.read_sorted(spark, path, FEATURE_TABLE).orderBy(
         F.desc("CumulativePlayerPointsInterval"), F.desc("Interval"), "Player", "GameId"
     ).first()
-    found = rows.where((F.col("Player") == best.Player) & (F.col("GameId") == best.GameId))
-    return rounded(found)
+    return rounded(sorted_table.lookup(spark, path, FEATURE_TABLE, Player=best.Player, GameId=best.GameId))
+
+
+@query
+def sorted_sink(spark, sf_dir):
+    """Every row's place when the files of the sorted feature table are read in name order."""
+    path = sorted_features(spark, sf_dir)
+    return sorted_table.file_positions(spark, path, FEATURE_TABLE).select("Player", "GameId", "Interval", "position")
 
 
 # Valuation -----------------------------------------------------------------------------------
@@ -611,8 +720,33 @@ def fitted_q_converged(spark, sf_dir):
     rows = written_training(spark, sf_dir)
     scaled = scaling.standardize(rows, scaling.fit_scaling(rows))
     fit = fitted_q.fit_to_convergence(lspi.prepare_pairs(scaled, INTERVALS), seed=SEED)
-    state = [(len(fit.losses), fit.losses[0], fit.losses[-1], fit.converged)]
-    return spark.createDataFrame(state, "evaluations int, first_loss double, last_loss double, converged boolean")
+    state = [(len(fit.losses), fit.losses[0], fit.losses[-1], fit.converged, fit.stalled)]
+    return spark.createDataFrame(state, "evaluations int, first_loss double, last_loss double, converged boolean, stalled boolean")
+
+
+def stored_model(spark, sf_dir):
+    """A network trained to its end, written as a version of a model table and read from there; and the training rows."""
+    rows, path = written_training(spark, sf_dir), new_path(spark)
+    stats = scaling.fit_scaling(rows)
+    pairs_of = lspi.prepare_pairs(scaling.standardize(rows, stats), INTERVALS)
+    fit = fitted_q.fit_to_convergence(pairs_of, seed=SEED, progress=f"{path}/progress")
+    facts = {"evaluations": len(fit.losses), "loss": fit.losses[-1], "converged": fit.converged, "stalled": fit.stalled}
+    version = model_store.save_model(spark, f"{path}/models", fit.theta, stats, facts)
+    return model_store.load_model(spark, f"{path}/models", version), rows
+
+
+@query
+def network_score_converged(spark, sf_dir):
+    """Every training row scored by the stored network; no SQL counterpart, as above."""
+    model, rows = stored_model(spark, sf_dir)
+    return fitted_q.score_model(rows, model).select("Player", "GameId", "Interval", "res")
+
+
+@query
+def scenario_price_converged(spark, sf_dir):
+    """The hypothetical states priced by the stored network; no SQL counterpart, as above."""
+    model, _ = stored_model(spark, sf_dir)
+    return fitted_q.score_model(_scenarios(spark), model, "price").select("Scenario", "Interval", "price")
 
 
 @query
