@@ -4,9 +4,8 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from tests.llm.texts import ODD, SCHEMA, documents, empty
+from tests.llm.texts import ODD, SCHEMA, clashing, documents, empty
 from tipoff.limits import Limits
 from tipoff.llm import chosen_path as cp
 
@@ -65,8 +64,7 @@ def texts(seed, groups=8, copies=24):
 
 def checked(spark, rows, **options):
     frame = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
-    for name in ("digest", "size", "tokens", "nodes", "node", "id", "root", "a.b", "TEXTS", "lo"):
-        frame = frame.withColumn(name, F.lit("clash"))
+    frame = clashing(frame, ("digest", "size", "tokens", "nodes", "node", "id", "root", "a.b", "TEXT", "lo"))
     got = cp.near_duplicates(frame, **options).collect()
     want = slow_classes(rows, options.get("percent", 80))
     expected = sorted((i, *want[i, t], i == want[i, t][1]) for i, t in rows)

@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from tests.llm.texts import clashing
 from tipoff.limits import Limits
 from tipoff.llm import conversation_audit as ca
 
@@ -110,10 +111,7 @@ def chats(spark, extra=False):
     rows += [(4, 0, "user", "One."), (4, 1, "assistant", "Two."), (5, 7, "user", "x" * 300_000), (6, None, None, None)]
     rows += [(7, -(1 << 63), "user", "a."), (7, (1 << 63) - 1, "assistant", "b.")]
     frame = spark.createDataFrame(rows, SCHEMA)
-    if extra:
-        for name in ("conv", "present", "place", "block", "a.b", "CODE", "state", "letters", "copy"):
-            frame = frame.withColumn(name, F.lit("clash"))
-    return frame
+    return clashing(frame, ("conv", "present", "place", "block", "a.b", "TURN", "state", "letters", "copy")) if extra else frame
 
 
 def collected(df):

@@ -89,3 +89,15 @@ def test_whole_run(spark):
     assert {d: n / len(library.encode(text[d], add_special_tokens=False).ids + [1]) for d, n in covered.items()} == {
         d: float(n) for d, n in mixed.items()
     }
+
+
+def test_near_duplicate_stage_keeps_extra_columns(spark):
+    import corpus_pipeline
+    from tests.llm.test_clashes import named, same_extras
+    from tests.llm.texts import ODD, documents
+
+    docs = named(documents(spark, ODD))
+    found = corpus_pipeline.near_duplicates(spark, docs, "")
+    same_extras(found, docs.columns)
+    plain = corpus_pipeline.near_duplicates(spark, documents(spark, ODD), "")
+    assert sorted(r[0] for r in found.collect()) == sorted(r[0] for r in plain.collect())

@@ -63,3 +63,21 @@ def test_few_rows(spark):
     one = spark.createDataFrame([(0, [1.0], 1)], SCHEMA)
     assert exact_top_k(one, F.col("vec_id") % 5 == 0).count() == 0
     assert exact_top_k(one.limit(0), F.col("vec_id") % 5 == 0).count() == 0
+
+
+def test_large_components_are_exact_or_an_error(spark):
+    random = np.random.default_rng(8)
+    rows = [(i, (random.standard_normal(8) * 10.0 ** random.integers(0, 7)).astype("f4").tolist(), 0) for i in range(60)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = exact_top_k(frame, F.col("vec_id") % 5 == 0, k=5)
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute(rows, 5)
+    beyond = spark.createDataFrame([(0, [1e18, 1.0], 0), (1, [1e18, 2.0], 0), (2, [1.0, 1.0], 0)], SCHEMA)
+    with pytest.raises(Exception, match="does not fit a long"):
+        exact_top_k(beyond, F.col("vec_id") % 5 == 0).collect()
+
+
+def test_sums_at_the_edge_of_doubles():
+    from tipoff.llm.topk import scores
+
+    a, b = np.array([[2.0**31, 1.0, -3.0]]), np.array([[2.0**31, 1.0, 1.0]])
+    assert scores(a, b).tolist() == [2**62 - 2]

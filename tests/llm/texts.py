@@ -35,3 +35,10 @@ def documents(spark, texts=ODD, sources=("a", None, "b"), extra=False):
 
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+def clashing(frame, names):
+    """``frame`` with more columns of the given names, which may be its own but for their case."""
+    from pyspark.sql import functions as F
+
+    return frame.select("*", *[F.lit("clash").alias(f"extra{i}") for i in range(len(names))]).toDF(*frame.columns, *names)

@@ -2,11 +2,13 @@
 
 Every distinct text has a signature of minwise tokens. Independent trees start
 at bands of set sizes; a node picks a few places of the signature, and texts go
-down together where they have the same minwise token there. Nodes with few
-texts are compared exhaustively; larger ones are compared to one of their own,
-drawn by a hash, and branch again unless all their texts turn out linked. Pairs
-whose signatures agree well enough are confirmed on the full sets of shingles,
-and confirmed links are contracted to classes.
+down together where they have the same minwise token there. In every node all
+texts are first compared to one of them, drawn by a hash, which joins groups of
+copies without comparing all their pairs. A node whose texts are then not all
+of one class is compared exhaustively across classes if it has few texts, and
+branches again if it has many. Pairs whose signatures agree well enough are
+confirmed on the full sets of shingles, each once, and confirmed links are
+contracted to classes.
 """
 
 import zlib
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tipoff.limits import Limits
+from tipoff.llm.common import Positions
 from tipoff.llm.components import components
 from tipoff.operators.joins import join_dimension
 from tipoff.operators.ordered import small
@@ -31,7 +34,7 @@ TREES, FIRST = 4, 4  # independent trees, branches at their roots
 WIDE, SHARE = 2, 4  # below, two branches down to depth WIDE, then one and for every SHAREth node another: 1 / similarity keeps work least
 DEEP = 24  # nodes this deep are compared exhaustively whatever their size; only texts that are nearly equal get there together
 AGREE = 32  # places of two signatures that agree at least where sets are compared; a linked pair agrees in 51 on average
-LEAF = 64  # a node with no more texts is compared exhaustively
+LEAF = 1024  # a node with no more texts is compared exhaustively
 LEAST = 4  # smaller sets are linked only if they are equal
 CHUNK = 2048  # shingles hashed at a time
 
@@ -127,33 +130,36 @@ def _near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, agree: i
 
 
 def sketched(docs: DataFrame, *, id_col: str, text_col: str, percent: int, seed: int) -> DataFrame:
-    """id, digest (null without words), size of its set, signature and first nodes (null for a small set)."""
+    """id, digest (null without words), size of its set; signature, first nodes and text (null for a small set)."""
 
     def compute(batches):
         multipliers = _multipliers(seed)
         for batch in batches:
-            names, sizes, tokens, nodes = [], [], [], []
+            names, sizes, tokens, nodes, texts = [], [], [], [], []
             for text in batch.column(1):
-                found = words_of(text.as_py())
+                text = text.as_py()
+                found = words_of(text)
                 size, hashes = sketch(found)
                 least = None if hashes is None else signature(hashes, multipliers)
                 names.append(digest(found, size) if size else None)
                 sizes.append(size)
                 tokens.append(None if least is None else least.astype("<u2").tobytes())
                 nodes.append(None if least is None else first_nodes(least, size, percent))
+                texts.append(None if least is None else text)
             columns = [
                 batch.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary()),
-                pa.array(nodes, pa.list_(pa.int64())),
+                pa.array(nodes, pa.list_(pa.int64())), pa.array(texts, pa.string()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "size", "tokens", "nodes"])
+            yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "size", "tokens", "nodes", "text"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = Positions(docs)
+    rows = own.frame.select(own[id_col].alias("id"), own[text_col].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(compute, f"id {kind}, digest binary, size long, tokens binary, nodes array<long>")
+    return rows.mapInArrow(compute, f"id {kind}, digest binary, size long, tokens binary, nodes array<long>, text string")
 
 
-def _compared(members: DataFrame, agree: int, percent: int) -> DataFrame:
-    """Pairs lo, hi of texts in one small node (node, digest, size, tokens) whose signatures agree."""
+def _compared(members: DataFrame, agree: int, percent: int, leaf: int) -> DataFrame:
+    """Pairs of texts of unlike root in one small node (node, digest, size, tokens, root) whose signatures agree."""
 
     def compare(batches):
         """Rows come sorted by node; a row meets the next ones of its node, all nodes of a batch at once."""
@@ -161,47 +167,45 @@ def _compared(members: DataFrame, agree: int, percent: int) -> DataFrame:
         for batch in chain(batches, [None]):
             if batch is not None and batch.num_rows:
                 held = batch if held is None else pa.concat_batches([held, batch])
-            if held is None or not held.num_rows:
+            if held is None or not held.num_rows or batch is not None and held.num_rows < 2 * leaf:
                 continue
             nodes = held.column(0).to_numpy()
             stop = len(nodes) if batch is None else int(np.searchsorted(nodes, nodes[-1]))  # the last node may go on
-            if batch is not None and held.num_rows < 2 * LEAF:
-                continue
             names, sizes, tokens = held.column(1), held.column(2).to_numpy()[:stop], _array(held.column(3))[:stop]
-            lo, hi = [], []
+            roots = held.column(4).dictionary_encode().indices.to_numpy()
+            lo, hi = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for step in range(1, stop):
                 left = np.flatnonzero(nodes[:stop - step] == nodes[step:stop])
                 if not len(left):
                     break
+                left = left[roots[left] != roots[left + step]]
                 near = left[_near(tokens[left], tokens[left + step], sizes[left], sizes[left + step], agree, percent)]
                 lo.append(near)
                 hi.append(near + step)
-            if lo:
-                a, b = names.take(pa.array(np.concatenate(lo))), names.take(pa.array(np.concatenate(hi)))
-                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+            a, b = names.take(pa.array(np.concatenate(lo))), names.take(pa.array(np.concatenate(hi)))
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
             held = held.slice(stop)
 
-    pairs = members.select("node", "digest", "size", "tokens").repartition("node").sortWithinPartitions("node").mapInArrow(
-        compare, "a binary, b binary"
-    )
-    return pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo != hi")
+    own = members.select("node", "digest", "size", "tokens", "root").repartition("node").sortWithinPartitions("node")
+    return _ordered(own.mapInArrow(compare, "a binary, b binary"), "a", "b")
 
 
 def _to_pivots(members: DataFrame, agree: int, percent: int) -> DataFrame:
-    """Pairs of a text and its large node's pivot (digest, size, tokens, pivot, pivot_size, pivot_tokens) that agree."""
+    """Pairs of a text and its node's pivot (digest, size, tokens, pivot, pivot_size, pivot_tokens) that agree."""
 
     def compare(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            near = _near(
-                _array(batch.column(2)), _array(batch.column(5)), batch.column(1).to_numpy(), batch.column(4).to_numpy(), agree, percent
-            )
-            yield batch.select(["digest", "pivot"]).filter(pa.array(near))
+            if batch.num_rows:
+                a, b = _array(batch.column(2)), _array(batch.column(5))
+                near = _near(a, b, batch.column(1).to_numpy(), batch.column(4).to_numpy(), agree, percent)
+                yield batch.select(["digest", "pivot"]).filter(pa.array(near))
 
     own = members.where("digest != pivot").select("digest", "size", "tokens", "pivot", "pivot_size", "pivot_tokens")
-    pairs = own.mapInArrow(compare, "digest binary, pivot binary")
-    return pairs.select(F.least("digest", "pivot").alias("lo"), F.greatest("digest", "pivot").alias("hi"))
+    return _ordered(own.mapInArrow(compare, "digest binary, pivot binary"), "digest", "pivot")
+
+
+def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct()
 
 
 def _below(members: DataFrame, depth: int) -> DataFrame:
@@ -216,17 +220,11 @@ def _below(members: DataFrame, depth: int) -> DataFrame:
     return members.select("node", "digest", "tokens").mapInArrow(branch, "node long, digest binary")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, *, text_col: str, percent: int, limits: Limits) -> DataFrame:
-    """Those of the pairs lo, hi whose full sets of shingles are similar enough."""
-
-    def name(batches):
-        for batch in batches:
-            found = [words_of(t.as_py()) for t in batch.column(0)]
-            names = [digest(f, len(shingles(f)) if len(f) < 64 else sketch(f)[0]) if f else None for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), batch.column(0)], ["digest", "text"])
+def confirmed(texts: DataFrame, pairs: DataFrame, *, percent: int, limits: Limits) -> DataFrame:
+    """Those of the pairs lo, hi whose full sets of shingles are similar enough; ``texts``: written rows of digest, text."""
 
     def check(batches):
-        known = [None, None]  # a text that many pairs share is cut into shingles once in a row
+        known = [None, None]  # a text that pairs in a row share is cut into shingles once
         for batch in batches:
             linked = []
             for a, b in zip(batch.column(2), batch.column(3)):
@@ -239,90 +237,99 @@ def confirmed(docs: DataFrame, pairs: DataFrame, *, text_col: str, percent: int,
             yield batch.select(["lo", "hi"]).filter(pa.array(linked, pa.bool_()))
 
     wanted, n = materialize_counted(pairs.select(F.explode(F.array("lo", "hi")).alias("digest")).distinct())
-    named = docs.select(F.col(text_col).alias("text")).mapInArrow(name, "digest binary, text string")
-    texts = materialize(named.join(small(wanted, n, limits), "digest", "left_semi").groupBy("digest").agg(F.any_value("text").alias("text")))
-    left = texts.withColumnsRenamed({"digest": "lo", "text": "a"})
-    right = texts.withColumnsRenamed({"digest": "hi", "text": "b"})
-    # The larger name has few pairs in a star around a pivot or the other way round; adaptive joins split what is left of skew.
+    named = texts.select("digest", "text").join(small(wanted, n, limits), "digest", "left_semi")
+    named = materialize(named.groupBy("digest").agg(F.any_value("text").alias("text")))
+    left, right = (named.withColumnsRenamed({"digest": end, "text": name}) for end, name in (("lo", "a"), ("hi", "b")))
+    # Adaptive joins split a text that very many pairs share.
     both = pairs.join(left, "lo").join(right, "hi").select("lo", "hi", "a", "b")
     return both.mapInArrow(check, "lo binary, hi binary")
 
 
-def _across(pairs: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """Pairs whose texts are not known to be in one class."""
-    if classes is None:
-        return pairs
-    own = lambda name: classes.withColumnsRenamed({"node": name, "root": f"{name}_root"})
-    found = pairs.join(own("lo"), "lo", "left").join(own("hi"), "hi", "left")
-    return found.where(F.coalesce("lo_root", "lo") != F.coalesce("hi_root", "hi")).select("lo", "hi")
+class Classes:
+    """What is known of the links between texts: the classes (node, root) so far, pairs that were checked, and pairs put off."""
+
+    def __init__(self, texts: DataFrame, percent: int, limits: Limits):
+        self.texts, self.percent, self.limits = texts, percent, limits
+        self.found = self.checked = self.put_off = None
+
+    def rooted(self, rows: DataFrame, name: str = "digest", root: str = "root") -> DataFrame:
+        """``rows`` with the class of a column."""
+        if self.found is None:
+            return rows.withColumn(root, F.col(name))
+        known = self.found.withColumnsRenamed({"node": name, "root": "reached"})
+        return rows.join(known, name, "left").withColumn(root, F.coalesce("reached", name)).drop("reached")
+
+    def learn(self, pairs: DataFrame | None, every: bool = False) -> None:
+        """Check pairs that may join classes, and join them: ``every`` such pair, or at first the smallest partners of each text.
+
+        The smallest partners make a star of most groups of copies; other pairs
+        are put off, and checked later if they still lie across classes.
+        """
+        if self.put_off is not None:
+            pairs = self.put_off if pairs is None else pairs.union(self.put_off).distinct()
+        if pairs is None:
+            return
+        if self.found is not None:
+            pairs = self.rooted(self.rooted(pairs, "lo", "x"), "hi", "y").where("x != y").select("lo", "hi")
+        if self.checked is not None:
+            pairs = pairs.join(self.checked, ["lo", "hi"], "left_anti")
+        pairs, n = materialize_counted(pairs)
+        self.put_off = None
+        if not n:
+            return
+        if not every:
+            best = lambda key, other: pairs.groupBy(key).agg(F.min(other).alias(other)).select("lo", "hi")
+            chosen, some = materialize_counted(best("lo", "hi").union(best("hi", "lo")).distinct())
+            self.put_off = pairs.join(chosen, ["lo", "hi"], "left_anti") if some < n else None
+            pairs = chosen
+        links, n = materialize_counted(confirmed(self.texts, pairs, percent=self.percent, limits=self.limits))
+        self.checked = pairs if self.checked is None else self.checked.union(pairs)
+        if not n:
+            return
+        if self.found is not None:
+            links = links.union(self.found.where("node != root").select(F.col("root").alias("lo"), F.col("node").alias("hi")))
+        self.found = components(links, "lo", "hi", limits=self.limits)
 
 
 def links(
-    docs: DataFrame, sets: DataFrame, *, text_col: str = "text", percent: int = 80, limits: Limits = LIMITS,
-    leaf: int = LEAF, agree: int = AGREE,
+    sets: DataFrame, texts: DataFrame, *, percent: int = 80, limits: Limits = LIMITS, leaf: int = LEAF, agree: int = AGREE,
 ) -> tuple[DataFrame | None, list[int]]:
-    """Classes (node, root) of linked texts, or None; and how many texts were in nodes of each depth.
+    """Classes (node, root) of linked texts, or None; and how many rows nodes of each depth had.
 
     ``sets``: written digest, size, tokens, nodes of distinct texts.
     """
     known = sets.select("digest", "size", "tokens")
-    members, classes, sizes = sets.select("digest", F.explode("nodes").alias("node")), None, []
+    named = known.withColumnsRenamed({"digest": "pivot", "size": "pivot_size", "tokens": "pivot_tokens"})
+    members, classes, held = sets.select("digest", F.explode("nodes").alias("node")), Classes(texts, percent, limits), []
     while True:
         nodes, n = materialize_counted(members.groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1"))
         if not n:
-            return classes, sizes
-        shared = nodes.withColumn("texts", F.col("rows"))
-        placed, held = materialize_counted(
-            join_dimension(members, shared, ["node"], rows="rows", spread="digest", limits=limits, row_bound=n)
+            break
+        placed, some = materialize_counted(
+            join_dimension(members, nodes.withColumn("texts", F.col("rows")), ["node"], rows="rows", spread="digest", limits=limits, row_bound=n)
         )
-        sizes.append(held)
-        leaf = leaf if len(sizes) < DEEP else held
-        pairs = _compared(placed.where(F.col("texts") <= leaf).join(known, "digest"), agree, percent)
-        large = placed.where(F.col("texts") > leaf)
-        pivots = large.groupBy("node").agg(
-            F.min(F.struct(F.xxhash64("node", "digest").alias("order"), "digest"))["digest"].alias("pivot"), F.count("*").alias("rows")
+        held.append(some)
+        order = F.struct(F.xxhash64("node", "digest").alias("order"), "digest")
+        pivots = materialize(
+            placed.groupBy("node").agg(F.min(order)["digest"].alias("pivot"), F.count("*").alias("rows")).join(named, "pivot")
         )
-        named = known.withColumnsRenamed({"digest": "pivot", "size": "pivot_size", "tokens": "pivot_tokens"})
-        pivots, many = materialize_counted(pivots.join(named, "pivot"))
-        if many:
-            around = join_dimension(large, pivots, ["node"], rows="rows", spread="digest", limits=limits, row_bound=many)
-            pairs = pairs.union(_to_pivots(around.join(known, "digest"), agree, percent))
-        found, n = materialize_counted(_across(pairs.distinct(), classes))
+        around = join_dimension(placed, pivots, ["node"], rows="rows", spread="digest", limits=limits, row_bound=n)
+        classes.learn(_to_pivots(around.join(known, "digest"), agree, percent))
+        rooted = classes.rooted(placed)
+        mixed = rooted.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("rows"))
+        mixed, n = materialize_counted(mixed.where("least != most").select("node", "rows"))
         if n:
-            classes = _linked(docs, found, classes, text_col, percent, limits)
-        if not many:
-            return classes, sizes
-        open_nodes = large.select("node", "digest")
-        if classes is not None:
-            own = open_nodes.join(classes.withColumnsRenamed({"node": "digest"}), "digest", "left").withColumn(
-                "root", F.coalesce("root", "digest")
-            )
-            mixed = own.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("rows"))
-            mixed, n = materialize_counted(mixed.where("least != most").select("node", "rows"))
-            if not n:
-                return classes, sizes
-            open_nodes = join_dimension(open_nodes, mixed, ["node"], rows="rows", spread="digest", limits=limits, row_bound=n)
-        following = materialize(_below(open_nodes.join(known, "digest"), len(sizes)))
-        for done in (placed, nodes):
+            rooted = join_dimension(rooted, mixed, ["node"], rows="rows", spread="digest", limits=limits, row_bound=n)
+            least = leaf if len(held) < DEEP else some
+            classes.learn(_compared(rooted.where(F.col("texts") <= least).join(known, "digest"), agree, percent, leaf))
+            large = rooted.where(F.col("texts") > least).select("node", "digest")
+            members, n = materialize_counted(_below(large.join(known, "digest"), len(held)))
+        for done in (placed, nodes, pivots):
             discard(done)
-        members = following
-
-
-def _linked(docs, pairs, classes, text_col, percent, limits):
-    """Classes after confirming ``pairs``: first the smallest partner of every text, then what still lies across classes."""
-    best = lambda key, other: pairs.groupBy(key).agg(F.min(other).alias(other)).select("lo", "hi")
-    chosen = materialize(best("lo", "hi").union(best("hi", "lo")).distinct())
-    for n, some in enumerate((chosen, None)):
-        if n:
-            rest, left = materialize_counted(_across(pairs, classes).join(chosen, ["lo", "hi"], "left_anti"))
-            if not left:
-                break
-            some = rest
-        edges = confirmed(docs, some, text_col=text_col, percent=percent, limits=limits)
-        if classes is not None:
-            edges = edges.union(classes.where("node != root").select(F.col("root").alias("lo"), F.col("node").alias("hi")))
-        classes = components(edges, "lo", "hi", limits=limits)
-    return classes
+        if not n:
+            break
+    classes.learn(None, every=True)
+    return classes.found, held
 
 
 def near_duplicates(
@@ -347,9 +354,9 @@ def near_duplicates(
     is found is confirmed. Jobs run when this is called.
     """
     rows = materialize(sketched(docs, id_col=id_col, text_col=text_col, percent=percent, seed=seed))
-    first = [F.any_value(c).alias(c) for c in ("size", "tokens", "nodes")]
-    sets = materialize(rows.where("nodes IS NOT NULL").groupBy("digest").agg(*first))
-    classes, _ = links(docs, sets, text_col=text_col, percent=percent, limits=limits, leaf=leaf, agree=agree)
+    large = rows.where("nodes IS NOT NULL")
+    sets = materialize(large.groupBy("digest").agg(*[F.any_value(c).alias(c) for c in ("size", "tokens", "nodes")]))
+    classes, _ = links(sets, large, percent=percent, limits=limits, leaf=leaf, agree=agree)
     texts = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     texts = texts.withColumn("root", F.col("digest"))
     if classes is not None:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tipoff.llm.common import Positions
 from tipoff.session import discard, materialize
 
 HEAD = 1 << 16  # units of each length that have a rank
@@ -256,7 +257,8 @@ def collocations(
     tables are written, when this is called.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(lang_col, F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    own = Positions(docs)
+    texts = own.frame.select(F.coalesce(own[lang_col], F.lit("und")).alias("lang"), own[text_col].alias("text")).where("text IS NOT NULL")
     words, salt = _named_words(texts, mask, at_least)
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     frequent = words.where(F.col("n") >= at_least)
@@ -290,7 +292,7 @@ def _scored(known: DataFrame, totals: DataFrame, first: int) -> DataFrame:
         part(F.lit(1), F.col("words") - 1, "x"), part(F.lit(2), F.col("words") - 1, "x")
     )).alias("phrase"), F.col("n").alias("longer")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     wide = lambda c: F.col(c).cast("decimal(19,0)")
-    score = F.expr("(cast(a as decimal(18,0)) * cast(total as decimal(16,0)) * cast(1000 as decimal(4,0))) div (l * r)")
+    score = F.expr("(cast(a as decimal(18,0)) * cast(total as decimal(18,0)) * cast(1000 as decimal(4,0))) div (l * r)")
     scored = (
         cuts.join(own("head", "l"), ["lang", "head"]).join(own("tail", "r"), ["lang", "tail"]).join(totals, "lang")
         .withColumns({"l": wide("l"), "r": wide("r")}).withColumn("score", score)

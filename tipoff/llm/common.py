@@ -24,3 +24,23 @@ def let(value: Column, body) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents whose labels are never learned from."""
     return F.crc32(doc_id.cast("string")) % HELD_OUT_FOLDS == 0
+
+
+class Positions:
+    """A table under plain names c0, c1, …, whatever its own are: reserved, dotted, or alike but for their case.
+
+    Internal columns then clash with none; :meth:`restored` gives the names back.
+    """
+
+    def __init__(self, docs: DataFrame):
+        self.names = docs.columns
+        self.own = [f"c{i}" for i in range(len(self.names))]
+        self.frame = docs.toDF(*self.own)
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(self.own[self.names.index(name)])
+
+    def restored(self, rows: DataFrame, **replaced: Column) -> DataFrame:
+        """The original columns of ``rows`` (some replaced by a column of it), under their own names."""
+        places = {self.own[self.names.index(name)]: value for name, value in replaced.items()}
+        return rows.select(*[places.get(c, F.col(c)).alias(c) for c in self.own]).toDF(*self.names)

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tipoff.limits import Limits
+from tipoff.llm.common import Positions
 from tipoff.operators.ordered import hot_groups, row_rank, same
 from tipoff.session import materialize
 
@@ -248,10 +249,10 @@ def audit_conversations(
     distributed sort and audited in blocks; only its hash, which no two tasks
     can share, reads its text in one task, row by row.
     """
-    own = rows.select(
-        F.col(conv_id).alias("conv"), (F.lit(True) if present is None else F.coalesce(present, F.lit(False))).alias("present"),
-        F.col(turn).cast("long").alias("turn"), F.coalesce(role, F.lit(" ")).alias("role"),
-        F.coalesce(text, F.lit(" ")).alias("text"),
+    given = Positions(rows.select("*", (F.lit(True) if present is None else F.coalesce(present, F.lit(False))).alias("present")))
+    own = given.frame.select(
+        given[conv_id].alias("conv"), F.col(given.own[-1]).alias("present"), given[turn].cast("long").alias("turn"),
+        F.coalesce(given[role], F.lit(" ")).alias("role"), F.coalesce(given[text], F.lit(" ")).alias("text"),
     )
     order = [F.asc_nulls_first("turn"), F.col("role"), F.col("text")]
     hot = hot_groups(own, ["conv"], limits)
@@ -444,11 +445,12 @@ def _in_blocks(rows: DataFrame, order: list, kind: str, limits: Limits, block: i
 
 def damaged(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn") -> DataFrame:
     """Conversations with known faults, chosen by a checksum of id and turn; ``present`` is false for a dropped row."""
-    blank = F.lit(" ")
-    key = F.concat(F.coalesce(F.col(conv_id).cast("string"), blank), F.lit(":"), F.coalesce(F.col(turn).cast("string"), blank))
-    harm, text = F.crc32(key) % 20, F.coalesce("text", blank)
-    return rows.select(
-        conv_id, turn, F.when(harm == 4, "user").otherwise(F.coalesce("role", blank)).alias("role"),
+    own, blank = Positions(rows), F.lit(" ")
+    conv, at = own[conv_id], own[turn]
+    key = F.concat(F.coalesce(conv.cast("string"), blank), F.lit(":"), F.coalesce(at.cast("string"), blank))
+    harm, text = F.crc32(key) % 20, F.coalesce(own["text"], blank)
+    return own.frame.select(
+        conv.alias(conv_id), at.alias(turn), F.when(harm == 4, "user").otherwise(F.coalesce(own["role"], blank)).alias("role"),
         F.when(harm == 1, "").when(harm == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
         (harm != 0).alias("present"),
         F.explode(F.when(harm == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tipoff.limits import Limits
+from tipoff.llm.common import Positions
 from tipoff.llm.site_lines import DROPPED, LIMITS, mark_shared, with_page
 
 MAX_RATIO = 0.01
@@ -36,22 +37,21 @@ def drop_boilerplate(
     is a site of its own. ``counts`` names two columns to add: lines that are
     not blank, and those dropped.
     """
-    original = docs.columns
-    rows = with_page(docs.withColumn(TEXT, F.col(text_col)), F.col(site_col), F.col(text_col))
+    own = Positions(docs)
+    source = own[text_col]
+    rows = with_page(own.frame.withColumn(TEXT, source), own[site_col], source)
     distinct = F.array_distinct(F.transform(F.filter(_lines(F.col(TEXT)), _filled), _hash))
     over = lambda n, pages: (n >= min_pages) & (n > max_ratio * pages)
-    joined = mark_shared(rows.withColumn(ROW, F.xxhash64(id_col)), distinct, over, ROW, limits)
+    joined = mark_shared(rows.withColumn(ROW, F.xxhash64(own[id_col])), distinct, over, ROW, limits)
     gone = lambda line: _filled(line) & F.array_contains(DROPPED, _hash(line))
     kept = F.array_join(F.filter(_lines(F.col(TEXT)), lambda line: ~gone(line)), "\n")
     text = F.when(F.col(DROPPED).isNull() | F.col(TEXT).isNull(), F.col(TEXT)).otherwise(kept)
-    out = [text.alias(c) if c == text_col else F.col(c) for c in original]
-    if counts:
-        n_dropped = F.when(F.col(DROPPED).isNull(), 0).otherwise(F.size(F.filter(_lines(F.col(TEXT)), gone)))
-        out += [
-            F.size(F.filter(_lines(F.col(TEXT)), _filled)).cast("long").alias(counts[0]),
-            n_dropped.cast("long").alias(counts[1]),
-        ]
-    return joined.select(*out)
+    out = [text.alias(c) if name == text_col else F.col(c) for name, c in zip(own.names, own.own)]
+    if not counts:
+        return joined.select(*out).toDF(*own.names)
+    n_dropped = F.when(F.col(DROPPED).isNull(), 0).otherwise(F.size(F.filter(_lines(F.col(TEXT)), gone)))
+    out += [F.size(F.filter(_lines(F.col(TEXT)), _filled)).cast("long"), n_dropped.cast("long")]
+    return joined.select(*out).toDF(*own.names, *counts)
 
 
 ORACLE = rf"""

@@ -10,7 +10,7 @@ by Newton steps whose sums Spark aggregates; rates are then rounded into copies.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tipoff.limits import Limits
-from tipoff.llm.common import SPACE, let
+from tipoff.llm.common import SPACE, Positions, let
 from tipoff.operators.joins import join_dimension
 from tipoff.operators.ordered import row_rank, running_sums, with_position
 from tipoff.session import discard, materialize
@@ -177,11 +177,11 @@ def mix(
 
 def mixed_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", limits: Limits = LIMITS, **options) -> DataFrame:
     """``docs`` with every row as often as the mix takes it (0 to ``cap`` times); all columns stay."""
-    found = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, limits=limits, **options)
-    keys = {"__id": F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "__src": source_key(F.col(source_col)), "__size": word_count(F.col(text_col))}
-    taken = found.select(
-        F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("__id"), F.col("src").alias("__src"), F.col("size").alias("__size"),
-        F.col("copies").alias("__copies"), F.col("rows").alias("__rows"),
-    ).where(F.col("__copies") > 0)
-    joined = join_dimension(docs.withColumns(keys), taken, [*keys], rows="__rows", spread="__id", limits=limits)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    own = Positions(docs)
+    asked = own.frame.select(own[id_col].alias("id"), own[text_col].alias("text"), own[source_col].alias("source"))
+    found = mix(asked, id_col="id", text_col="text", source_col="source", limits=limits, **options)
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    keys = {"id": name(own[id_col]), "src": source_key(own[source_col]), "size": word_count(own[text_col])}
+    taken = found.select(name(F.col("id")).alias("id"), "src", "size", "copies", "rows").where(F.col("copies") > 0)
+    joined = join_dimension(own.frame.withColumns(keys), taken, [*keys], rows="rows", spread="id", limits=limits)
+    return own.restored(joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))

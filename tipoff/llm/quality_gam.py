@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tipoff.llm.common import held_out
+from tipoff.llm.common import Positions, held_out
 from tipoff.llm.labelled import SAMPLE, predicted, sigmoid, training_labels
 from tipoff.session import materialize
 
@@ -258,15 +258,15 @@ def keep_good(
     text_col: str = "text",
 ) -> DataFrame:
     """``docs`` without the rows that the model rejects; the texts are not shuffled."""
-    table = measured(docs, id_col, text_col)
+    own = Positions(docs)
+    table = measured(own.frame.select(own[id_col].alias("id"), own[text_col].alias("text")), "id", "text")
     model = learned(table, labels, "quality", sample)
-    text, names = "__text", docs.columns
 
     def keep(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
+            texts = batch.column(batch.num_columns - 1)
             rows = np.array([features(t.as_py() or "") for t in texts], dtype=np.float32).astype(np.float64)
             good = model.score(rows.reshape(-1, len(FEATURES))) >= threshold
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:-1]], batch.schema.names[:-1])
 
-    return docs.withColumn(text, F.col(text_col)).mapInArrow(keep, docs.schema).select(*names)
+    return own.restored(own.frame.select("*", own[text_col].alias("text")).mapInArrow(keep, own.frame.schema))

@@ -13,6 +13,7 @@ SCALE = 256
 LEVELS = (1, 4, 16)  # segments per vector
 BLOCK = 4096  # queries broadcast at a time
 ROWS = 512  # candidates compared at a time
+EXACT = 1 << 53  # below it, sums of whole numbers in doubles are exact
 RESULT = "query_id long, rank int, vec_id long, score long"
 
 
@@ -24,7 +25,23 @@ def usable(vector: Column) -> Column:
 
 
 def whole(vector: Column, scale: int = SCALE) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
+    """floor(scale * x) as doubles; a large double is whole already and need not fit a long."""
+    def down(x):
+        scaled = x.cast("double") * scale
+        return F.when(F.abs(scaled) >= float(EXACT), scaled).otherwise(F.floor(scaled).cast("double"))
+
+    return F.transform(vector, down)
+
+
+def scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of two matrices of whole numbers, exact; an error where one does not fit a long."""
+    largest = np.abs(left).max(initial=0.0) * np.abs(right).max(initial=0.0) * max(1, left.shape[1])
+    if largest < EXACT:
+        return np.einsum("ij,ij->i", left, right).astype(np.int64)
+    found = [sum(int(a) * int(b) for a, b in zip(x, y)) for x, y in zip(left.tolist(), right.tolist())]
+    if any(abs(s) >= 1 << 63 for s in found):
+        raise OverflowError("an inner product does not fit a long")
+    return np.array(found, dtype=np.int64)
 
 
 def matrix(column, width: int) -> np.ndarray:
@@ -84,7 +101,7 @@ class Search:
         other = self.ids[q] != ids[c]
         q, c = q[other], c[other]
         self.compared += len(q)
-        score = np.einsum("ij,ij->i", self.vectors[q], vectors[c]).astype(np.int64)
+        score = scores(self.vectors[q], vectors[c])
         good = score >= self.least[q]
         found = np.stack([q[good], score[good], ids[c[good]]], axis=1)
         rows = np.concatenate([self.best, found])
@@ -106,8 +123,8 @@ def exact_top_k(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` highest inner products of every query row.
 
-    Components are floor(scale * x), so scores are whole numbers and exact;
-    ties go to the smaller id. Candidates are all rows but those with the
+    Components are floor(scale * x), so scores are whole numbers and exact,
+    whatever their size (one beyond a long is an error); ties go to the smaller id. Candidates are all rows but those with the
     query's own id. Null vectors, vectors with a null or non-finite component
     and rows without an id take no part. Repeated rows of an id count once, by
     their best score; of repeated query rows the largest vector asks. Of two
