@@ -5,17 +5,15 @@ as Parquet and read again as the next one's docs. All but the last return the
 columns of documents.
 """
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from tipoff.limits import Limits
 from tipoff.llm import line_dedup, mixing, packing, quality_gam, simhash
-from tipoff.llm.common import table
+from tipoff.llm.common import Positions, table
 from tipoff.llm.queries import MAX_BITS, SEQUENCE, SHINGLE, VOCABULARY
 from tipoff.operators.joins import join_dimension
-from tipoff.session import materialize, shared_folder
+from tipoff.session import materialize, new_path
 
 # Ids of up to this many documents are broadcast (a counted number); beyond, texts are shuffled to them.
 LIMITS = Limits(group_rows=200_000, block_rows=100_000, broadcast_rows=500_000, match_rows=200_000)
@@ -39,21 +37,24 @@ def near_duplicates(spark, docs, sf_dir):
 
     A document without an id goes by a negative number made from its text.
     """
-    mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    marked = docs.withColumns({"__mark": mark, "__id": F.coalesce("doc_id", -1 - F.shiftrightunsigned(mark, 1))})
+    own = Positions(docs)
+    mark = F.xxhash64(F.coalesce(own["text"], F.lit("")))
+    marked = own.frame.withColumns({"mark": mark, "text": own["text"]}).withColumn(
+        "id", F.coalesce(own["doc_id"], -1 - F.shiftrightunsigned("mark", 1))
+    )
     found = simhash.near_duplicates(
-        marked, shingle=SHINGLE, max_bits=MAX_BITS, id_col="__id", keep=("__mark",), limits=LIMITS
+        marked, shingle=SHINGLE, max_bits=MAX_BITS, id_col="id", keep=("mark",), limits=LIMITS
     )
     first = found.groupBy("component_id").agg(
-        F.min(F.struct(F.col("__id") != F.col("component_id"), "__id", "__mark")).alias("first")
+        F.min(F.struct(F.col("id") != F.col("component_id"), "id", "mark")).alias("first")
     )
-    first = first.select(F.col("first.__id").alias("__id"), F.col("first.__mark").alias("__mark"))
-    kept = materialize(first.withColumn("__rows", F.lit(1)))
-    repeated = marked.groupBy("__id", "__mark").agg(F.count("*").alias("n")).where("n > 1")
-    chosen = join_dimension(marked, kept, ["__id", "__mark"], rows="__rows", spread="__id", limits=LIMITS)
-    if repeated.isEmpty():
-        return chosen.select(*docs.columns)
-    return chosen.dropDuplicates(["__id", "__mark"]).select(*docs.columns)
+    first = first.select(F.col("first.id").alias("id"), F.col("first.mark").alias("mark"))
+    kept = materialize(first.withColumn("rows", F.lit(1)))
+    repeated = marked.groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1")
+    chosen = join_dimension(marked, kept, ["id", "mark"], rows="rows", spread="id", limits=LIMITS)
+    if not repeated.isEmpty():
+        chosen = chosen.dropDuplicates(["id", "mark"])
+    return own.restored(chosen)
 
 
 def mixture(spark, docs, sf_dir):
@@ -79,7 +80,7 @@ def run(spark, sf_dir):
     """The rows of the last stage over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        path = f"{shared_folder(spark)}/tipoff/{uuid.uuid4().hex}"
+        path = new_path(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.schema(docs.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
