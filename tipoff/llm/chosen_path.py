@@ -33,7 +33,7 @@ PLACES = 64  # minwise tokens of a signature
 TREES, FIRST = 4, 4  # independent trees, branches at their roots
 WIDE, SHARE = 2, 4  # below, two branches down to depth WIDE, then one and for every SHAREth node another: 1 / similarity keeps work least
 DEEP = 24  # nodes this deep are compared exhaustively whatever their size; only texts that are nearly equal get there together
-AGREE = 32  # places of two signatures that agree at least where sets are compared; a linked pair agrees in 51 on average
+AGREE = 38  # places of two signatures that agree at least where sets are compared; a linked pair agrees in 51 on average, or more
 LEAF = 1024  # a node with no more texts is compared exhaustively
 LEAST = 4  # smaller sets are linked only if they are equal
 CHUNK = 2048  # shingles hashed at a time
@@ -124,9 +124,10 @@ def _array(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, PLACES)
 
 
-def _near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, agree: int, percent: int) -> np.ndarray:
+def _agreeing(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """In how many places signatures agree, row by row; 0 where the sizes of the sets rule a link out."""
     fits = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-    return fits & ((a == b).sum(axis=1) >= agree)
+    return np.where(fits, (a == b).sum(axis=1), 0)
 
 
 def sketched(docs: DataFrame, *, id_col: str, text_col: str, percent: int, seed: int) -> DataFrame:
@@ -158,8 +159,12 @@ def sketched(docs: DataFrame, *, id_col: str, text_col: str, percent: int, seed:
     return rows.mapInArrow(compute, f"id {kind}, digest binary, size long, tokens binary, nodes array<long>, text string")
 
 
-def _compared(members: DataFrame, agree: int, percent: int, leaf: int) -> DataFrame:
-    """Pairs of texts of unlike root in one small node (node, digest, size, tokens, root) whose signatures agree."""
+def _compared(members: DataFrame, agree: int, percent: int, leaf: int, every: bool) -> DataFrame:
+    """Pairs of texts of unlike root in one small node (node, digest, size, tokens, root) whose signatures agree.
+
+    All are compared; ``every`` such pair comes out, or for each text the pairs
+    with the best earlier and the best later one.
+    """
 
     def compare(batches):
         """Rows come sorted by node; a row meets the next ones of its node, all nodes of a batch at once."""
@@ -174,14 +179,26 @@ def _compared(members: DataFrame, agree: int, percent: int, leaf: int) -> DataFr
             names, sizes, tokens = held.column(1), held.column(2).to_numpy()[:stop], _array(held.column(3))[:stop]
             roots = held.column(4).dictionary_encode().indices.to_numpy()
             lo, hi = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            best = np.full((2, stop), -1, dtype=np.int64)  # agreement and distance of the best later and the best earlier text
             for step in range(1, stop):
                 left = np.flatnonzero(nodes[:stop - step] == nodes[step:stop])
                 if not len(left):
                     break
                 left = left[roots[left] != roots[left + step]]
-                near = left[_near(tokens[left], tokens[left + step], sizes[left], sizes[left + step], agree, percent)]
-                lo.append(near)
-                hi.append(near + step)
+                equal = _agreeing(tokens[left], tokens[left + step], sizes[left], sizes[left + step], percent)
+                near, equal = left[equal >= agree], equal[equal >= agree]
+                if every:
+                    lo.append(near)
+                    hi.append(near + step)
+                else:
+                    mark = (equal << 32) + step
+                    best[0, near] = np.maximum(best[0, near], mark)
+                    best[1, near + step] = np.maximum(best[1, near + step], mark)
+            for (one, other), marks in zip(((lo, hi), (hi, lo)), best):
+                found = np.flatnonzero(marks >= 0)
+                step = marks[found] & 0xFFFFFFFF
+                one.append(found)
+                other.append(found + step if one is lo else found - step)
             a, b = names.take(pa.array(np.concatenate(lo))), names.take(pa.array(np.concatenate(hi)))
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
             held = held.slice(stop)
@@ -197,8 +214,8 @@ def _to_pivots(members: DataFrame, agree: int, percent: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 a, b = _array(batch.column(2)), _array(batch.column(5))
-                near = _near(a, b, batch.column(1).to_numpy(), batch.column(4).to_numpy(), agree, percent)
-                yield batch.select(["digest", "pivot"]).filter(pa.array(near))
+                equal = _agreeing(a, b, batch.column(1).to_numpy(), batch.column(4).to_numpy(), percent)
+                yield batch.select(["digest", "pivot"]).filter(pa.array(equal >= agree))
 
     own = members.where("digest != pivot").select("digest", "size", "tokens", "pivot", "pivot_size", "pivot_tokens")
     return _ordered(own.mapInArrow(compare, "digest binary, pivot binary"), "digest", "pivot")
@@ -319,10 +336,12 @@ def links(
         mixed = rooted.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("rows"))
         mixed, n = materialize_counted(mixed.where("least != most").select("node", "rows"))
         if n:
-            rooted = join_dimension(rooted, mixed, ["node"], rows="rows", spread="digest", limits=limits, row_bound=n)
+            open_nodes = join_dimension(placed, mixed, ["node"], rows="rows", spread="digest", limits=limits, row_bound=n)
             least = leaf if len(held) < DEEP else some
-            classes.learn(_compared(rooted.where(F.col("texts") <= least).join(known, "digest"), agree, percent, leaf))
-            large = rooted.where(F.col("texts") > least).select("node", "digest")
+            few = open_nodes.where(F.col("texts") <= least).join(known, "digest")
+            for every in (False, True):  # first what joins groups of copies, then whatever is left across classes
+                classes.learn(_compared(classes.rooted(few), agree, percent, leaf, every), every)
+            large = open_nodes.where(F.col("texts") > least).select("node", "digest")
             members, n = materialize_counted(_below(large.join(known, "digest"), len(held)))
         for done in (placed, nodes, pivots):
             discard(done)

@@ -114,6 +114,18 @@ def count_names(left: np.ndarray, right: np.ndarray):
     return left[first], right[first], np.diff(np.append(first, len(left)))
 
 
+class Names(dict):
+    """Numbers of a language's words, made when a word is first asked for; 0 for STOP."""
+
+    def __init__(self, lang: str, name_of: Callable[[str, bytes], int]):
+        super().__init__({STOP: 0})
+        self.lang, self.name_of = lang, name_of
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = self.name_of(self.lang, word)
+        return found
+
+
 def _batched(batches, name_of: Callable[[str, bytes], int], renew: bool):
     """(numbers of the words in order, 0 where a piece ends; numbers by language and word) of some words at a time.
 
@@ -122,14 +134,14 @@ def _batched(batches, name_of: Callable[[str, bytes], int], renew: bool):
     known: dict = {}
     held, size = [], 0
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own = known.setdefault(lang, {STOP: 0})
-            tokens = tokens_of(text.as_py())
-            for word in set(tokens).difference(own):
-                own[word] = name_of(lang, word)
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = known.get(lang)
+            if own is None:
+                own = known[lang] = Names(lang, name_of)
+            tokens = tokens_of(text)
+            tokens.append(STOP)
             held.append(np.fromiter(map(own.__getitem__, tokens), dtype=np.uint64, count=len(tokens)))
-            held.append(np.zeros(1, dtype=np.uint64))
-            size += len(tokens) + 1
+            size += len(tokens)
             if size >= BATCH:
                 yield np.concatenate(held), known
                 held, size = [], 0
@@ -213,10 +225,10 @@ def _added(build: Callable[[int], DataFrame], at_least: int) -> tuple[DataFrame,
     """Written name, l, r, n with counts of all rows, under the first salt where no frequent name has two meanings; and the salt."""
     for salt in range(TRIES):
         counted = materialize(build(salt).groupBy("name").agg(
-            F.sum("n").alias("n"), F.min(F.struct("l", "r")).alias("least"), F.max(F.struct("l", "r")).alias("most")
+            F.sum("n").alias("n"), *[pick(c).alias(f"{c}{end}") for c in ("l", "r") for end, pick in ((0, F.min), (1, F.max))]
         ))
-        if counted.where((F.col("n") >= at_least) & (F.col("least") != F.col("most"))).isEmpty():
-            return counted.select("name", "least.*", "n"), salt
+        if counted.where((F.col("n") >= at_least) & ((F.col("l0") != F.col("l1")) | (F.col("r0") != F.col("r1")))).isEmpty():
+            return counted.select("name", F.col("l0").alias("l"), F.col("r0").alias("r"), "n"), salt
         discard(counted)
     raise RuntimeError("names of different units keep meeting")
 
