@@ -12,7 +12,8 @@ Only a bounded number of units of each length has a rank; the others keep a
 64-bit name, a bitmap of fixed size tells which names may be frequent, and their
 pairs are coordinates by name. A wrong yes of the bitmap costs rows, not
 results. Names of different units that meet are noticed where counts are
-added, and that length is counted again under other names.
+added, and that length is counted again under other names. Texts are read
+twice: to count words, and to write them as numbers that all lengths share.
 """
 
 from collections.abc import Callable
@@ -29,6 +30,7 @@ HEAD = 1 << 16  # units of each length that have a rank
 TILE = 1 << 10  # ranks along the side of a tile
 DENSE = 1 << 14  # pairs of a batch that fall into a tile counted cell by cell
 BATCH = 1 << 20  # words counted at a time
+PART = 1 << 18  # words of one written row of numbers
 BITS = 1 << 25  # of the bitmap for units without a rank
 CACHE = 1 << 20  # different words of a task whose names are kept
 TRIES = 5
@@ -126,7 +128,7 @@ class Names(dict):
         return found
 
 
-def _batched(batches, name_of: Callable[[str, bytes], int], renew: bool):
+def _batched(batches, name_of: Callable[[str, bytes], int], renew: bool, size_of: int = BATCH):
     """(numbers of the words in order, 0 where a piece ends; numbers by language and word) of some words at a time.
 
     With ``renew`` every part begins with no known word.
@@ -142,7 +144,7 @@ def _batched(batches, name_of: Callable[[str, bytes], int], renew: bool):
             tokens.append(STOP)
             held.append(np.fromiter(map(own.__getitem__, tokens), dtype=np.uint64, count=len(tokens)))
             size += len(tokens)
-            if size >= BATCH:
+            if size >= size_of:
                 yield np.concatenate(held), known
                 held, size = [], 0
                 if renew or sum(map(len, known.values())) > CACHE:
@@ -185,13 +187,54 @@ def _named_words(docs: DataFrame, mask: int, at_least: int) -> tuple[DataFrame,
     raise RuntimeError("names of different words keep meeting")
 
 
-def _pair_counts(docs: DataFrame, levels: list, length: int, salt: int, mask: int) -> DataFrame:
+def _encoded(docs: DataFrame, words, mask: int) -> DataFrame:
+    """The texts as numbers, written once for all lengths: codes (int32), and the names of words without a rank (uint64).
+
+    A code is 0 for a piece's end or a rare word, rank + 1, or -1 - i for the
+    i-th name of its own row. Rows hold the words of many texts.
+    """
+
+    def encode(batches):
+        single = Units(*words.value)
+        for names, _ in _batched(batches, lambda lang, word: word_name(lang, word, single.salt, mask), renew=False, size_of=PART):
+            rank = single.ranks(names)
+            codes = np.where(rank >= 0, rank + 1, 0)
+            tails, at = np.unique(names[rank == -1], return_inverse=True)
+            codes[rank == -1] = -1 - at
+            kept = np.ones(len(codes), dtype=bool)
+            kept[1:] = (codes[1:] != 0) | (codes[:-1] != 0)  # one break says as much as several
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([codes[kept].astype("<i4").tobytes()]), pa.array([tails.astype("<u8").tobytes()])], ["codes", "tails"]
+            )
+
+    return materialize(docs.mapInArrow(encode, "codes binary, tails binary"))
+
+
+def _names(batches, single: Units):
+    """(names, ranks) of some million words at a time; 0 and -2 for a break."""
+    held, size = [], 0
+    for row in ((c.as_py(), t.as_py()) for batch in batches for c, t in zip(batch.column(0), batch.column(1))):
+        codes, tails = np.frombuffer(row[0], dtype="<i4").astype(np.int64), np.frombuffer(row[1], dtype="<u8")
+        names, ranks = np.zeros(len(codes), dtype=np.uint64), np.full(len(codes), -2, dtype=np.int64)
+        head, tail = codes > 0, codes < 0
+        ranks[head] = codes[head] - 1
+        names[head] = single.names[ranks[head]]
+        ranks[tail], names[tail] = -1, tails[-1 - codes[tail]]
+        held.append((np.append(names, np.uint64(0)), np.append(ranks, -2)))
+        size += len(codes)
+        if size >= BATCH:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held, size = [], 0
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _pair_counts(encoded: DataFrame, levels: list, length: int, salt: int, mask: int) -> DataFrame:
     """name, l, r, n of parts of the rows: pairs of a frequent phrase of ``length`` - 1 words and the word after it."""
 
     def count(batches):
         units = [Units(*u.value) for u in levels]
-        for names, _ in _batched(batches, lambda lang, word: word_name(lang, word, units[0].salt, mask), renew=False):
-            single = units[0].ranks(names)
+        for names, single in _names(batches, units[0]):
             phrase, rank, step = names, single, 1
             while True:
                 ends = max(len(names) - step, 0)  # places where a phrase of step words is followed by another word
@@ -218,7 +261,7 @@ def _pair_counts(docs: DataFrame, levels: list, length: int, salt: int, mask: in
                 ["name", "l", "r", "n"],
             )
 
-    return docs.mapInArrow(count, "name long, l long, r long, n long")
+    return encoded.mapInArrow(count, "name long, l long, r long, n long")
 
 
 def _added(build: Callable[[int], DataFrame], at_least: int) -> tuple[DataFrame, int]:
@@ -277,8 +320,9 @@ def collocations(
     singles = frequent.select("name", "lang", "word", F.col("n").alias("r_n"))
     phrases = [materialize(frequent.select("name", "lang", F.col("word").alias("phrase"), "n", F.lit(1).alias("words")))]
     levels = [_units(spark, frequent, salt, head)]
+    encoded = _encoded(texts, levels[0], mask)
     for length in range(2, longest + 1):
-        counted, salt = _added(lambda s: _pair_counts(texts, levels, length, s, mask), at_least)
+        counted, salt = _added(lambda s: _pair_counts(encoded, levels, length, s, mask), at_least)
         frequent = counted.where(F.col("n") >= at_least)
         left = phrases[-1].select(F.col("name").alias("l"), "lang", F.col("phrase").alias("head"))
         right = singles.select(F.col("name").alias("r"), "word")

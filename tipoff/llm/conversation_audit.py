@@ -23,10 +23,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tipoff.limits import Limits
 from tipoff.llm.common import Positions
-from tipoff.operators.ordered import hot_groups, row_rank, same
+from tipoff.operators.ordered import hot_groups, row_rank, same, small
 from tipoff.session import materialize
 
-LIMITS = Limits(group_rows=100_000, block_rows=100_000, broadcast_rows=200_000, match_rows=200_000)
+LIMITS = Limits(group_rows=20_000, block_rows=100_000, broadcast_rows=200_000, match_rows=200_000)
 BLOCK = 10_000  # turns of a block of a very long conversation
 
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 1, 2, 5, 5  # costs
@@ -256,7 +256,7 @@ def audit_conversations(
     )
     order = [F.asc_nulls_first("turn"), F.col("role"), F.col("text")]
     hot = hot_groups(own, ["conv"], limits)
-    cold = own if hot is None else same(own, F.broadcast(hot[0]), ["conv"], "left_anti")
+    cold = own if hot is None else same(own, small(hot[0], hot[1], limits), ["conv"], "left_anti")
     kind = own.schema["conv"].dataType.simpleString()
     fields = "gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
     pairs = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
@@ -287,7 +287,7 @@ def audit_conversations(
     schema = f"conv {kind}, {fields}" + (", repaired array<struct<role:string,text:string>>" if with_rows else "")
     result = cold.repartition("conv").sortWithinPartitions("conv", *order).mapInArrow(gathered, schema)
     if hot is not None:
-        long = materialize(same(own, F.broadcast(hot[0]), ["conv"], "left_semi"))
+        long = materialize(same(own, small(hot[0], hot[1], limits), ["conv"], "left_semi"))
         found = _in_blocks(long, order, kind, limits, block)
         result = result.unionByName(found, allowMissingColumns=True)
     return result.withColumnRenamed("conv", conv_id)
