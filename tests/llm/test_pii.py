@@ -4,9 +4,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.texts import LONG, ODD, SCHEMA, documents, empty
+from tipoff.llm import boosting, pii
 from tipoff.llm.pii import base_spans, candidates, fits, personal_data, redact
 
 # The patterns as given; slow on long runs, so used on short texts only.
@@ -148,6 +151,49 @@ def test_numbers_that_are_no_personal_data(text):
     assert not any(fits(text, s) for s in candidates(text, []))
 
 
+def test_all_candidates_are_learned_from(spark, monkeypatch):
+    """More than any bound there was: every candidate is in a cell, and passes by Spark fit what passes on the driver fit."""
+    n, rows = 45_000, pii.N_FEATURES
+    x = F.array(*[((F.col("id") * (k + 3)) % (5 + k)).cast("float") for k in range(rows)])
+    role = ((F.col("id") % 5 + F.col("id") % 7) > 4).cast("int")
+    found = spark.range(n, numPartitions=3).select(
+        "id", F.array(*[F.lit(v) for v in (3, 0, 9)]).alias("spans"), x.alias("x"), F.array(role).alias("roles"))
+    seen = []
+
+    def fit(cells, count, edges):
+        monkeypatch.setattr(boosting, "CELLS", 4000)
+        spread = boosting.fit_forests(cells, count, edges, rounds=2)
+        monkeypatch.setattr(boosting, "CELLS", 10**9)
+        here = boosting.fit_forests(cells, count, edges, rounds=2)
+        seen.append((cells.agg(F.sum("n")).first()[0], spread, here))
+        return here
+
+    monkeypatch.setattr(pii, "fit_forests", fit)
+    selector = pii._learn(found, None)
+    total, spread, here = seen[0]
+    assert total == n + len(pii.decoys()[1])
+    at = np.array(found.select("x").limit(200).toArrow().column(0).to_pylist())
+    assert here[3] is not None and np.allclose(here[3].score(at), spread[3].score(at), rtol=1e-9)
+    assert 3 not in selector.thresholds or selector.thresholds[3] >= pii.LEAST
+
+
+def test_cells_fit_what_their_rows_fit(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 6, (4000, 5)).astype(float)
+    y = (x[:, 0] + x[:, 1] > rng.normal(5, 1, 4000)).astype(float)
+    held = np.arange(4000) % 5 == 4
+    edges = [boosting.edges_of(*np.unique(c, return_counts=True)) for c in x[~held].T]
+    bins = boosting.binned(x, edges).astype(np.uint8)
+    rows = [(0, int(a), bool(h), b.tobytes()) for a, h, b in zip(y, held, bins)]
+    cells = spark.createDataFrame(rows, "kind int, y int, held boolean, bins binary").groupBy("kind", "y", "held", "bins").agg(F.count("*").alias("n"))
+    want, (got,) = boosting.fit_forest(x, y), boosting.fit_forests(cells, 4000, [edges])
+    assert np.allclose(want.score(x), got.score(x), atol=1e-6)
+    scores, truth = got.score(x[held]), y[held]
+    good = [s for s in np.unique(scores) if truth[scores >= s].mean() >= 0.9]
+    assert boosting.thresholds(cells, 4000, [got], 90) == {0: min(good)}
+    assert boosting.thresholds(cells, 4000, [None], 90) == {}
+
+
 def test_redaction_takes_overlaps_once():
     assert redact("ab cdef gh", [(0, 3, 7), (3, 5, 9)]) == "ab [email]h"
 

@@ -1,7 +1,7 @@
 """Personal data: exact base patterns, and further spans that boosted trees select among generous candidates.
 
 Base spans follow fixed patterns and checks. Candidate generators propose many
-more spans that may overlap. For each kind, trees learn from a bounded sample how
+more spans that may overlap. For each kind, trees learn from all candidates how
 base spans look and what stands around them (not the marks that the base pattern
 itself asks for, such as a phone number's plus sign and country code), against
 candidates that cannot be of the kind: those that fail a wider format check, stand
@@ -14,17 +14,19 @@ for precision on candidates not learned from.
 import hashlib
 import re
 from bisect import bisect_left
+from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tipoff.llm.boosting import Forest, fit_forest
+from tipoff.llm.boosting import Forest, binned, edges_of, fit_forests, thresholds
 from tipoff.llm.labelled import lowest
-from tipoff.session import materialize
+from tipoff.operators.moments import vectors
+from tipoff.session import materialize, materialize_counted
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 40_000  # candidates of a kind its trees are fitted on, at most
 PRECISION = 0.99
 LEAST = 0.9  # lowest calibrated probability of an added span
 AROUND = 24  # characters of context to either side
@@ -51,6 +53,7 @@ _HINTS = {
     "phone": "tel phone call fax mobile fon teléfono anruf appel".split(),
 }
 N_FEATURES = 18
+_LEARNABLE = "kind int, y int, mark long, held boolean, x array<float>"
 _HINTED = {k: re.compile(rf"(?:@|\b(?:{'|'.join(h for h in v if h != '@')}))", re.I) for k, v in _HINTS.items()}
 # What a candidate is to the trees: a base span, a sure negative, neither, or one that may be added.
 BASE, NOT, LEFT, OPEN = 1, 0, 2, 3
@@ -232,22 +235,9 @@ def _text_of(spans: list[tuple[int, int, int]]) -> str:
 class Selector:
     """Trees and thresholds by kind; kinds without enough examples add nothing."""
 
-    def __init__(self, x: np.ndarray, kinds: np.ndarray, y: np.ndarray):
-        self.forests: dict[int, Forest] = {}
-        self.thresholds: dict[int, float] = {}
-        for kind in range(len(KINDS)):
-            mine = kinds == kind
-            forest = fit_forest(x[mine], y[mine])
-            if forest is None:
-                continue
-            kept = np.arange(mine.sum()) % 5 == 4
-            scores, truth = forest.score(x[mine][kept]), y[mine][kept]
-            order = np.argsort(-scores)
-            precision = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
-            good = np.flatnonzero(precision >= PRECISION)
-            if len(good):
-                self.forests[kind] = forest
-                self.thresholds[kind] = max(LEAST, float(scores[order][good[-1]]))
+    def __init__(self, forests: list[Forest | None], least: dict[int, float]):
+        self.forests: dict[int, Forest] = {k: forests[k] for k in sorted(least)}
+        self.thresholds = {k: max(LEAST, p) for k, p in least.items()}
 
     def add(self, base, spans, x: np.ndarray) -> list[tuple[int, int, int]]:
         """Base spans and the selected of ``spans``, all off them, best first where they overlap, by kind and start."""
@@ -265,14 +255,15 @@ class Selector:
 
 
 def personal_data(
-    docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False
+    docs: DataFrame, *, sample: int | None = None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False
 ) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added for every row.
 
     ``spans`` lists base and added spans as kind:start:end, in code points with
     the end exclusive, by kind and then start, joined by commas; base_sha256 is
-    the hash of the base ones written so. A kind's trees are fitted on at most
-    ``sample`` of its candidates, the first by a hash of id and place. Null and empty
+    the hash of the base ones written so. A kind's trees are fitted on four fifths of
+    its base spans and sure negatives and calibrated on the others, by a hash of id and span;
+    ``sample`` bounds them per kind, the first by that hash. Null and empty
     texts have no spans. Repeated rows give repeated results; other columns are
     ignored. Whole texts are read once; what is written are spans and their
     features. ``keep_text`` adds ``redacted``, the text with every span
@@ -344,25 +335,79 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def _learn(found: DataFrame, sample: int) -> Selector:
-    """Trees from samples of each kind's base spans and sure negatives among the candidates, and the fixed ones."""
-    n = N_FEATURES
-    x, kinds, y = [], [], []
-    mark = lambda i: F.xxhash64("id", i)
+def _learnable(found: DataFrame) -> DataFrame:
+    """A row for each base span and sure negative: kind, y, mark (a hash of id and span), held (a fifth by the mark), x."""
+
+    def unfold(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index
+            out = []
+            for id_, spans, x, marks in zip(*(batch.column(at(c)) for c in ("id", "spans", "x", "roles"))):
+                features = x.as_py()
+                for i, (s, role) in enumerate(zip(_triples(spans), marks.as_py())):
+                    if role <= BASE:
+                        mark = hashlib.blake2b(f"{id_.as_py()}:{s}".encode(), digest_size=8).digest()
+                        mark = int.from_bytes(mark, "little", signed=True)
+                        out.append((s[0], role, mark, mark % 5 == 4, features[i * N_FEATURES:(i + 1) * N_FEATURES]))
+            if out:
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.float32())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["kind", "y", "mark", "held", "x"])
+
+    return found.select("id", "spans", "x", "roles").mapInArrow(unfold, _LEARNABLE)
+
+
+def _lowest_of_each(rows: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` rows of each kind, the first by their marks."""
+    some = []
     for kind in range(len(KINDS)):
-        mine = lambda i: (F.get("roles", i) <= BASE) & (F.get("spans", 3 * i) == kind)
-        places = F.filter(F.sequence(F.lit(0), F.size("roles") - 1), mine)
-        some = found.where(F.size("roles") > 0)
-        bound = lowest(some.select(F.explode(F.transform(places, mark)).alias("h")), sample)
-        marked = F.filter(F.transform(places, lambda i: F.struct(mark(i).alias("h"), i.alias("i"))), lambda m: m["h"] <= bound)
-        one = F.transform(marked, lambda m: F.struct(
-            m["h"].alias("h"), m["i"].alias("i"), F.get("roles", m["i"]).alias("y"), F.slice("x", n * m["i"] + 1, n).alias("x"),
-        ))
-        picked = some.select("id", F.explode(one).alias("c")).orderBy("c.h", "id", "c.i").limit(sample)
-        rows = picked.select("c.y", "c.x").toArrow()
-        x += rows.column("x").to_pylist()
-        y += rows.column("y").to_pylist()
-        kinds += [kind] * len(rows)
-    fixed, of = decoys()
-    x, kinds, y = [*x, *fixed], [*kinds, *of], [*y, *[0] * len(of)]
-    return Selector(np.array(x, dtype=np.float64).reshape(-1, n), np.array(kinds, dtype=np.int64), np.array(y, dtype=np.float64))
+        own = rows.where(F.col("kind") == kind)
+        some.append(own.where(F.col("mark") <= lowest(own.select(F.col("mark").alias("h")), sample)).orderBy("mark", "x").limit(sample))
+    return reduce(DataFrame.union, some)
+
+
+def _edges(rows: DataFrame) -> list[list[np.ndarray]]:
+    """Cuts of every kind's features, at quantiles of all rows learned from.
+
+    A candidate and its surroundings have a bounded length, so a feature has a bounded number of values, and those alone are collected.
+    """
+
+    def count(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            for kind, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen.update((kind, i, v) for i, v in enumerate(x))
+        if seen:
+            keys = list(zip(*seen))
+            types = [pa.int32(), pa.int32(), pa.float32()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(k, t) for k, t in zip(keys, types)), pa.array(list(seen.values()), pa.int64())], ["kind", "place", "value", "n"])
+
+    counted = rows.where("NOT held").select("kind", "x").mapInArrow(count, "kind int, place int, value float, n long")
+    found = counted.groupBy("kind", "place", "value").agg(F.sum("n").alias("n")).toArrow()
+    kind, place, value, n = (found.column(c).to_numpy() for c in ("kind", "place", "value", "n"))
+    every = [[(kind == k) & (place == i) for i in range(N_FEATURES)] for k in range(len(KINDS))]
+    return [[edges_of(value[at].astype(np.float64), n[at]) for at in own] for own in every]
+
+
+def _learn(found: DataFrame, sample: int | None) -> Selector:
+    """Trees and thresholds from all base spans and sure negatives among the candidates, and the fixed ones."""
+    x, kinds = decoys()
+    places = [kinds[:i].count(k) for i, k in enumerate(kinds)]  # of a decoy among those of its kind
+    fixed = [(k, 0, i, i % 5 == 4, list(map(float, v))) for k, i, v in zip(kinds, places, x)]
+    rows = _learnable(found)
+    if sample is not None:
+        rows = _lowest_of_each(materialize(rows), sample)
+    rows = materialize(rows.union(found.sparkSession.createDataFrame(fixed, _LEARNABLE).coalesce(1)))
+    edges = _edges(rows)
+
+    def bin_(batches):
+        for batch in batches:
+            kind, x = batch.column(0).to_numpy(), vectors(batch.column(3), N_FEATURES).astype(np.float64)
+            bins = np.zeros(x.shape, dtype=np.uint8)
+            for k in np.unique(kind):
+                bins[kind == k] = binned(x[kind == k], edges[k])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([b.tobytes() for b in bins], pa.binary())], ["kind", "y", "held", "bins"])
+
+    cells = rows.select("kind", "y", "held", "x").mapInArrow(bin_, "kind int, y int, held boolean, bins binary")
+    cells, n = materialize_counted(cells.groupBy("kind", "y", "held", "bins").agg(F.count("*").alias("n")))
+    forests = fit_forests(cells, n, edges)
+    return Selector(forests, thresholds(cells, n, forests, round(100 * PRECISION)))

@@ -50,7 +50,10 @@ def summed_vector(df: DataFrame, fold: Callable[[pa.RecordBatch], np.ndarray], s
 def summed_blocks(
     df: DataFrame, fold: Callable[[pa.RecordBatch], np.ndarray], size: int, *, meet: int = 4
 ) -> np.ndarray:
-    """``summed_vector`` for long vectors: whole ones are added up in ``meet`` tasks, whose sums reach the driver."""
+    """``summed_vector`` for long vectors: whole ones are added up in ``meet`` tasks, whose sums reach the driver.
+
+    With ``meet`` of 0 those of all partitions do, which suits a table of few.
+    """
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
@@ -65,8 +68,10 @@ def summed_blocks(
                 total += np.frombuffer(value.as_py())
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["total"])
 
-    parts = df.mapInArrow(partial, "total binary").repartition(meet).mapInArrow(add, "total binary")
-    return sum((np.frombuffer(row.total) for row in parts.toLocalIterator()), np.zeros(size))
+    parts = df.mapInArrow(partial, "total binary")
+    if meet:
+        parts = parts.repartition(meet).mapInArrow(add, "total binary")
+    return sum((np.frombuffer(row.total) for row in parts.collect()), np.zeros(size))
 
 
 def gram_matrix(df: DataFrame, left: str, right: str, widths: tuple[int, int]) -> DataFrame:
