@@ -123,3 +123,30 @@ def test_products_beyond_64_bits(spark):
     totals = spark.createDataFrame([("en", big - 1)], "lang string, total long")
     row = cl._scored(known, totals, 10).first()
     assert row.score == 1000 * (10**15 + 9) * (big - 1) // ((3 * 10**15 + 1) * (2 * 10**15 + 3))
+
+
+def test_packed_pairs_come_back():
+    rng = np.random.default_rng(3)
+    for across, buckets in ((1, 1), (1, 7), (300, 12), (7, 300), (65536, 51)):
+        keys = np.unique(rng.integers(0, 65536 * across, 5000))
+        stripes, back = cl.Stripes(across, buckets), []
+        for bucket, place, rows in stripes.dealt(keys):
+            assert (np.diff(place) > 0).all()
+            steps = cl._from_planes(cl._planes(np.diff(place, prepend=0))).astype(np.int64)
+            assert np.array_equal(stripes.keys(bucket, np.cumsum(steps)), keys[rows])
+            back.append(keys[rows])
+        assert np.array_equal(np.sort(np.concatenate(back)), keys)
+
+
+def test_pairs_are_shuffled_in_few_packed_rows(spark, monkeypatch):
+    """A row for each bucket of a task, not one for each pair; what a task holds changes no result."""
+    rows = corpus(6)
+    made, real = [], cl._pair_counts
+    monkeypatch.setattr(cl, "_pair_counts", lambda *a: made.append(real(*a)) or made[-1])
+    whole = collected(cl.collocations(frame(spark, rows), at_least=10))
+    pairs = {(lang, *p) for lang, t in rows for w in slow_words(t) for p in zip(w, w[1:])}
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert made[0].count() <= 2 * buckets * made[0].rdd.getNumPartitions() < len(pairs)
+    monkeypatch.setattr(cl, "HELD", 1)
+    monkeypatch.setattr(cl, "ROWS", 2)
+    assert collected(cl.collocations(frame(spark, rows), at_least=10, head=5)) == whole == slow(rows, 10)

@@ -4,12 +4,13 @@ Words that are frequent enough get ids by frequency. A pair of units (a frequent
 phrase and the word after it) is a cell of a table whose rows and columns are
 these ranks. The table is cut into tiles: a tile that a batch fills densely is
 counted by one ``bincount`` over its cells, the cells of thin tiles are counted
-as sorted coordinates. Counts of all batches are added by Spark, frequent pairs
+as sorted coordinates. Cells are dealt into buckets, shuffled as packed steps
+from cell to cell, and added up bucket by bucket; frequent pairs
 become the units of the next length, are ranked again, and the next word is
 joined to them, up to the longest phrases.
 
-Only a bounded number of units of each length has a rank; the others keep a
-64-bit name, a bitmap of fixed size tells which names may be frequent, and their
+Only a bounded number of units of each length has a rank, and a pair of ranks is
+a name of its own; the others keep a 64-bit name, a bitmap of fixed size tells which names may be frequent, and their
 pairs are coordinates by name. A wrong yes of the bitmap costs rows, not
 results. Names of different units that meet are noticed where counts are
 added, and that length is counted again under other names. Texts are read
@@ -18,6 +19,7 @@ twice: to count words, and to write them as numbers that all lengths share.
 
 from collections.abc import Callable
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ BATCH = 1 << 20  # words counted at a time
 PART = 1 << 18  # words of one written row of numbers
 BITS = 1 << 25  # of the bitmap for units without a rank
 CACHE = 1 << 20  # different words of a task whose names are kept
+HELD = 1 << 21  # counted pairs that a task holds before it adds them up
+ROWS = 64  # of counted pairs that a task passes on at a time
 TRIES = 5
 
 _TABLE = bytearray(range(256))
@@ -229,49 +233,163 @@ def _names(batches, single: Units):
         yield [np.concatenate(c) for c in zip(*held)]
 
 
-def _pair_counts(encoded: DataFrame, levels: list, length: int, salt: int, mask: int) -> DataFrame:
-    """name, l, r, n of parts of the rows: pairs of a frequent phrase of ``length`` - 1 words and the word after it."""
+def _hashed(left: np.ndarray, right: np.ndarray, salt: int, mask: int) -> np.ndarray:
+    """Names of pairs of which a part has no rank: all above the names of other pairs."""
+    return mixed(left, right, salt) & np.uint64(mask) | np.uint64(1 | 1 << 63)
 
-    def count(batches):
-        units = [Units(*u.value) for u in levels]
-        for names, single in _names(batches, units[0]):
-            phrase, rank, step = names, single, 1
-            while True:
-                ends = max(len(names) - step, 0)  # places where a phrase of step words is followed by another word
-                alive = (rank[:ends] > -2) & (single[step:] > -2)
-                if step > 1:
-                    alive &= rank[1:ends + 1] > -2  # what the longer phrase ends with is frequent too
-                if step == length - 1:
-                    break
-                following = np.zeros(ends, dtype=np.uint64)
-                following[alive] = mixed(phrase[:ends][alive], names[step:][alive], units[step].salt) & np.uint64(mask) | np.uint64(1)
-                phrase, rank, step = following, units[step].ranks(following), step + 1
-            at = np.flatnonzero(alive)
-            ranked = at[(rank[at] >= 0) & (single[at + step] >= 0)]
-            named = at[(rank[at] < 0) | (single[at + step] < 0)]
-            a, b, n = count_pairs(rank[ranked], single[ranked + step])
-            left, right, counts = [units[step - 1].names[a]], [units[0].names[b]], [n]
-            if len(named):
-                for out, part in zip((left, right, counts), count_names(phrase[named], names[named + step])):
-                    out.append(part)
-            left, right, counts = map(np.concatenate, (left, right, counts))
-            name = mixed(left, right, salt) & np.uint64(mask) | np.uint64(1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c.astype(np.int64) if c.dtype != np.uint64 else c.view(np.int64)) for c in (name, left, right, counts)],
-                ["name", "l", "r", "n"],
-            )
 
-    return encoded.mapInArrow(count, "name long, l long, r long, n long")
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers as bytes, the lowest of all first: what is small or alike then compresses well."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+class Stripes:
+    """Buckets of pairs of ranks, that every hot row and column of their table is dealt over; ``across`` ranks on the right."""
+
+    STEP = 40503
+
+    def __init__(self, across: int, buckets: int):
+        self.across, self.buckets, self.wide = max(across, 1), buckets, -(-max(across, 1) // buckets)
+
+    def dealt(self, keys: np.ndarray):
+        """(bucket, places in it, rows of ``keys``); keys left * across + right rise, and so do the places."""
+        left, right = keys // self.across, keys % self.across
+        bucket = (left * self.STEP + right) % self.buckets
+        place = left * self.wide + right // self.buckets
+        for rows in _by_bucket(bucket, self.buckets):
+            yield int(bucket[rows[0]]), place[rows], rows
+
+    def keys(self, bucket: int, place: np.ndarray) -> np.ndarray:
+        left = place // self.wide
+        right = place % self.wide * self.buckets + (bucket - left * self.STEP) % self.buckets
+        return left * self.across + right
+
 
+def _by_bucket(bucket: np.ndarray, buckets: int) -> list[np.ndarray]:
+    """Rows of each bucket that has some, in order."""
+    order = np.argsort(bucket, kind="stable")
+    return [rows for rows in np.split(order, np.cumsum(np.bincount(bucket, minlength=buckets))[:-1]) if len(rows)]
 
-def _added(build: Callable[[int], DataFrame], at_least: int) -> tuple[DataFrame, int]:
-    """Written name, l, r, n with counts of all rows, under the first salt where no frequent name has two meanings; and the salt."""
+
+def _summed(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, rising, and the sums of their counts."""
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
+
+
+def _summed_names(parts: list) -> list[np.ndarray]:
+    """The same for (left, right, count) of names."""
+    left, right, counts = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((right, left))
+    left, right, counts = left[order], right[order], counts[order]
+    first = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1]))[:len(left)])
+    return [left[first], right[first], np.add.reduceat(counts, first) if len(first) else counts]
+
+
+def _pair_counts(encoded: DataFrame, levels: list, length: int, salt: int, mask: int, buckets: int) -> DataFrame:
+    """Counts, by parts of the rows, of pairs of a frequent phrase of ``length`` - 1 words and the word after it.
+
+    A row holds many pairs of one bucket: of ranks (l: steps between their
+    places; r is null), or of names (l and r; the bucket goes by the pair's name); n: their counts.
+    """
+
+    def count(batches):
+        units = [Units(*u.value) for u in levels]
+        across = np.uint64(len(units[0].names))
+        stripes = Stripes(len(units[0].names), buckets)
+        held, named_held = [], []
+        for names, single in chain(_names(batches, units[0]), [(None, None)]):
+            if names is not None:
+                phrase, rank, step = names, single, 1
+                while True:
+                    ends = max(len(names) - step, 0)  # places where a phrase of step words is followed by another word
+                    alive = (rank[:ends] > -2) & (single[step:] > -2)
+                    if step > 1:
+                        alive &= rank[1:ends + 1] > -2  # what the longer phrase ends with is frequent too
+                    if step == length - 1:
+                        break
+                    following = np.zeros(ends, dtype=np.uint64)
+                    following[alive] = _hashed(phrase[:ends][alive], names[step:][alive], units[step].salt, mask)
+                    both = alive & (rank[:ends] >= 0) & (single[step:] >= 0)
+                    following[both] = rank[:ends][both].astype(np.uint64) * across + single[step:][both].astype(np.uint64) + np.uint64(1)
+                    phrase, rank, step = following, units[step].ranks(following), step + 1
+                at = np.flatnonzero(alive)
+                ranked = at[(rank[at] >= 0) & (single[at + step] >= 0)]
+                named = at[(rank[at] < 0) | (single[at + step] < 0)]
+                a, b, n = count_pairs(rank[ranked], single[ranked + step])
+                held.append((a * stripes.across + b, n))
+                if len(named):
+                    named_held.append(count_names(phrase[named], names[named + step]))
+            if names is not None and sum(len(k) for k, _ in held) + sum(len(p[0]) for p in named_held) < HELD:
+                continue
+            rows = []
+            if held:
+                keys, counts = _summed(*zip(*held))
+                rows += [(bucket, _planes(np.diff(place, prepend=0)), None, _planes(counts[own])) for bucket, place, own in stripes.dealt(keys)]
+            if named_held:
+                left, right, counts = _summed_names(named_held)
+                bucket = (_hashed(left, right, salt, mask) % np.uint64(buckets)).astype(np.int64)
+                rows += [(int(bucket[own[0]]), *(_planes(c[own]) for c in (left, right, counts))) for own in _by_bucket(bucket, buckets)]
+            held, named_held = [], []
+            for some in range(0, len(rows), ROWS):
+                columns = zip(*rows[some:some + ROWS])
+                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "l", "r", "n"])
+
+    return encoded.mapInArrow(count, "bucket int, l binary, r binary, n binary")
+
+
+def _totals(parts: DataFrame, levels: list, salt: int, mask: int, buckets: int, at_least: int) -> DataFrame:
+    """name, l, r, n of the pairs that all parts together have ``at_least`` times; clash: their name has another meaning too."""
+
+    def add(batches):
+        units = [Units(*levels[i].value) for i in (-1, 0)]
+        stripes = Stripes(len(units[1].names), buckets)
+        held, named, size, most = [], [], 0, HELD
+        for row in ((c.as_py() for c in row) for batch in batches for row in zip(*batch.columns)):
+            bucket, left, right, n = row
+            counts = _from_planes(n).astype(np.int64)
+            if right is None:
+                held.append((stripes.keys(bucket, np.cumsum(_from_planes(left).astype(np.int64))), counts))
+            else:
+                named.append((_from_planes(left), _from_planes(right), counts))
+            size += len(counts)
+            if size >= most:
+                held, named = [_summed(*zip(*held))] if held else [], [_summed_names(named)] if named else []
+                size = sum(len(p[0]) for p in (*held, *named))
+                most = max(HELD, 2 * size)
+        if held:
+            keys, counts = _summed(*zip(*held))
+            keys, counts = keys[counts >= at_least], counts[counts >= at_least]
+            left, right = units[0].names[keys // stripes.across], units[1].names[keys % stripes.across]
+            yield _rows(keys.astype(np.uint64) + np.uint64(1), left, right, counts, np.zeros(len(keys), dtype=bool))
+        if named:
+            left, right, counts = _summed_names(named)
+            found, at = np.unique(_hashed(left, right, salt, mask), return_inverse=True)
+            often = np.bincount(at, counts, len(found)) >= at_least
+            clash = (often & (np.bincount(at, minlength=len(found)) > 1))[at]
+            kept = clash | (counts >= at_least)
+            yield _rows(found[at][kept], left[kept], right[kept], counts[kept], clash[kept])
+
+    own = parts.repartition(buckets, "bucket")
+    return own.mapInArrow(add, "name long, l long, r long, n long, clash boolean")
+
+
+def _rows(name, left, right, counts, clash) -> pa.RecordBatch:
+    numbers = [pa.array(c.view(np.int64)) for c in (name, left, right, counts)]
+    return pa.RecordBatch.from_arrays([*numbers, pa.array(clash)], ["name", "l", "r", "n", "clash"])
+
+
+def _added(build: Callable[[int], DataFrame]) -> tuple[DataFrame, int]:
+    """Written name, l, r, n of the frequent pairs, under the first salt where no frequent name has two meanings; and the salt."""
     for salt in range(TRIES):
-        counted = materialize(build(salt).groupBy("name").agg(
-            F.sum("n").alias("n"), *[pick(c).alias(f"{c}{end}") for c in ("l", "r") for end, pick in ((0, F.min), (1, F.max))]
-        ))
-        if counted.where((F.col("n") >= at_least) & ((F.col("l0") != F.col("l1")) | (F.col("r0") != F.col("r1")))).isEmpty():
-            return counted.select("name", F.col("l0").alias("l"), F.col("r0").alias("r"), "n"), salt
+        counted = materialize(build(salt))
+        if counted.where("clash").isEmpty():
+            return counted.select("name", "l", "r", "n"), salt
         discard(counted)
     raise RuntimeError("names of different units keep meeting")
 
@@ -321,9 +439,11 @@ def collocations(
     phrases = [materialize(frequent.select("name", "lang", F.col("word").alias("phrase"), "n", F.lit(1).alias("words")))]
     levels = [_units(spark, frequent, salt, head)]
     encoded = _encoded(texts, levels[0], mask)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for length in range(2, longest + 1):
-        counted, salt = _added(lambda s: _pair_counts(encoded, levels, length, s, mask), at_least)
-        frequent = counted.where(F.col("n") >= at_least)
+        frequent, salt = _added(lambda s: _totals(
+            _pair_counts(encoded, levels, length, s, mask, buckets), levels, s, mask, buckets, at_least
+        ))
         left = phrases[-1].select(F.col("name").alias("l"), "lang", F.col("phrase").alias("head"))
         right = singles.select(F.col("name").alias("r"), "word")
         phrases.append(materialize(frequent.join(left, "l").join(right, "r").select(
