@@ -79,6 +79,20 @@ def test_a_stall_is_not_convergence(spark, rows, monkeypatch):
     assert fit.stalled and not fit.converged
 
 
+def test_only_steps_that_are_taken_need_normal_equations(spark, rows, monkeypatch):
+    _, pairs = prepared(rows)
+    dear, real = [], fitted_q._normal_fold
+    monkeypatch.setattr(fitted_q, "_normal_fold", lambda theta, width: dear.append(theta) or real(theta, width))
+    fit = fitted_q.fit_to_convergence(pairs, ceiling=12)
+    taken = sum(b < a for a, b in zip(fit.losses, fit.losses[1:]))
+    monkeypatch.setattr(fitted_q, "STALLED", 1e6)
+    monkeypatch.setattr(fitted_q.np.linalg, "solve", lambda a, b: np.full(len(b), 1e3))  # no step helps
+    rejected = len(dear)
+    stuck = fitted_q.fit_to_convergence(pairs, ceiling=9)
+    assert rejected <= taken + 1 and all((a != b).any() for a, b in zip(dear, dear[1:rejected]))
+    assert len(stuck.losses) == 9 and len(set(stuck.losses)) == 1 and len(dear) == rejected + 1
+
+
 def test_versions(spark, rows):
     stats, _ = prepared(rows)
     path = new_path(spark)

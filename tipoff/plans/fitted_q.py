@@ -41,23 +41,31 @@ def _batch(batch, width):
     return phi, following, payoff, batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
 
 
+def _loss_fold(theta, width):
+    """Per batch: the squared error and the rows."""
+    def fold(batch):
+        phi, following, payoff, alive = _batch(batch, width)
+        miss = _targets(theta, following, payoff, alive) - network.forward(theta, phi)
+        return np.array([miss @ miss, len(phi)])
+
+    return fold, 2
+
+
 def _normal_fold(theta, width, rows=2048):
-    """Per batch: J'J, J'(target - q), the squared error and the rows."""
+    """Per batch: J'J, J'(target - q) and the rows."""
     size = len(theta)
 
     def fold(batch):
         phi, following, payoff, alive = _batch(batch, width)
         target = _targets(theta, following, payoff, alive)
-        square, slope, error = np.zeros((size, size)), np.zeros(size), 0.0
+        square, slope = np.zeros((size, size)), np.zeros(size)
         for at in range(0, len(phi), rows):
             q, slopes = network.jacobian(theta, phi[at:at + rows])
-            miss = target[at:at + rows] - q
             square += slopes.T @ slopes
-            slope += slopes.T @ miss
-            error += float(miss @ miss)
-        return np.concatenate([square.ravel(), slope, [error, len(phi)]])
+            slope += slopes.T @ (target[at:at + rows] - q)
+        return np.concatenate([square.ravel(), slope, [len(phi)]])
 
-    return fold, size * size + size + 2
+    return fold, size * size + size + 1
 
 
 def fit_to_convergence(
@@ -71,7 +79,8 @@ def fit_to_convergence(
     means that ``settled`` steps in a row lowered the loss by less than
     ``tolerance`` of itself; ``stalled`` that no damping finds a lower loss,
     which need not be the end of the way; neither that ``ceiling`` evaluations
-    were not enough. One job per evaluation.
+    were not enough. An evaluation passes over the table for its loss alone; only
+    a step that is taken needs the normal equations, a second and far dearer pass.
 
     With ``progress``, a folder of its own, every evaluation is written there,
     and a call finds it and goes on from the last one: training survives the
@@ -82,27 +91,32 @@ def fit_to_convergence(
     theta = network.initial_parameters(width, seed)
     size = len(theta)
 
-    def evaluate(at):
-        fold, length = _normal_fold(at, width)
-        sums = summed_blocks(data, fold, length)
+    def loss_at(at):
+        error, rows = summed_blocks(data, *_loss_fold(at, width), meet=0)
+        return float(error / max(rows, 1.0))
+
+    def normal_at(at):
+        sums = summed_blocks(data, *_normal_fold(at, width))
         rows = max(sums[-1], 1.0)
-        return sums[:size * size].reshape(size, size) / rows, sums[size * size:-2] / rows, float(sums[-2] / rows)
+        return sums[:size * size].reshape(size, size) / rows, sums[size * size:-1] / rows
 
     before = kept.last()
     if before is not None:
         theta = np.array(before["theta"])
-    square, slope, loss = evaluate(theta)
+    loss = loss_at(theta)
+    normal = None
     losses, damping, quiet = [loss], 1e-2, 0
     if before is not None:
         losses, (damping, quiet) = before["losses"], before["state"]
     while len(losses) < ceiling and quiet < settled and damping <= STALLED:
+        square, slope = normal = normal or normal_at(theta)
         lift = np.diag(damping * (np.diag(square) + 1e-3) + ridge)
         candidate = theta + np.linalg.solve(square + lift, slope)
-        trial = evaluate(candidate)
-        losses.append(min(loss, trial[2]))
-        if trial[2] < loss:
-            quiet = quiet + 1 if loss - trial[2] < tolerance * loss else 0
-            theta, (square, slope, loss) = candidate, trial
+        trial = loss_at(candidate)
+        losses.append(min(loss, trial))
+        if trial < loss:
+            quiet = quiet + 1 if loss - trial < tolerance * loss else 0
+            theta, loss, normal = candidate, trial, None
             damping = max(damping / 3, 1e-9)
         else:
             damping *= 4
