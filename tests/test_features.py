@@ -258,6 +258,16 @@ SWING_LOG = (
 )
 
 
+def test_a_side_without_plays_up_to_a_cut_has_no_total_of_0(spark):
+    play = lambda seq, quarter, home, player, swing: (
+        "H", "A", "2024-01-01", quarter, 0, home, "regular", "make", None, player, None, "2-pt", 2018, seq, swing)
+    log = spark.createDataFrame([play(0, 1, "play", "h", -5), play(1, 2, "play", "h", 2), play(2, 4, None, "a", -4)], SWING_LOG)
+    found = snapshots.interval_snapshots(plan.prepare_plays(log), 4, "Swing", running=True).collect()
+    assert {r.Player for r in found} == {"h", "a"}
+    assert all(r.CumulativeTotalSwing == [-5, -3, -3, -3] for r in found)
+    assert {r.Player: r.CumulativeTeamSwing for r in found} == {"h": [-5, -3, -3, -3], "a": [0, 0, 0, -4]}
+
+
 def replayed(log, at_cut):
     """Per player and game the four scores at each cut, play by play."""
     found = {}

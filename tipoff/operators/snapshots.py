@@ -253,19 +253,21 @@ def running_tables(
         F.min("Season").alias("Season"), F.min("_order").alias("_first"),
         *[c.alias(f"_{level}{i}") for level in ("Player", "Team", "Opponent", "Total") for i, c in enumerate(highest(level))],
     ))
-    top = lambda level: F.array(*[F.coalesce(F.max(f"_{level}{i}"), F.lit(0)) for i in range(intervals)])
+    most = lambda level: [F.max(f"_{level}{i}") for i in range(intervals)]
+    top = lambda level: F.array(*[F.coalesce(m, F.lit(0)) for m in most(level)])
     players, n = materialize_counted(each.where(F.col("Player").isNotNull()).groupBy("Player", *game).agg(
         F.min("Season").alias("Season"), F.min_by("Home", "_first").alias("Home"), top("Player").alias(f"CumulativePlayer{statistic}"),
     ))
     sides = each.groupBy(*game, "Home").agg(
-        top("Team").alias("_Team"), top("Opponent").alias("_Opponent"), top("Total").alias("_Total"), F.count("Player").alias("_players"),
+        top("Team").alias("_Team"), top("Opponent").alias("_Opponent"), F.array(*most("Total")).alias("_Total"), F.count("Player").alias("_players"),
         F.max(f"_Total{intervals - 1}").isNotNull().alias("_played"),
     )
     own = lambda column, flag: F.max(F.when(F.col("Home") == flag, F.col(column)))
     scores = sides.groupBy(*game).agg(
         F.sum("_players").alias("Players"), F.bool_or("_played").alias("HasAttempts"),
         *[own(f"_{kind}", flag).alias(f"{side}{kind}{statistic}") for side, flag in SIDES.items() for kind in ("Team", "Opponent")],
-        F.array(*[F.max(F.col("_Total")[i]) for i in range(intervals)]).alias(f"Total{statistic}"),
+        # A side without a play up to a cut has no total there, which is not a total of 0.
+        F.array(*[F.coalesce(F.max(F.col("_Total")[i]), F.lit(0)) for i in range(intervals)]).alias(f"Total{statistic}"),
     )
     everything = plays.groupBy(*game).agg(
         F.min("Season").alias("Season"), F.count("*").alias("Plays"),
