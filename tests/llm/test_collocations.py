@@ -150,3 +150,29 @@ def test_pairs_are_shuffled_in_few_packed_rows(spark, monkeypatch):
     monkeypatch.setattr(cl, "HELD", 1)
     monkeypatch.setattr(cl, "ROWS", 2)
     assert collected(cl.collocations(frame(spark, rows), at_least=10, head=5)) == whole == slow(rows, 10)
+
+
+def test_counting_pairs_holds_little_at_a_time():
+    """3 million words, nearly all pairs different: what a task holds stays far below all of them."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    names = np.arange(1, 60_001, dtype=np.uint64)
+    task = cl._pair_counts(
+        SimpleNamespace(mapInArrow=lambda count, schema: count), [SimpleNamespace(value=(names, None, 0))], 2, 0, (1 << 64) - 1, 50
+    )
+
+    def batches():
+        for _ in range(30):
+            codes = rng.integers(1, 60_001, 100_000).astype("<i4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([codes]), pa.array([b""])], ["codes", "tails"])
+
+    tracemalloc.start()
+    try:
+        counted = sum(int(cl._from_planes(n).sum()) for batch in task(batches()) for n in batch.column(3).to_pylist())
+        assert counted > 2_900_000 and tracemalloc.get_traced_memory()[1] < 96 << 20
+    finally:
+        tracemalloc.stop()

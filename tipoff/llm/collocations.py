@@ -19,7 +19,7 @@ twice: to count words, and to write them as numbers that all lengths share.
 
 from collections.abc import Callable
 from hashlib import blake2b
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +31,12 @@ from tipoff.session import discard, materialize
 HEAD = 1 << 16  # units of each length that have a rank
 TILE = 1 << 10  # ranks along the side of a tile
 DENSE = 1 << 14  # pairs of a batch that fall into a tile counted cell by cell
-BATCH = 1 << 20  # words counted at a time
-PART = 1 << 18  # words of one written row of numbers
+BATCH = 1 << 18  # words whose pairs are counted at a time
+WORDS = 1 << 19  # words counted one by one at a time
+PART = 1 << 17  # words of one written row of numbers
 BITS = 1 << 25  # of the bitmap for units without a rank
-CACHE = 1 << 20  # different words of a task whose names are kept
-HELD = 1 << 21  # counted pairs that a task holds before it adds them up
+CACHE = 1 << 18  # different words of a task whose names are kept
+HELD = 1 << 19  # counted pairs that a task holds before it adds them up
 ROWS = 64  # of counted pairs that a task passes on at a time
 TRIES = 5
 
@@ -132,7 +133,7 @@ class Names(dict):
         return found
 
 
-def _batched(batches, name_of: Callable[[str, bytes], int], renew: bool, size_of: int = BATCH):
+def _batched(batches, name_of: Callable[[str, bytes], int], renew: bool, size_of: int):
     """(numbers of the words in order, 0 where a piece ends; numbers by language and word) of some words at a time.
 
     With ``renew`` every part begins with no known word.
@@ -162,7 +163,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches):
         place = iter(range(1, 1 << 62))
-        for numbers, known in _batched(batches, lambda lang, word: next(place), renew=True):
+        for numbers, known in _batched(batches, lambda lang, word: next(place), renew=True, size_of=WORDS):
             found, counts = np.unique(numbers, return_counts=True)
             at = dict(zip(found.tolist(), counts.tolist()))
             rows = [(lang, word.decode(), at[number]) for lang, own in known.items() for word, number in own.items() if number]
@@ -215,7 +216,7 @@ def _encoded(docs: DataFrame, words, mask: int) -> DataFrame:
 
 
 def _names(batches, single: Units):
-    """(names, ranks) of some million words at a time; 0 and -2 for a break."""
+    """(names, ranks) of ``BATCH`` words or more at a time; 0 and -2 for a break."""
     held, size = [], 0
     for row in ((c.as_py(), t.as_py()) for batch in batches for c, t in zip(batch.column(0), batch.column(1))):
         codes, tails = np.frombuffer(row[0], dtype="<i4").astype(np.int64), np.frombuffer(row[1], dtype="<u8")
@@ -297,6 +298,21 @@ def _pair_counts(encoded: DataFrame, levels: list, length: int, salt: int, mask:
     places; r is null), or of names (l and r; the bucket goes by the pair's name); n: their counts.
     """
 
+    def ranked_rows(stripes, held):
+        if held:
+            keys, counts = _summed(*zip(*held))
+            held.clear()
+            for bucket, place, own in stripes.dealt(keys):
+                yield bucket, _planes(np.diff(place, prepend=0)), None, _planes(counts[own])
+
+    def named_rows(held):
+        if held:
+            left, right, counts = _summed_names(held)
+            held.clear()
+            bucket = (_hashed(left, right, salt, mask) % np.uint64(buckets)).astype(np.int64)
+            for own in _by_bucket(bucket, buckets):
+                yield int(bucket[own[0]]), *(_planes(c[own]) for c in (left, right, counts))
+
     def count(batches):
         units = [Units(*u.value) for u in levels]
         across = np.uint64(len(units[0].names))
@@ -326,19 +342,10 @@ def _pair_counts(encoded: DataFrame, levels: list, length: int, salt: int, mask:
                     named_held.append(count_names(phrase[named], names[named + step]))
             if names is not None and sum(len(k) for k, _ in held) + sum(len(p[0]) for p in named_held) < HELD:
                 continue
-            rows = []
-            if held:
-                keys, counts = _summed(*zip(*held))
-                rows += [(bucket, _planes(np.diff(place, prepend=0)), None, _planes(counts[own])) for bucket, place, own in stripes.dealt(keys)]
-            if named_held:
-                left, right, counts = _summed_names(named_held)
-                bucket = (_hashed(left, right, salt, mask) % np.uint64(buckets)).astype(np.int64)
-                rows += [(int(bucket[own[0]]), *(_planes(c[own]) for c in (left, right, counts))) for own in _by_bucket(bucket, buckets)]
-            held, named_held = [], []
-            for some in range(0, len(rows), ROWS):
-                columns = zip(*rows[some:some + ROWS])
+            rows = chain(ranked_rows(stripes, held), named_rows(named_held))  # made as they go out, not all at once
+            while some := list(islice(rows, ROWS)):
                 kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "l", "r", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], ["bucket", "l", "r", "n"])
 
     return encoded.mapInArrow(count, "bucket int, l binary, r binary, n binary")
 
