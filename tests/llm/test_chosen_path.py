@@ -130,3 +130,19 @@ def test_words_with_one_checksum_still_count_apart():
     if pair:
         words = [b"a", pair[0], b"b", b"a", pair[1], b"b", b"c"]
         assert cp.sketch(words)[0] == len(cp.shingles(words))
+
+
+def test_pairs_just_below_a_link_are_not_passed_on(spark, monkeypatch):
+    """Texts of similarities around 0.7 share many places of their signatures; they are ruled out where they meet, pair by pair nothing comes out."""
+    random.seed(11)
+    base = [f"w{i}" for i in range(120)]
+    found = []
+    for i in range(80):
+        own = list(base)
+        for k in random.sample(range(0, 120, 2), 1 if i < 40 else 6):
+            own[k] = f"x{i}_{k}"
+        found.append(" ".join(own))
+    passed, real = [], cp.confirmed
+    monkeypatch.setattr(cp, "confirmed", lambda texts, pairs, **k: passed.append(pairs.count()) or real(texts, pairs, **k))
+    checked(spark, list(enumerate(found)))
+    assert sum(passed) <= len(found)

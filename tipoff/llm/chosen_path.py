@@ -1,14 +1,15 @@
 """Near-duplicate documents by a chosen-path set similarity join on word shingles.
 
 Every distinct text has a signature of minwise tokens. Independent trees start
-at bands of set sizes; a node picks a few places of the signature, and texts go
-down together where they have the same minwise token there. In every node all
-texts are first compared to one of them, drawn by a hash, which joins groups of
-copies without comparing all their pairs. A node whose texts are then not all
-of one class is compared exhaustively across classes if it has few texts, and
-branches again if it has many. Pairs whose signatures agree well enough are
-confirmed on the full sets of shingles, each once, and confirmed links are
-contracted to classes.
+at bands of set sizes; texts go down together where they have the same minwise
+tokens at the places of the signature that a path picks: some at once below
+the root, one more at every node below. A node of few texts is compared
+exhaustively: pairs across classes whose signatures agree well enough are
+confirmed on the full sets of shingles where the node is, and only links that
+join two classes come out, at most one a text. In a node of many all texts are
+compared to one of them, drawn by a hash, which joins groups of copies without
+all their pairs; it branches again if its texts are then not all of one class.
+Confirmed links are contracted to classes.
 """
 
 import zlib
@@ -30,13 +31,14 @@ from tipoff.session import discard, materialize, materialize_counted
 LIMITS = Limits(group_rows=200_000, block_rows=100_000, broadcast_rows=100_000, match_rows=200_000)
 
 PLACES = 64  # minwise tokens of a signature
-TREES, FIRST = 4, 4  # independent trees, branches at their roots
+TREES, PATH = 16, 3  # independent trees, places that the path to the nodes below their roots has: unlike texts with a common passage seldom meet
 WIDE, SHARE = 2, 4  # below, two branches down to depth WIDE, then one and for every SHAREth node another: 1 / similarity keeps work least
 DEEP = 24  # nodes this deep are compared exhaustively whatever their size; only texts that are nearly equal get there together
-AGREE = 38  # places of two signatures that agree at least where sets are compared; a linked pair agrees in 51 on average, or more
+AGREE = 36  # places of two signatures that agree at least where sets are compared; a linked pair agrees in 51 on average, or more
 LEAF = 1024  # a node with no more texts is compared exhaustively
 LEAST = 4  # smaller sets are linked only if they are equal
 CHUNK = 2048  # shingles hashed at a time
+HELD = 1 << 24  # bytes of texts and signatures that a task takes at a time, or one node of few texts
 
 _UPPER = bytes(range(256)).replace(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -95,25 +97,25 @@ def bands(size: int, percent: int) -> list[int]:
 
 
 def first_nodes(least: np.ndarray, size: int, percent: int) -> np.ndarray:
-    """Nodes below the roots of all trees: a band, a place of the signature, and the token there."""
-    places = np.arange(TREES * FIRST, dtype=np.uint64)
-    found = [
-        _mixed(_mixed(least[:TREES * FIRST]) + (places << np.uint64(32)) + np.uint64(b + 1)) for b in bands(size, percent)
-    ]
+    """Nodes below the roots of all trees: a band, places of the signature, and the tokens there."""
+    trees, path = np.arange(TREES, dtype=np.uint64), np.zeros(TREES, dtype=np.uint64)
+    for tokens in least[:TREES * PATH].reshape(PATH, TREES):
+        path = _mixed(path ^ _mixed(tokens))
+    found = [_mixed(path + (trees << np.uint64(32)) + np.uint64(b + 1)) for b in bands(size, percent)]
     return np.concatenate(found).view(np.int64)
 
 
 def next_nodes(nodes: np.ndarray, signatures: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Nodes below, and the row each comes from: a node draws places beyond those of the roots; the tokens there tell its children apart."""
     keys = nodes.view(np.uint64)
-    rest, rows = PLACES - TREES * FIRST, np.arange(len(keys))
+    rest, rows = PLACES - TREES * PATH, np.arange(len(keys))
     drawn = _mixed(keys + np.uint64(1))
     first = drawn % np.uint64(rest)
     step = np.uint64(1) + (drawn >> np.uint64(32)) % np.uint64(rest - 1)
     second = rows if depth <= WIDE else np.flatnonzero((drawn >> np.uint64(20)) % np.uint64(SHARE) == 0)
     out = []
     for j, some in enumerate((rows, second)):
-        place = TREES * FIRST + ((first[some] + np.uint64(j) * step[some]) % np.uint64(rest)).astype(np.int64)
+        place = TREES * PATH + ((first[some] + np.uint64(j) * step[some]) % np.uint64(rest)).astype(np.int64)
         token = signatures[some, place].astype(np.uint64)
         out.append(_mixed(keys[some] ^ _mixed((token << np.uint64(8)) + place.astype(np.uint64))))
     return np.concatenate(out).view(np.int64), np.concatenate([rows, second])
@@ -159,6 +161,79 @@ def sketched(docs: DataFrame, *, id_col: str, text_col: str, percent: int, seed:
     return rows.mapInArrow(compute, f"id {kind}, digest binary, size long, tokens binary, nodes array<long>, text string")
 
 
+def _dense(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the distinct shingles of every text, one after the other, equal for equal shingles; and where each text's begin."""
+    known: dict = {}
+    found = []
+    for text in texts:
+        words = words_of(text)
+        codes = np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int64, count=len(words))
+        found.append(np.unique(codes[:-1] << 32 | codes[1:]))
+    return np.unique(np.concatenate(found), return_inverse=True)[1], np.cumsum([0, *map(len, found)])
+
+
+def joins(rows: pa.RecordBatch, agree: int, percent: int) -> list[tuple[int, int]]:
+    """Linked pairs of rows of one node that join classes, no two of them the same classes.
+
+    ``rows``: whole nodes of node, digest, size, tokens, root, text, sorted by
+    node. Pairs across classes whose signatures agree are compared by their full sets.
+    """
+    nodes, sizes, tokens = rows.column(0).to_numpy(), rows.column(2).to_numpy(), _array(rows.column(3))
+    root = rows.column(4).dictionary_encode().indices.to_numpy().copy()
+    near = np.zeros(len(nodes), dtype=bool)
+    for step in range(1, len(nodes)):
+        left = np.flatnonzero(nodes[:-step] == nodes[step:])
+        if not len(left):
+            break
+        left = left[root[left] != root[left + step]]
+        left = left[_agreeing(tokens[left], tokens[left + step], sizes[left], sizes[left + step], percent) >= agree]
+        near[left] = near[left + step] = True
+    own = np.flatnonzero(near)
+    if not len(own):
+        return []
+    nodes, sizes, tokens, root = nodes[own], sizes[own], tokens[own], root[own]
+    shared, begin = _dense(rows.column(5).take(pa.array(own)).to_pylist())
+    n, mark = np.diff(begin), np.zeros(len(shared), dtype=bool)
+    found, ends = [], np.searchsorted(nodes, nodes, "right")
+    for i, end in enumerate(ends):
+        others = i + 1 + np.flatnonzero(root[i + 1:end] != root[i])
+        others = others[_agreeing(tokens[others], tokens[i], sizes[others], sizes[i], percent) >= agree]
+        if not len(others):
+            continue
+        mine = shared[begin[i]:begin[i + 1]]
+        mark[mine] = True
+        both = np.array([np.count_nonzero(mark[shared[begin[j]:begin[j + 1]]]) for j in others])
+        mark[mine] = False
+        for j in others[100 * both >= percent * (n[i] + n[others] - both)]:
+            if root[i] != root[j]:
+                root[root == root[j]] = root[i]
+                found.append((int(own[i]), int(own[j])))
+    return found
+
+
+def _links_inside(members: DataFrame, agree: int, percent: int, leaf: int) -> DataFrame:
+    """Confirmed links that join classes inside nodes of at most ``leaf`` texts (node, digest, size, tokens, root, text)."""
+
+    def compare(batches):
+        held = None
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held = batch if held is None or not held.num_rows else pa.concat_batches([held, batch])
+            while held is not None and held.num_rows and (batch is None or held.num_rows > leaf):  # a whole node at least
+                nodes = held.column(0).to_numpy()
+                stop = min(len(nodes), max(leaf, 1), max(1, HELD * len(nodes) // max(held.nbytes, 1)))
+                if stop < len(nodes):  # where a node ends: the last that ends before, or the first
+                    stop = int(np.searchsorted(nodes, nodes[stop])) or int(np.searchsorted(nodes, nodes[0], "right"))
+                found = joins(held.slice(0, stop), agree, percent)
+                names = held.column(1)
+                a, b = (names.take(pa.array([pair[end] for pair in found], pa.int64())) for end in (0, 1))
+                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+                held = held.slice(stop)
+
+    own = members.select("node", "digest", "size", "tokens", "root", "text").repartition("node").sortWithinPartitions("node")
+    return _ordered(own.mapInArrow(compare, "a binary, b binary"), "a", "b")
+
+
 def _compared(members: DataFrame, agree: int, percent: int, leaf: int, every: bool) -> DataFrame:
     """Pairs of texts of unlike root in one small node (node, digest, size, tokens, root) whose signatures agree.
 
@@ -237,6 +312,13 @@ def _below(members: DataFrame, depth: int) -> DataFrame:
     return members.select("node", "digest", "tokens").mapInArrow(branch, "node long, digest binary")
 
 
+def _each(texts: DataFrame, rows: DataFrame, columns: list[str], limits: Limits) -> DataFrame:
+    """digest and more columns, once for each digest of ``rows``."""
+    wanted, n = materialize_counted(rows.select("digest").distinct())
+    named = texts.select("digest", *columns).join(small(wanted, n, limits), "digest", "left_semi")
+    return named.groupBy("digest").agg(*[F.any_value(c).alias(c) for c in columns])
+
+
 def confirmed(texts: DataFrame, pairs: DataFrame, *, percent: int, limits: Limits) -> DataFrame:
     """Those of the pairs lo, hi whose full sets of shingles are similar enough; ``texts``: written rows of digest, text."""
 
@@ -253,9 +335,7 @@ def confirmed(texts: DataFrame, pairs: DataFrame, *, percent: int, limits: Limit
                 linked.append(100 * both >= percent * (len(one) + len(two) - both))
             yield batch.select(["lo", "hi"]).filter(pa.array(linked, pa.bool_()))
 
-    wanted, n = materialize_counted(pairs.select(F.explode(F.array("lo", "hi")).alias("digest")).distinct())
-    named = texts.select("digest", "text").join(small(wanted, n, limits), "digest", "left_semi")
-    named = materialize(named.groupBy("digest").agg(F.any_value("text").alias("text")))
+    named = materialize(_each(texts, pairs.select(F.explode(F.array("lo", "hi")).alias("digest")), ["text"], limits))
     left, right = (named.withColumnsRenamed({"digest": end, "text": name}) for end, name in (("lo", "a"), ("hi", "b")))
     # Adaptive joins split a text that very many pairs share.
     both = pairs.join(left, "lo").join(right, "hi").select("lo", "hi", "a", "b")
@@ -299,8 +379,12 @@ class Classes:
             chosen, some = materialize_counted(best("lo", "hi").union(best("hi", "lo")).distinct())
             self.put_off = pairs.join(chosen, ["lo", "hi"], "left_anti") if some < n else None
             pairs = chosen
-        links, n = materialize_counted(confirmed(self.texts, pairs, percent=self.percent, limits=self.limits))
         self.checked = pairs if self.checked is None else self.checked.union(pairs)
+        self.join(confirmed(self.texts, pairs, percent=self.percent, limits=self.limits))
+
+    def join(self, links: DataFrame) -> None:
+        """Join the classes of confirmed links lo, hi."""
+        links, n = materialize_counted(links)
         if not n:
             return
         if self.found is not None:
@@ -308,6 +392,12 @@ class Classes:
         self.found = components(links, "lo", "hi", limits=self.limits)
 
 
+def _mixed_nodes(rooted: DataFrame) -> DataFrame:
+    """Nodes, and their rows, that have texts of more than one class."""
+    mixed = rooted.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("rows"))
+    return mixed.where("least != most").select("node", "rows")
+
+
 def links(
     sets: DataFrame, texts: DataFrame, *, percent: int = 80, limits: Limits = LIMITS, leaf: int = LEAF, agree: int = AGREE,
 ) -> tuple[DataFrame | None, list[int]]:
@@ -326,26 +416,34 @@ def links(
             join_dimension(members, nodes.withColumn("texts", F.col("rows")), ["node"], rows="rows", spread="digest", limits=limits, row_bound=n)
         )
         held.append(some)
-        order = F.struct(F.xxhash64("node", "digest").alias("order"), "digest")
-        pivots = materialize(
-            placed.groupBy("node").agg(F.min(order)["digest"].alias("pivot"), F.count("*").alias("rows")).join(named, "pivot")
-        )
-        around = join_dimension(placed, pivots, ["node"], rows="rows", spread="digest", limits=limits, row_bound=n)
-        classes.learn(_to_pivots(around.join(known, "digest"), agree, percent))
-        rooted = classes.rooted(placed)
-        mixed = rooted.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("rows"))
-        mixed, n = materialize_counted(mixed.where("least != most").select("node", "rows"))
-        if n:
-            open_nodes = join_dimension(placed, mixed, ["node"], rows="rows", spread="digest", limits=limits, row_bound=n)
-            least = leaf if len(held) < DEEP else some
-            few = open_nodes.where(F.col("texts") <= least).join(known, "digest")
+        joined = lambda rows, dim: join_dimension(rows, dim, ["node"], rows="rows", spread="digest", limits=limits, row_bound=n)
+        large, many = materialize_counted(nodes.where(F.col("rows") > leaf))
+        if many:
+            order = F.struct(F.xxhash64("node", "digest").alias("order"), "digest")
+            around = placed.where(F.col("texts") > leaf)
+            pivots = around.groupBy("node").agg(F.min(order)["digest"].alias("pivot"), F.count("*").alias("rows"))
+            pivots = materialize(pivots.join(named, "pivot"))
+            classes.learn(_to_pivots(joined(around, pivots).join(known, "digest"), agree, percent))
+            discard(pivots)
+        few = classes.rooted(placed.where(F.col("texts") <= leaf)).select("node", "digest", "root")
+        if classes.found is not None:
+            few = joined(few, _mixed_nodes(few)).select("node", "digest", "root")
+        few, some = materialize_counted(few)
+        if some:
+            whole = _each(texts, few, ["size", "tokens", "text"], limits)
+            classes.join(_links_inside(few.join(whole, "digest"), agree, percent, leaf))
+        if many:
+            rooted = classes.rooted(placed.where(F.col("texts") > leaf))
+            members, many = materialize_counted(joined(rooted, _mixed_nodes(rooted)).select("node", "digest"))
+        if many and len(held) < DEEP:
+            members, many = materialize_counted(_below(members.join(known, "digest"), len(held)))
+        elif many:
             for every in (False, True):  # first what joins groups of copies, then whatever is left across classes
-                classes.learn(_compared(classes.rooted(few), agree, percent, leaf, every), every)
-            large = open_nodes.where(F.col("texts") > least).select("node", "digest")
-            members, n = materialize_counted(_below(large.join(known, "digest"), len(held)))
-        for done in (placed, nodes, pivots):
+                classes.learn(_compared(classes.rooted(members.join(known, "digest")), agree, percent, leaf, every), every)
+            many = 0
+        for done in (placed, nodes, large, few):
             discard(done)
-        if not n:
+        if not many:
             break
     classes.learn(None, every=True)
     return classes.found, held
@@ -401,7 +499,7 @@ def missed(similarity: float, depth: int, agree: int = AGREE) -> float:
     for below in range(depth - 1, 0, -1):
         one = 1 - similarity + similarity * dead
         dead = one * one if below <= WIDE else one * (1 - 1 / SHARE) + one * one / SHARE
-    unmet = (1 - similarity + similarity * dead) ** (TREES * FIRST)
+    unmet = (1 - similarity ** PATH * (1 - dead)) ** TREES
     differ = sum(comb(PLACES, k) * similarity ** k * (1 - similarity) ** (PLACES - k) for k in range(agree))
     return unmet + differ
 
