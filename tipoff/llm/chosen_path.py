@@ -36,9 +36,10 @@ WIDE, SHARE = 2, 4  # below, two branches down to depth WIDE, then one and for e
 DEEP = 24  # nodes this deep are compared exhaustively whatever their size; only texts that are nearly equal get there together
 AGREE = 36  # places of two signatures that agree at least where sets are compared; a linked pair agrees in 51 on average, or more
 LEAF = 1024  # a node with no more texts is compared exhaustively
+SOONER = 5  # a node in so many is compared before the others, which then compare only what is not of one class yet
 LEAST = 4  # smaller sets are linked only if they are equal
 CHUNK = 2048  # shingles hashed at a time
-HELD = 1 << 24  # bytes of texts and signatures that a task takes at a time, or one node of few texts
+HELD = 1 << 22  # bytes of texts and signatures that a task takes at a time, or one node of few texts
 
 _UPPER = bytes(range(256)).replace(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -172,26 +173,32 @@ def _dense(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(found), return_inverse=True)[1], np.cumsum([0, *map(len, found)])
 
 
-def joins(rows: pa.RecordBatch, agree: int, percent: int) -> list[tuple[int, int]]:
-    """Linked pairs of rows of one node that join classes, no two of them the same classes.
-
-    ``rows``: whole nodes of node, digest, size, tokens, root, text, sorted by
-    node. Pairs across classes whose signatures agree are compared by their full sets.
-    """
+def near(rows: pa.RecordBatch, agree: int, percent: int) -> np.ndarray:
+    """Rows whose signature agrees with one of another class in their node; ``rows``: whole nodes of node, digest, size, tokens, root, sorted."""
     nodes, sizes, tokens = rows.column(0).to_numpy(), rows.column(2).to_numpy(), _array(rows.column(3))
-    root = rows.column(4).dictionary_encode().indices.to_numpy().copy()
-    near = np.zeros(len(nodes), dtype=bool)
+    root = rows.column(4).dictionary_encode().indices.to_numpy()
+    found = np.zeros(len(nodes), dtype=bool)
     for step in range(1, len(nodes)):
         left = np.flatnonzero(nodes[:-step] == nodes[step:])
         if not len(left):
             break
         left = left[root[left] != root[left + step]]
         left = left[_agreeing(tokens[left], tokens[left + step], sizes[left], sizes[left + step], percent) >= agree]
-        near[left] = near[left + step] = True
-    own = np.flatnonzero(near)
+        found[left] = found[left + step] = True
+    return np.flatnonzero(found)
+
+
+def joins(rows: pa.RecordBatch, agree: int, percent: int) -> list[tuple[int, int]]:
+    """Linked pairs of rows of one node that join classes, no two of them the same classes.
+
+    ``rows``: whole nodes of node, digest, size, tokens, root, text, sorted by
+    node. Pairs across classes whose signatures agree are compared by their full sets.
+    """
+    own = near(rows, agree, percent)
     if not len(own):
         return []
-    nodes, sizes, tokens, root = nodes[own], sizes[own], tokens[own], root[own]
+    nodes, sizes, tokens = rows.column(0).to_numpy()[own], rows.column(2).to_numpy()[own], _array(rows.column(3))[own]
+    root = rows.column(4).dictionary_encode().indices.to_numpy()[own]
     shared, begin = _dense(rows.column(5).take(pa.array(own)).to_pylist())
     n, mark = np.diff(begin), np.zeros(len(shared), dtype=bool)
     found, ends = [], np.searchsorted(nodes, nodes, "right")
@@ -211,24 +218,40 @@ def joins(rows: pa.RecordBatch, agree: int, percent: int) -> list[tuple[int, int
     return found
 
 
+def _whole_nodes(batches, leaf: int):
+    """Rows sorted by node, some whole nodes of at most ``leaf`` rows at a time."""
+    held = None
+    for batch in chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            held = batch if held is None or not held.num_rows else pa.concat_batches([held, batch])
+        while held is not None and held.num_rows and (batch is None or held.num_rows > leaf):
+            nodes = held.column(0).to_numpy()
+            stop = min(len(nodes), max(leaf, 1), max(1, HELD * len(nodes) // max(held.nbytes, 1)))
+            if stop < len(nodes):  # where a node ends: the last that ends before, or the first
+                stop = int(np.searchsorted(nodes, nodes[stop])) or int(np.searchsorted(nodes, nodes[0], "right"))
+            yield held.slice(0, stop)
+            held = held.slice(stop)
+
+
+def _near_rows(members: DataFrame, agree: int, percent: int, leaf: int) -> DataFrame:
+    """node, digest, root of the members (node, digest, size, tokens, root) that have to be compared by their texts."""
+
+    def compare(batches):
+        for rows in _whole_nodes(batches, leaf):
+            yield rows.select(["node", "digest", "root"]).take(pa.array(near(rows, agree, percent)))
+
+    own = members.select("node", "digest", "size", "tokens", "root").repartition("node").sortWithinPartitions("node")
+    return own.mapInArrow(compare, "node long, digest binary, root binary")
+
+
 def _links_inside(members: DataFrame, agree: int, percent: int, leaf: int) -> DataFrame:
     """Confirmed links that join classes inside nodes of at most ``leaf`` texts (node, digest, size, tokens, root, text)."""
 
     def compare(batches):
-        held = None
-        for batch in chain(batches, [None]):
-            if batch is not None and batch.num_rows:
-                held = batch if held is None or not held.num_rows else pa.concat_batches([held, batch])
-            while held is not None and held.num_rows and (batch is None or held.num_rows > leaf):  # a whole node at least
-                nodes = held.column(0).to_numpy()
-                stop = min(len(nodes), max(leaf, 1), max(1, HELD * len(nodes) // max(held.nbytes, 1)))
-                if stop < len(nodes):  # where a node ends: the last that ends before, or the first
-                    stop = int(np.searchsorted(nodes, nodes[stop])) or int(np.searchsorted(nodes, nodes[0], "right"))
-                found = joins(held.slice(0, stop), agree, percent)
-                names = held.column(1)
-                a, b = (names.take(pa.array([pair[end] for pair in found], pa.int64())) for end in (0, 1))
-                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
-                held = held.slice(stop)
+        for rows in _whole_nodes(batches, leaf):
+            found, names = joins(rows, agree, percent), rows.column(1)
+            a, b = (names.take(pa.array([pair[end] for pair in found], pa.int64())) for end in (0, 1))
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
     own = members.select("node", "digest", "size", "tokens", "root", "text").repartition("node").sortWithinPartitions("node")
     return _ordered(own.mapInArrow(compare, "a binary, b binary"), "a", "b")
@@ -425,13 +448,16 @@ def links(
             pivots = materialize(pivots.join(named, "pivot"))
             classes.learn(_to_pivots(joined(around, pivots).join(known, "digest"), agree, percent))
             discard(pivots)
-        few = classes.rooted(placed.where(F.col("texts") <= leaf)).select("node", "digest", "root")
-        if classes.found is not None:
-            few = joined(few, _mixed_nodes(few)).select("node", "digest", "root")
-        few, some = materialize_counted(few)
-        if some:
-            whole = _each(texts, few, ["size", "tokens", "text"], limits)
-            classes.join(_links_inside(few.join(whole, "digest"), agree, percent, leaf))
+        sooner = F.pmod("node", F.lit(SOONER)) == 0
+        for some_nodes in (sooner, ~sooner):
+            few = classes.rooted(placed.where((F.col("texts") <= leaf) & some_nodes)).select("node", "digest", "root")
+            if classes.found is not None:
+                few = joined(few, _mixed_nodes(few)).select("node", "digest", "root")
+            few, some = materialize_counted(_near_rows(few.join(known, "digest"), agree, percent, leaf))
+            if some:
+                whole = _each(texts, few, ["size", "tokens", "text"], limits)
+                classes.join(_links_inside(few.join(whole, "digest"), agree, percent, leaf))
+            discard(few)
         if many:
             rooted = classes.rooted(placed.where(F.col("texts") > leaf))
             members, many = materialize_counted(joined(rooted, _mixed_nodes(rooted)).select("node", "digest"))
@@ -441,7 +467,7 @@ def links(
             for every in (False, True):  # first what joins groups of copies, then whatever is left across classes
                 classes.learn(_compared(classes.rooted(members.join(known, "digest")), agree, percent, leaf, every), every)
             many = 0
-        for done in (placed, nodes, large, few):
+        for done in (placed, nodes, large):
             discard(done)
         if not many:
             break
