@@ -88,6 +88,31 @@ def test_large_nodes_are_pivoted_and_branched(spark):
     checked(spark, list(enumerate(found)), leaf=32)
 
 
+def test_few_outside_the_largest_class_do_not_make_a_node_branch(spark, monkeypatch):
+    """A large group of near copies, and some texts just too unlike it: these meet all the others in blocks."""
+    random.seed(12)
+    base = [f"w{i}" for i in range(60)]
+    edited = lambda name, places: " ".join(f"{name}_{k}" if k in places else w for k, w in enumerate(base))
+    found = [edited(f"x{i}", random.sample(range(60), 1)) for i in range(150)]
+    found += [edited(f"y{i}", random.sample(range(1, 59, 2), 4)) for i in range(6)]
+    found += [found[-1].replace("w58", "z"), found[-2].replace("w0", "z")]
+    monkeypatch.setattr(cp, "_below", lambda members, depth: pytest.fail(f"branched at depth {depth}"))
+    checked(spark, list(enumerate(found)), leaf=32)
+    checked(spark, list(enumerate(found)), leaf=32, limits=TINY)
+
+
+def test_whole_nodes_come_together():
+    """A node of more rows than a batch has is not cut."""
+    import pyarrow as pa
+
+    nodes = [1] * 3 + [2] * 25 + [3] + [4] * 9
+    rows = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(range(len(nodes)))], ["node", "at"])
+    for size in (1, 4, 10, 40):
+        got = [b.to_pydict() for b in cp._whole_nodes((rows.slice(i, size) for i in range(0, len(nodes), size)), 5)]
+        assert [at for b in got for at in b["at"]] == list(range(len(nodes)))
+        assert sorted(n for b in got for n in set(b["node"])) == [1, 2, 3, 4]
+
+
 def test_odd_rows(spark):
     rows = [(i, t) for i, t in enumerate(ODD)]
     checked(spark, rows + rows)

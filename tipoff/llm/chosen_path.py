@@ -8,7 +8,8 @@ exhaustively: pairs across classes whose signatures agree well enough are
 confirmed on the full sets of shingles where the node is, and only links that
 join two classes come out, at most one a text. In a node of many all texts are
 compared to one of them, drawn by a hash, which joins groups of copies without
-all their pairs; it branches again if its texts are then not all of one class.
+all their pairs. Few texts outside its largest class then meet all the others,
+which are dealt out in blocks; if they are many, the node branches again.
 Confirmed links are contracted to classes.
 """
 
@@ -36,8 +37,10 @@ WIDE, SHARE = 2, 4  # below, two branches down to depth WIDE, then one and for e
 DEEP = 24  # nodes this deep are compared exhaustively whatever their size; only texts that are nearly equal get there together
 AGREE = 36  # places of two signatures that agree at least where sets are compared; a linked pair agrees in 51 on average, or more
 LEAF = 1024  # a node with no more texts is compared exhaustively
+OTHERS = 2  # a larger node, if it has at most so many times LEAF texts outside its largest class: these with all, in blocks
 SOONER = 5  # a node in so many is compared before the others, which then compare only what is not of one class yet
 LEAST = 4  # smaller sets are linked only if they are equal
+EDGES = 10_000  # links to a task, about, where they are contracted
 CHUNK = 2048  # shingles hashed at a time
 HELD = 1 << 22  # bytes of texts and signatures that a task takes at a time, or one node of few texts
 
@@ -219,14 +222,17 @@ def joins(rows: pa.RecordBatch, agree: int, percent: int) -> list[tuple[int, int
 
 
 def _whole_nodes(batches, leaf: int):
-    """Rows sorted by node, some whole nodes of at most ``leaf`` rows at a time."""
+    """Rows sorted by node, some whole nodes at a time: about ``leaf`` rows, or one node of more."""
     held = None
     for batch in chain(batches, [None]):
         if batch is not None and batch.num_rows:
             held = batch if held is None or not held.num_rows else pa.concat_batches([held, batch])
         while held is not None and held.num_rows and (batch is None or held.num_rows > leaf):
             nodes = held.column(0).to_numpy()
-            stop = min(len(nodes), max(leaf, 1), max(1, HELD * len(nodes) // max(held.nbytes, 1)))
+            whole = len(nodes) if batch is None else int(np.searchsorted(nodes, nodes[-1]))  # the last node may go on
+            if not whole:
+                break
+            stop = min(whole, max(leaf, 1), max(1, HELD * len(nodes) // max(held.nbytes, 1)))
             if stop < len(nodes):  # where a node ends: the last that ends before, or the first
                 stop = int(np.searchsorted(nodes, nodes[stop])) or int(np.searchsorted(nodes, nodes[0], "right"))
             yield held.slice(0, stop)
@@ -245,7 +251,7 @@ def _near_rows(members: DataFrame, agree: int, percent: int, leaf: int) -> DataF
 
 
 def _links_inside(members: DataFrame, agree: int, percent: int, leaf: int) -> DataFrame:
-    """Confirmed links that join classes inside nodes of at most ``leaf`` texts (node, digest, size, tokens, root, text)."""
+    """Confirmed links that join classes inside nodes or blocks (node, digest, size, tokens, root, text)."""
 
     def compare(batches):
         for rows in _whole_nodes(batches, leaf):
@@ -371,6 +377,7 @@ class Classes:
     def __init__(self, texts: DataFrame, percent: int, limits: Limits):
         self.texts, self.percent, self.limits = texts, percent, limits
         self.found = self.checked = self.put_off = None
+        self.links = 0  # confirmed so far: the edges of the stars are no more
 
     def rooted(self, rows: DataFrame, name: str = "digest", root: str = "root") -> DataFrame:
         """``rows`` with the class of a column."""
@@ -412,7 +419,8 @@ class Classes:
             return
         if self.found is not None:
             links = links.union(self.found.where("node != root").select(F.col("root").alias("lo"), F.col("node").alias("hi")))
-        self.found = components(links, "lo", "hi", limits=self.limits)
+        self.links += n
+        self.found = components(links, "lo", "hi", limits=self.limits, tasks=8 + self.links // EDGES)
 
 
 def _mixed_nodes(rooted: DataFrame) -> DataFrame:
@@ -421,6 +429,20 @@ def _mixed_nodes(rooted: DataFrame) -> DataFrame:
     return mixed.where("least != most").select("node", "rows")
 
 
+def _largest_classes(rooted: DataFrame) -> DataFrame:
+    """Nodes that have texts of more than one class: rows, their largest class, and rows outside it."""
+    each = rooted.groupBy("node", "root").agg(F.count("*").alias("own"))
+    found = each.groupBy("node").agg(F.sum("own").alias("rows"), F.max(F.struct("own", "root")).alias("most"))
+    return found.select("node", "rows", F.col("most.root").alias("main"), F.expr("rows - most.own").alias("others")).where("others > 0")
+
+
+def _blocks(rows: DataFrame, leaf: int) -> DataFrame:
+    """Blocks (node, digest, root) of nodes (node, digest, root, main, others, texts): texts of the largest class are dealt out, others go to each block."""
+    blocks = F.ceil((F.col("texts") - F.col("others")) / leaf).cast("int")
+    own = F.when(F.col("root") == F.col("main"), F.array(F.pmod(F.xxhash64("digest"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
+    return rows.withColumn("block", F.explode(own)).select(F.xxhash64("node", "block").alias("node"), "digest", "root")
+
+
 def links(
     sets: DataFrame, texts: DataFrame, *, percent: int = 80, limits: Limits = LIMITS, leaf: int = LEAF, agree: int = AGREE,
 ) -> tuple[DataFrame | None, list[int]]:
@@ -449,17 +471,24 @@ def links(
             classes.learn(_to_pivots(joined(around, pivots).join(known, "digest"), agree, percent))
             discard(pivots)
         sooner = F.pmod("node", F.lit(SOONER)) == 0
-        for some_nodes in (sooner, ~sooner) if len(held) == 1 else (F.lit(True),):
+        rounds = (sooner, ~sooner) if len(held) == 1 else (F.lit(True),)
+        for at, some_nodes in enumerate(rounds, 1):
             few = classes.rooted(placed.where((F.col("texts") <= leaf) & some_nodes)).select("node", "digest", "root")
             if classes.found is not None:
                 few = joined(few, _mixed_nodes(few)).select("node", "digest", "root")
+            if many and at == len(rounds):
+                around = classes.rooted(placed.where(F.col("texts") > leaf))
+                mixed = materialize(_largest_classes(around))
+                blocked = F.col("others") <= OTHERS * leaf
+                few = few.union(_blocks(joined(around, mixed.where(blocked)), leaf))
+                wide, many = materialize_counted(mixed.where(~blocked).select("node", "rows"))
             few, some = materialize_counted(_near_rows(few.join(known, "digest"), agree, percent, leaf))
             if some:
                 whole = _each(texts, few, ["size", "tokens", "text"], limits)
                 classes.join(_links_inside(few.join(whole, "digest"), agree, percent, leaf))
             discard(few)
         if many:
-            rooted = classes.rooted(placed.where(F.col("texts") > leaf))
+            rooted = classes.rooted(joined(placed, wide))
             members, many = materialize_counted(joined(rooted, _mixed_nodes(rooted)).select("node", "digest"))
         if many and len(held) < DEEP:
             members, many = materialize_counted(_below(members.join(known, "digest"), len(held)))
