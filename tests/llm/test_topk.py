@@ -1,9 +1,12 @@
 """Exact search against brute force."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tipoff.llm import topk
 from tipoff.llm.topk import Search, exact_top_k, segment_statistics
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -81,3 +84,51 @@ def test_sums_at_the_edge_of_doubles():
 
     a, b = np.array([[2.0**31, 1.0, -3.0]]), np.array([[2.0**31, 1.0, 1.0]])
     assert scores(a, b).tolist() == [2**62 - 2]
+
+
+def test_memory_of_a_full_block_does_not_depend_on_pruning():
+    random = np.random.default_rng(3)
+    rows = np.floor(256 * random.standard_normal((4608, 64)))  # without structure: the bounds leave every pair
+    search = Search(np.arange(4096), rows[:4096], 5)
+    tracemalloc.start()
+    for at in (0, 4096):
+        search.add(np.arange(at, at + 512), rows[at:at + 512])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+
+
+@pytest.mark.parametrize("times", [1, 1e4, 1e6])  # products exact in floats, in doubles, in Python's numbers
+@pytest.mark.parametrize("walk", [False, True])  # whole tiles, single pairs
+@pytest.mark.parametrize("few", [1 / 64, 2.0])
+def test_tiles_of_any_size_find_the_same(monkeypatch, times, walk, few):
+    monkeypatch.setattr(topk, "PAIRS", 150)
+    monkeypatch.setattr(topk, "NUMBERS", 100)
+    monkeypatch.setattr(topk, "FEW", few)
+    random = np.random.default_rng(4)
+    rows = random.standard_normal((300, 24))
+    rows = np.floor(40 * (rows.cumsum(1) if walk else rows)) * times
+    rows[40:80] = rows[7]  # ties
+    rows[90] = 0
+    ids = random.permutation(np.arange(300))
+    ids[200:220] = ids[100:120]  # other rows of an id
+    search = Search(ids[:20], rows[:20], 4)
+    for at in range(0, 300, 70):
+        search.add(ids[at:at + 70], rows[at:at + 70])
+    want = []
+    for q in range(20):
+        score = {}
+        for i, row in zip(ids.tolist(), rows.tolist()):
+            if i != ids[q]:
+                s = sum(int(a) * int(b) for a, b in zip(rows[q].tolist(), row))
+                score[i] = max(s, score.get(i, s))
+        want += [(q, s, i) for i, s in sorted(score.items(), key=lambda x: (-x[1], x[0]))[:4]]
+    assert list(map(tuple, search.result().tolist())) == want
+
+
+def test_wide_queries_go_out_in_smaller_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "HELD", 64)
+    random = np.random.default_rng(6)
+    rows = [(i, random.standard_normal(30).astype("f4").tolist(), 0) for i in range(25)]
+    got = exact_top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 5 == 0, k=3)
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute(rows, 3)

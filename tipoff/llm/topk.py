@@ -7,13 +7,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tipoff.operators.ordered import with_position
-from tipoff.session import new_path
+from tipoff.session import discard, materialize, materialize_counted, new_path
 
 SCALE = 256
 LEVELS = (1, 4, 16)  # segments per vector
 BLOCK = 4096  # queries broadcast at a time
 ROWS = 512  # candidates compared at a time
+PAIRS = 1 << 19  # pairs of a query and a candidate in a tile
+NUMBERS = 1 << 20  # components of single pairs fetched at a time
+HELD = 1 << 22  # components of the queries broadcast at a time, at most
+FEW = 1 / 64  # of a tile: from here on single pairs are cheaper than a product of matrices
 EXACT = 1 << 53  # below it, sums of whole numbers in doubles are exact
+EXACT_FLOAT = 1 << 24  # and in floats
+SLACK = {np.float32: 1e-4, np.float64: 1e-9}
+NONE = np.iinfo(np.int64).min  # no score
 RESULT = "query_id long, rank int, vec_id long, score long"
 
 
@@ -72,39 +79,95 @@ def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 class Search:
-    """The k best candidates of each query of one block among the rows seen so far."""
+    """The k best candidates of each query of one block among the rows seen so far.
+
+    Candidates meet the queries in tiles of at most PAIRS pairs. A bound is a product of matrices over a
+    whole tile until it leaves few pairs, which are then fetched, NUMBERS components at a time. So what a tile takes
+    depends on PAIRS and NUMBERS, not on how much the bounds prune.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, levels=LEVELS):
         self.ids, self.vectors, self.k = ids, vectors, k
         self.levels = levels
-        self.statistics = [segment_statistics(vectors, s) for s in levels]
+        self.norm = largest_norm(vectors)
+        self.held = {np.float64: [*(segment_statistics(vectors, s) for s in levels), vectors]}
         self.best = np.empty((0, 3), dtype=np.int64)  # query place, score, candidate
-        self.least = np.full(len(ids), -np.inf)  # k-th best score, once there are k
-        self.compared = 0
+        self.least = np.full(len(ids), NONE)  # k-th best score, once there are k
+        self.last = np.full(len(ids), np.iinfo(np.int64).max)  # and whose it is
+        self.waiting, self.waits = [], 0  # rows that may be among the best
+        self.compared = 0  # pairs that the bounds left, and the first ones
 
     def add(self, ids: np.ndarray, vectors: np.ndarray):
-        fine = [segment_statistics(vectors, s) for s in self.levels]
-        bound = self.statistics[0] @ fine[0].T
-        if np.isinf(self.least).any():  # first exact scores for the most promising
+        fine = [*(segment_statistics(vectors, s) for s in self.levels), vectors]
+        rows = max(1, PAIRS // max(1, len(self.ids)))
+        for at in range(0, len(ids), rows):
+            self._tile(ids[at:at + rows], [x[at:at + rows] for x in fine])
+
+    def result(self) -> np.ndarray:
+        """Query place, score and candidate of the best."""
+        self._merge()
+        return self.best
+
+    def _tile(self, ids, theirs):
+        # By Cauchy and Schwarz no product, and no sum of some of its terms, is larger: below 2^24 floats are exact too.
+        size = max(1.0, self.norm) * max(1.0, largest_norm(theirs[-1]))
+        kind = np.float32 if size < EXACT_FLOAT else np.float64
+        if kind not in self.held:
+            self.held[kind] = [x.astype(kind) for x in self.held[np.float64]]
+        mine, vectors, theirs = self.held[kind], theirs[-1], [x.astype(kind, copy=False) for x in theirs]
+        self._first(ids, vectors, mine[0], theirs[0])
+        slack = SLACK[kind] * size  # rounding of a bound
+        least = np.where(self.least == NONE, -np.inf, self.least)
+        floor = (least - slack).astype(kind)
+        pairs, left = None, len(self.ids) * len(ids)
+        for a, b in zip(mine[:-1], theirs[:-1]):
+            if pairs is None:
+                below = a @ b.T < floor[:, None]  # a bound that is not a number rules nothing out
+                left = below.size - np.count_nonzero(below)
+                pairs = places(~below) if left < FEW * below.size else None
+            else:
+                parts = [~(np.einsum("ij,ij->i", a[q], b[c]) < floor[q]) for q, c in slices(*pairs, a.shape[1])]
+                alive = np.concatenate([np.empty(0, dtype=bool), *parts])
+                pairs = pairs[0][alive], pairs[1][alive]
+                left = len(pairs[0])
+        self.compared += left
+        if pairs is None:
+            score = mine[-1] @ theirs[-1].T
+            if size < EXACT:
+                q, c = places(score >= least.astype(kind)[:, None])
+                self._found(q, c, ids, score[q, c].astype(np.int64))
+                return
+            pairs = places(~(score < floor[:, None]) | ~(np.abs(score) + slack < 2.0**63))
+        self._fetch(*pairs, ids, vectors)
+
+    def _first(self, ids, vectors, mine, theirs):
+        """First exact scores for the most promising, where a query has no k yet."""
+        few = np.flatnonzero(self.least == NONE)
+        if len(few):
+            bound = mine[few] @ theirs.T
             some = np.argpartition(-bound, min(self.k, bound.shape[1] - 1), axis=1)[:, :self.k + 1]
-            q = np.repeat(np.arange(len(self.ids)), some.shape[1])
-            self._keep(q, some.ravel(), ids, vectors)
-        slack = 1e-9 * (np.abs(bound) + 1) + 1e-6  # rounding of the bound
-        q, c = np.nonzero(bound + slack >= self.least[:, None])
-        for mine, theirs in zip(self.statistics[1:], fine[1:]):
-            bound = np.einsum("ij,ij->i", mine[q], theirs[c])
-            alive = bound + 1e-9 * (np.abs(bound) + 1) + 1e-6 >= self.least[q]
-            q, c = q[alive], c[alive]
-        self._keep(q, c, ids, vectors)
-
-    def _keep(self, q, c, ids, vectors):
-        other = self.ids[q] != ids[c]
-        q, c = q[other], c[other]
-        self.compared += len(q)
-        score = scores(self.vectors[q], vectors[c])
-        good = score >= self.least[q]
-        found = np.stack([q[good], score[good], ids[c[good]]], axis=1)
-        rows = np.concatenate([self.best, found])
+            self.compared += some.size
+            self._fetch(np.repeat(few, some.shape[1]), some.ravel(), ids, vectors)
+            self._merge()
+
+    def _fetch(self, q, c, ids, vectors):
+        """Exact scores of single pairs."""
+        for q, c in slices(q, c, vectors.shape[1]):
+            other = self.ids[q] != ids[c]
+            q, c = q[other], c[other]
+            self._found(q, c, ids, scores(self.vectors[q], vectors[c]))
+
+    def _found(self, q, c, ids, score):
+        good = (score > self.least[q]) | (score == self.least[q]) & (ids[c] < self.last[q])
+        good &= self.ids[q] != ids[c]
+        self.waiting.append(np.stack([q[good], score[good], ids[c[good]]], axis=1))
+        self.waits += np.count_nonzero(good)
+        if self.waits >= 4 * self.k * len(self.ids):
+            self._merge()
+
+    def _merge(self):
+        rows = np.concatenate([self.best, *self.waiting])
+        self.waiting, self.waits = [], 0
         rows = rows[np.lexsort((-rows[:, 1], rows[:, 2], rows[:, 0]))]  # one row per query and candidate
         new = np.ones(len(rows), dtype=bool)
         new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 2] != rows[:-1, 2])
@@ -115,6 +178,23 @@ class Search:
         self.best = rows[place < self.k]
         last = rows[place == self.k - 1]
         self.least[last[:, 0]] = last[:, 1]
+        self.last[last[:, 0]] = last[:, 2]
+
+
+def largest_norm(vectors: np.ndarray) -> float:
+    return float(np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max(initial=0.0)))
+
+
+def places(alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each true entry."""
+    return np.divmod(np.flatnonzero(alive), alive.shape[1])
+
+
+def slices(q: np.ndarray, c: np.ndarray, width: int):
+    """Pairs whose rows of ``width`` numbers are fetched at a time."""
+    step = max(1, NUMBERS // max(1, width))
+    for at in range(0, len(q), step):
+        yield q[at:at + step], c[at:at + step]
 
 
 def exact_top_k(
@@ -131,28 +211,34 @@ def exact_top_k(
     vectors the shorter one counts as filled up with zeros. Fewer candidates
     give fewer rows, none gives none.
 
-    Queries go out in blocks of ``block``, each broadcast (``block`` vectors)
-    and held against all candidates where they lie; a task hands on at most k
-    rows per query. No candidate is moved. A block's results are written before
-    the next block goes out, so driver and tasks hold one block at a time; the
-    search runs when this is called.
+    The whole numbers are written once. Queries go out in blocks of ``block``
+    (fewer if they have more than HELD components), each broadcast and held
+    against all candidates where they lie; a task hands on at most k rows per
+    query. No candidate is moved. A block's results are written before the next
+    block goes out, so driver and tasks hold one block at a time; the search
+    runs when this is called.
     """
     spark = vectors.sparkSession
     rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), whole(F.col(vector_col), scale).alias("v"), is_query.alias("asks"))
+    rows = materialize(
+        rows.select(F.col(id_col).cast("long").alias("id"), whole(F.col(vector_col), scale).alias("v"), is_query.alias("asks"))
+    )
     asked = rows.where("asks").groupBy("id").agg(F.max("v").alias("v"))
-    asked = with_position(asked, ["id"], "place").withColumn("block", F.expr(f"place div {block}"))
+    asked, total = materialize_counted(with_position(asked, ["id"], "place"))
     candidates = rows.select("id", "v")
-    total = asked.count()
+    widest = asked.agg(F.max(F.size("v"))).first()[0]
+    block = min(block, max(1, HELD // max(1, widest or 0)))
     path = new_path(spark)
-    for b in range(math.ceil(total / block)):
-        held = asked.where(F.col("block") == b).select("id", "v").toArrow()
-        width = max([1, *(len(v) for v in held.column("v").to_pylist())])
+    for start in range(0, total, block):
+        held = asked.where(F.col("place").between(start, start + block - 1)).select("id", "v").toArrow()
+        width = max(1, pa.compute.max(pa.compute.list_value_length(held.column("v"))).as_py())
         ids = held.column("id").to_numpy()
         shipped = spark.sparkContext.broadcast((ids, matrix(held.column("v").combine_chunks(), width)))
         found = candidates.mapInArrow(_searcher(shipped, width, k), "query_id long, vec_id long, score long")
         _ranked(found, k).write.mode("append").parquet(path)
         shipped.destroy()
+    discard(rows)
+    discard(asked)
     if not total:
         return spark.createDataFrame([], RESULT)
     return spark.read.schema(RESULT).parquet(path)
@@ -174,7 +260,7 @@ def _searcher(shipped, width, k):
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 state.add(part.column(0).to_numpy(), matrix(part.column(1), width))
-        q, score, found = state.best.T
+        q, score, found = state.result().T
         yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(found), pa.array(score)], ["query_id", "vec_id", "score"])
 
     return search
